@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, minhash
+from . import decontam, minhash, packing
 from ._shared import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -16,6 +16,10 @@ def op4_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.op4(table(spark, sf_dir, "documents"))
 
 
+def op8_mixture_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.op8(table(spark, sf_dir, "documents"))
+
+
 def op9_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.op9(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
