@@ -204,7 +204,7 @@ def _linked(members: DataFrame, sets: DataFrame, percent: int, idle_rounds: int)
                 over = more.join(label.withColumnsRenamed({"node": "a", "component": "ca"}), "a", "left").join(label.withColumnsRenamed({"node": "b", "component": "cb"}), "b", "left")
                 over = over.select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b"))
                 roots = components(over, "a", "b")
-                old = label.join(roots.withColumnsRenamed({"node": "component", "component": "root"}), "component", "left").select("node", F.coalesce("root", "component").alias("component"))
+                old = label.join(roots.select(F.col("node").alias("component"), F.col("component").alias("root")), "component", "left").select("node", F.coalesce("root", "component").alias("component"))
                 fresh = roots.join(label, "node", "left_anti")
                 labels = written(old.unionByName(fresh), "labels")
             else:
