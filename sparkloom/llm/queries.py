@@ -6,12 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, linededup, minhash, packing
+from . import decontam, interleaved, langid, linededup, minhash, packing, warc
 from ._shared import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.op1(table(spark, sf_dir, "documents"))
+
+
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linededup.op2(table(spark, sf_dir, "documents"))
 
@@ -20,6 +24,10 @@ def op4_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.op4(table(spark, sf_dir, "documents"))
 
 
+def op6_interleaved_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return interleaved.op6(table(spark, sf_dir, "documents"))
+
+
 def op8_mixture_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.op8(table(spark, sf_dir, "documents"))
 
@@ -28,6 +36,10 @@ def op9_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     return decontam.op9(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op10_warc_salvage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.op10(table(spark, sf_dir, "pages"))
+
+
 def queries() -> dict[str, Query]:
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
 
