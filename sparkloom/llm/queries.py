@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, interleaved, langid, linededup, minhash, packing, warc
+from . import decontam, interleaved, langid, linededup, minhash, packing, pii, urlfilter, warc
 from ._shared import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -20,10 +20,18 @@ def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linededup.op2(table(spark, sf_dir, "documents"))
 
 
+def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urlfilter.op3(table(spark, sf_dir, "pages"))
+
+
 def op4_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.op4(table(spark, sf_dir, "documents"))
 
 
+def op5_pii_sanitisation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.op5(table(spark, sf_dir, "documents"))
+
+
 def op6_interleaved_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return interleaved.op6(table(spark, sf_dir, "documents"))
 
