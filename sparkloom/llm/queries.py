@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, interleaved, langid, linededup, minhash, packing, pii, urlfilter, warc
+from . import article, decontam, interleaved, langid, linededup, minhash, packing, pii, urlfilter, warc
 from ._shared import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -36,6 +36,10 @@ def op6_interleaved_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return interleaved.op6(table(spark, sf_dir, "documents"))
 
 
+def op7_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return article.op7(table(spark, sf_dir, "pages"))
+
+
 def op8_mixture_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.op8(table(spark, sf_dir, "documents"))
 
