@@ -6,8 +6,9 @@
 3. Within a bucket every member is a candidate of the bucket's centre only, so candidates grow with the members, never with
    their square.  The centre is the member that meets most others over all its buckets: of a group of edited copies, the one
    nearest to what they were copied from, to which all links of the group can be expected.
-4. Candidates are confirmed on full sets.  Members of a bucket that stay apart get further centres, round by round, against
-   everything in the bucket that is not yet in their component, until no round links anything more.
+4. Candidates are confirmed on full sets.  Members of a bucket that stay apart from its centre's component get further
+   centres, round by round, each the one that meets most others in a random part of the bucket, and one among themselves,
+   until a round links nothing more.  Only strays are joined to centres, so that a round costs a few rows for each of them.
 
 Defined results: null, empty or wordless texts have no shingles and stand alone; null doc_ids take part, but never name a
 component unless all its ids are null; repeated rows share their component; other columns are ignored; no rows give no rows.
@@ -20,7 +21,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ._shared import drop, written
@@ -30,8 +31,11 @@ from .components import components
 BINS = 128
 ROWS = 4
 BANDS = BINS // ROWS
-#: Rounds of centres that may link nothing before the search ends.
-IDLE_ROUNDS = 2
+#: Further centres a bucket and round, and rounds that may link nothing before the search ends.
+CENTRES = 4
+IDLE_ROUNDS = 1
+#: Ids of the texts to be compared in full, up to which they are broadcast; beyond, both sides shuffle.
+BROADCAST_IDS = 1_000_000
 
 _rng = np.random.default_rng(20240229)
 #: For each bin, the order in which it looks for a bin to copy.
@@ -141,81 +145,76 @@ def near_duplicates(documents: DataFrame, k: int = 5, percent: int = 80, idle_ro
 def _sets_of(documents: DataFrame, classes: DataFrame, members: DataFrame, k: int) -> DataFrame:
     """node and full set of every class that shares a bucket."""
     wanted = classes.select("node", "set_id", "rep").join(members.select("node").distinct(), "node", "left_semi")
-    ids = wanted.select(F.col("rep").alias("wanted_id")).distinct()
-    texts = documents.join(ids, F.col("doc_id").eqNullSafe(F.col("wanted_id")), "left_semi")
+    ids = written(wanted.select(F.col("rep").alias("wanted_id")).distinct(), "wanted")
+    few = ids.count() <= BROADCAST_IDS
+    texts = documents.join(F.broadcast(ids) if few else ids, F.col("doc_id").eqNullSafe(F.col("wanted_id")), "left_semi")
     found = _full_sets(texts, k).join(wanted.select("node", "set_id"), "set_id")
     return found.select("node", "shingles").dropDuplicates(["node"])
 
 
+def _joined(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """Labels (node, component) after more links (a, b): components are linked as wholes."""
+    of_a, of_b = (labels.select(F.col("node").alias(c), F.col("component").alias("c" + c)) for c in "ab")
+    over = links.join(of_a, "a", "left").join(of_b, "b", "left").select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b"))
+    roots = components(over, "a", "b")
+    root_of = roots.select(F.col("node").alias("component"), F.col("component").alias("root"))
+    old = labels.join(root_of, "component", "left").select("node", F.coalesce("root", "component").alias("component"))
+    return written(old.unionByName(roots.join(labels.select("node"), "node", "left_anti")), "labels")
+
+
+def _apart(pairs: DataFrame, labels: DataFrame) -> DataFrame:
+    """Pairs (a, b) whose components differ."""
+    of_a, of_b = (labels.select(F.col("node").alias(c), F.col("component").alias("c" + c)) for c in "ab")
+    found = pairs.join(of_a, "a", "left").join(of_b, "b", "left")
+    return found.where(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b")
+
+
+def _sized(percent: int) -> Column:
+    """Whether two sets' sizes alone allow the similarity."""
+    return 100 * F.least("n", "x.n") >= percent * F.greatest("n", "x.n")
+
+
 def _linked(members: DataFrame, sets: DataFrame, percent: int, idle_rounds: int) -> DataFrame:
-    """node and component of every class with a link."""
-    spark = members.sparkSession
-    labels = None
-    tested = None
+    """node and component of every class with a link.  ``members``: key, node, n and score."""
+    ordered = lambda a, b: (F.least(a, b).alias("a"), F.greatest(a, b).alias("b"))
+    member = F.struct("node", "n")
+    centres = members.groupBy("key").agg(F.max_by(member, F.struct("score", "node")).alias("x"))
+    pairs = members.join(centres, "key").where((F.col("node") != F.col("x.node")) & _sized(percent))
+    tested = written(pairs.groupBy(*ordered("node", "x.node")).agg(F.count("*").alias("buckets")), "candidates")
+    # The likeliest candidate of each class first: where it links, the class's others need no test.
+    ways = tested.select(F.col("a").alias("node"), F.col("b").alias("to"), "buckets").union(tested.select("b", "a", "buckets"))
+    best = ways.groupBy("node").agg(F.max_by("to", F.struct("buckets", "to")).alias("to"))
+    best = written(best.select(*ordered("node", "to")).distinct(), "best")
+    links = written(_confirmed(best, sets, percent), "links")
+    labels = components(links, "a", "b")
+    tested = tested.select("a", "b")
+    more = written(_confirmed(_apart(tested.join(best, ["a", "b"], "left_anti"), labels), sets, percent), "links")
+    if more.limit(1).count():
+        labels = _joined(labels, more)
+
     idle, turn = 0, 0
-    open_ = members
-    while True:
-        if turn == 0:
-            labelled = open_.withColumn("component", F.col("node"))
-        else:
-            labelled = open_.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node")) if labels is not None else open_.withColumn("component", F.col("node"))
-            mixed = labelled.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low != high").select("key")
-            labelled = labelled.join(mixed, "key", "left_semi")
-            now = written(labelled.drop("component"), "members")
-            if turn > 1:
-                drop(open_)
-            open_ = now
-            labelled = open_.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node")) if labels is not None else open_.withColumn("component", F.col("node"))
-        order = F.struct("score", "node") if turn == 0 else F.struct(F.xxhash64(F.lit(turn), "key", "node"), "node")
-        if turn == 1:  # of those apart from the first centre, the one that meets most others
-            first = labelled.groupBy("key").agg(F.max_by("component", F.struct("score", "node")).alias("main"))
-            apart = labelled.join(first, "key").where("component != main")
-            centres = apart.groupBy("key").agg(F.max_by(F.struct(F.col("node").alias("c"), F.col("n").alias("cn"), F.col("component").alias("cc")), F.struct("score", "node")).alias("x"))
-        else:
-            centres = labelled.groupBy("key").agg(F.max_by(F.struct(F.col("node").alias("c"), F.col("n").alias("cn"), F.col("component").alias("cc")), order).alias("x"))
-        pairs = labelled.join(centres, "key").where(
-            (F.col("component") != F.col("x.cc")) & (100 * F.least("n", "x.cn") >= percent * F.greatest("n", "x.cn"))
+    while idle < idle_rounds:
+        turn += 1
+        named = members.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
+        lot = F.pmod(F.xxhash64("node", F.lit(turn)), F.lit(CENTRES))
+        around = named.groupBy("key").agg(
+            F.max_by("component", F.struct("score", "node")).alias("main"), F.min("component").alias("low"), F.max("component").alias("high"),
+            F.array(*[F.max_by(member, F.when(lot == i, F.struct("score", "node"))) for i in range(CENTRES)]).alias("xs"),
         )
-        pairs = pairs.select(F.least("node", "x.c").alias("a"), F.greatest("node", "x.c").alias("b"))
-        counted = pairs.groupBy("a", "b").agg(F.count("*").alias("buckets"))
-        if tested is not None:
-            counted = counted.join(tested, ["a", "b"], "left_anti")
-        counted = written(counted, "candidates")
-        found = []
-        # The likeliest candidate of each class first: where it links, the class's others need no test.
-        if turn == 0:
-            other = counted.select(F.col("a").alias("node"), F.col("b").alias("to"), "buckets").union(counted.select(F.col("b").alias("node"), F.col("a").alias("to"), "buckets"))
-            best = other.groupBy("node").agg(F.max_by("to", F.struct("buckets", "to")).alias("to"))
-            best = written(best.select(F.least("node", "to").alias("a"), F.greatest("node", "to").alias("b")).distinct(), "best")
-            links = written(_confirmed(best, sets, percent), "links")
-            labels = components(links, "a", "b")
-            found.append(links)
-            rest = counted.join(best, ["a", "b"], "left_anti")
-            label = labels.select("node", "component")
-            rest = rest.join(label.withColumnsRenamed({"node": "a", "component": "ca"}), "a", "left").join(label.withColumnsRenamed({"node": "b", "component": "cb"}), "b", "left")
-            rest = rest.where(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b")
-        else:
-            rest = counted.select("a", "b")
-        more = written(_confirmed(rest, sets, percent), "links")
-        linked = more.limit(1).count() > 0
+        mixed = around.where("low != high").select("key", "main", "xs")
+        named = named.select("key", "node", "n", "score", "component")
+        stray = written(named.join(mixed, (named["key"] == mixed["key"]) & (F.col("component") != F.col("main"))).select(named["key"], "node", "n", "score", "xs"), "stray")
+        hubs = stray.groupBy("key").agg(F.max_by(member, F.struct("score", "node")).alias("hub"))
+        met = stray.join(hubs, "key").select("node", "n", F.explode(F.array_append("xs", F.col("hub"))).alias("x")).where("x is not null")
+        fresh = met.where((F.col("node") != F.col("x.node")) & _sized(percent)).select(*ordered("node", "x.node")).distinct()
+        fresh = written(_apart(fresh.join(tested, ["a", "b"], "left_anti"), labels), "candidates")
+        links = written(_confirmed(fresh, sets, percent), "links")
+        linked = links.limit(1).count() > 0
         if linked:
-            label = labels.select("node", "component") if labels is not None else None
-            if label is not None:
-                over = more.join(label.withColumnsRenamed({"node": "a", "component": "ca"}), "a", "left").join(label.withColumnsRenamed({"node": "b", "component": "cb"}), "b", "left")
-                over = over.select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b"))
-                roots = components(over, "a", "b")
-                old = label.join(roots.select(F.col("node").alias("component"), F.col("component").alias("root")), "component", "left").select("node", F.coalesce("root", "component").alias("component"))
-                fresh = roots.join(label, "node", "left_anti")
-                labels = written(old.unionByName(fresh), "labels")
-            else:
-                labels = components(more, "a", "b")
-        tested = counted.select("a", "b") if tested is None else written(tested.unionByName(counted.select("a", "b")), "tested")
+            labels = _joined(labels, links)
+        tested = tested.unionByName(fresh)
+        drop(stray)
         idle = 0 if linked else idle + 1
-        turn += 1
-        if idle >= idle_rounds or (turn > 1 and counted.limit(1).count() == 0):
-            break
-    if labels is None:
-        return spark.createDataFrame([], "node bigint, component bigint")
     return labels
 
 
