@@ -28,3 +28,10 @@ def queries() -> dict[str, Query]:
 
 def oracle_sql() -> dict[str, str]:
     return dict(_ORACLES)
+
+
+def _load() -> None:
+    from . import activity  # noqa: F401
+
+
+_load()
