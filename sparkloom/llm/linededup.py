@@ -107,6 +107,7 @@ def repeated_runs(documents: DataFrame, min_words: int = MIN_WORDS) -> DataFrame
     found = written(found, "runs")
     interval = ["m", "a", "b"]
     first = found.groupBy(*interval).agg(F.count("*").alias("n"), F.min(F.struct(*_KEY, "pos")).alias("first")).where("n > 1").drop("n")
+    first = written(first, "first")  # both sides of the join are plain shuffles, so that an interval of very many places is split
     return found.join(first, interval).where(F.struct(*_KEY, "pos") != F.col("first")).select(*_KEY, "pos", "m")
 
 
