@@ -126,7 +126,8 @@ def near_duplicates(documents: DataFrame, k: int = 5, percent: int = 80, idle_ro
         "classes",
     )
     banded = classes.where("bands is not null").select("node", "n", F.explode("bands").alias("key"))
-    shared = banded.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
+    # What is aggregated is written before it is joined back: both sides are then plain shuffles, and a hot key can be split.
+    shared = written(banded.groupBy("key").agg(F.count("*").alias("size")).where("size > 1"), "shared")
     members = written(banded.join(shared, "key"), "members")
     score = members.groupBy("node").agg(F.sum("size").alias("score"))
     scored = written(members.join(score, "node"), "members")
@@ -134,7 +135,8 @@ def near_duplicates(documents: DataFrame, k: int = 5, percent: int = 80, idle_ro
     sets = written(_sets_of(documents, classes, scored, k), "sets")
     component = _linked(scored, sets, percent, idle_rounds)
     named = classes.select("node", "set_id", "rep").join(component, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    names = named.groupBy("component").agg(F.min("rep").alias("component_id"))
+    named = written(named, "named")
+    names = written(named.groupBy("component").agg(F.min("rep").alias("component_id")), "names")
     by_set = written(named.join(names, "component").select("set_id", "component_id"), "named")
     out = signed.select("doc_id", "n_shingles", "set_id").join(by_set, "set_id", "left")
     component_id = F.when(F.col("set_id").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
@@ -178,7 +180,7 @@ def _linked(members: DataFrame, sets: DataFrame, percent: int, idle_rounds: int)
     """node and component of every class with a link.  ``members``: key, node, n and score."""
     ordered = lambda a, b: (F.least(a, b).alias("a"), F.greatest(a, b).alias("b"))
     member = F.struct("node", "n")
-    centres = members.groupBy("key").agg(F.max_by(member, F.struct("score", "node")).alias("x"))
+    centres = written(members.groupBy("key").agg(F.max_by(member, F.struct("score", "node")).alias("x")), "centres")
     pairs = members.join(centres, "key").where((F.col("node") != F.col("x.node")) & _sized(percent))
     tested = written(pairs.groupBy(*ordered("node", "x.node")).agg(F.count("*").alias("buckets")), "candidates")
     # The likeliest candidate of each class first: where it links, the class's others need no test.
@@ -201,10 +203,10 @@ def _linked(members: DataFrame, sets: DataFrame, percent: int, idle_rounds: int)
             F.max_by("component", F.struct("score", "node")).alias("main"), F.min("component").alias("low"), F.max("component").alias("high"),
             F.array(*[F.max_by(member, F.when(lot == i, F.struct("score", "node"))) for i in range(CENTRES)]).alias("xs"),
         )
-        mixed = around.where("low != high").select("key", "main", "xs")
+        mixed = written(around.where("low != high").select("key", "main", "xs"), "mixed")
         named = named.select("key", "node", "n", "score", "component")
         stray = written(named.join(mixed, (named["key"] == mixed["key"]) & (F.col("component") != F.col("main"))).select(named["key"], "node", "n", "score", "xs"), "stray")
-        hubs = stray.groupBy("key").agg(F.max_by(member, F.struct("score", "node")).alias("hub"))
+        hubs = written(stray.groupBy("key").agg(F.max_by(member, F.struct("score", "node")).alias("hub")), "hubs")
         met = stray.join(hubs, "key").select("node", "n", F.explode(F.array_append("xs", F.col("hub"))).alias("x")).where("x is not null")
         fresh = met.where((F.col("node") != F.col("x.node")) & _sized(percent)).select(*ordered("node", "x.node")).distinct()
         fresh = written(_apart(fresh.join(tested, ["a", "b"], "left_anti"), labels), "candidates")
@@ -213,7 +215,7 @@ def _linked(members: DataFrame, sets: DataFrame, percent: int, idle_rounds: int)
         if linked:
             labels = _joined(labels, links)
         tested = tested.unionByName(fresh)
-        drop(stray)
+        drop(stray, mixed, hubs)
         idle = 0 if linked else idle + 1
     return labels
 
