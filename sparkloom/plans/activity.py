@@ -276,12 +276,12 @@ def week_keys(spark, d):
     return events(spark, d).groupBy(day.alias("day"), S.week_key(day).alias("week"), S.iso_week(day).alias("iso")).agg(F.count("*").alias("n"))
 
 
-@register("heatmap_days", ev(""", c AS (SELECT CAST(ts AS DATE) dd, count(*) n FROM ev WHERE user_id = 3 GROUP BY 1), g AS (SELECT CAST(unnest(generate_series(CAST(as_of AS DATE) - 89, CAST(as_of AS DATE), INTERVAL 1 DAY)) AS DATE) AS day FROM newest) SELECT day, coalesce(n,0) n, CASE WHEN coalesce(n,0)=0 THEN 0 WHEN n<=1 THEN 1 WHEN n<=3 THEN 2 WHEN n<=6 THEN 3 ELSE 4 END AS level FROM g LEFT JOIN c ON dd = day"""))
+@register("heatmap_days", ev(""", c AS (SELECT CAST(ts AS DATE) dd, count(*) n FROM ev WHERE source = 'ai' GROUP BY 1), g AS (SELECT CAST(unnest(generate_series(CAST(as_of AS DATE) - 89, CAST(as_of AS DATE), INTERVAL 1 DAY)) AS DATE) AS day FROM newest) SELECT day, coalesce(n,0) n, CASE WHEN coalesce(n,0)=0 THEN 0 WHEN n<=50 THEN 1 WHEN n<=130 THEN 2 WHEN n<=140 THEN 3 ELSE 4 END AS level FROM g LEFT JOIN c ON dd = day"""))
 def heatmap_days(spark, d):
     e = events(spark, d)
-    days = e.groupBy(F.to_date("ts").alias("day")).agg(F.count_if(F.col("user_id") == 3).alias("n"))
+    days = e.groupBy(F.to_date("ts").alias("day")).agg(F.count_if(F.col("source") == "ai").alias("n"))
     n = F.col("n")
-    return R.calendar(days, "day", "n", 90).withColumn("level", F.when(n == 0, 0).when(n <= 1, 1).when(n <= 3, 2).when(n <= 6, 3).otherwise(4))
+    return R.calendar(days, "day", "n", 90).withColumn("level", F.when(n == 0, 0).when(n <= 50, 1).when(n <= 130, 2).when(n <= 140, 3).otherwise(4))
 
 
 @register("hourly_snapshots", ev("SELECT date_trunc('hour', ts) AS hour, arg_max(id, row(ts,id)) last_id, count(*) n FROM ev, newest WHERE ts > as_of - INTERVAL 48 HOUR GROUP BY 1"))
@@ -290,9 +290,9 @@ def hourly_snapshots(spark, d):
     return R.at(e, R.as_of(e)).where("ts > as_of - interval 48 hours").groupBy(F.date_trunc("hour", "ts").alias("hour")).agg(F.max_by("id", F.struct("ts", "id")).alias("last_id"), F.count("*").alias("n"))
 
 
-@register("domain_pairs_by_day", ev(", x AS (SELECT DISTINCT CAST(ts AS DATE) dd, branch FROM ev WHERE turns < 10) SELECT a.branch a, b.branch b, count(*) n, min(a.dd) first_day FROM x a JOIN x b ON a.dd=b.dd AND a.branch<b.branch GROUP BY 1,2"))
+@register("domain_pairs_by_day", ev(", x AS (SELECT DISTINCT CAST(ts AS DATE) dd, branch FROM ev) SELECT a.branch a, b.branch b, count(*) n, min(a.dd) first_day FROM x a JOIN x b ON a.dd=b.dd AND a.branch<b.branch GROUP BY 1,2"))
 def domain_pairs_by_day(spark, d):
-    x = events(spark, d).where("turns < 10").select(F.to_date("ts").alias("dd"), "branch").distinct()
+    x = events(spark, d).select(F.to_date("ts").alias("dd"), "branch").distinct()
     return x.withColumnRenamed("branch", "a").join(x.withColumnRenamed("branch", "b"), "dd").where("a < b").groupBy("a", "b").agg(F.count("*").alias("n"), F.min("dd").alias("first_day"))
 
 

@@ -31,7 +31,7 @@ def oracle_sql() -> dict[str, str]:
 
 
 def _load() -> None:
-    from . import activity  # noqa: F401
+    from . import activity, knowledge  # noqa: F401
 
 
 _load()
