@@ -226,5 +226,6 @@ def op6(documents: DataFrame) -> DataFrame:
     )
     found = parse(pages).select("doc_id", "n_bytes", F.explode("elements").alias("e")).where("e.kind = 'image'")
     references = found.select("doc_id", "n_bytes", "e.digest", "e.position", "e.caption")
-    out = resolve(references, media_features(media))
+    features = written(media_features(media), "features")  # plain shuffles on both sides: a payload of very many documents is split
+    out = resolve(references, features)
     return out.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "position", "caption")
