@@ -6,8 +6,8 @@ the method, which judges all others:
 1. Digit runs and overlong segments become wildcards, and equal (host, path) shapes are counted with their labels.
 2. Level by level, a node's rare children become one wildcard where there are many, and children that cannot be told apart
    by the confidence interval of their labels and by the depth beneath them become one branch.
-3. A template's purity is the share of blocked labels, smoothed towards the share in the whole corpus, so that a template
-   without labels says nothing; templates at or above the threshold are rejected.
+3. A template's purity is the share of blocked labels, smoothed towards the share in the whole corpus or one half, whichever
+   is less, so that a template with few labels says little; templates at or above the threshold are rejected.
 
 Defined results: a null url, or one without "://", has an empty host and path and no rule; with no labels at all the purity
 of every template is 0 and everything is allowed; repeated rows are judged alike; null page_ids stay; other columns are
@@ -115,7 +115,7 @@ def judge(pages: DataFrame, rules: tuple[tuple[str, str], ...] = RULES) -> DataF
     tree = template_tree(ruled)
     whole = tree.agg((F.sum("b") / F.nullif(F.sum("b") + F.sum("a"), F.lit(0))).alias("prior"))
     sums = tree.groupBy("template").agg(F.sum("b").alias("tb"), F.sum("a").alias("ta")).join(F.broadcast(whole))
-    purity = (F.col("tb") + SMOOTHING * F.coalesce("prior", F.lit(0.0))) / (F.col("tb") + F.col("ta") + SMOOTHING)
+    purity = (F.col("tb") + SMOOTHING * F.least(F.lit(0.5), F.coalesce("prior", F.lit(0.0)))) / (F.col("tb") + F.col("ta") + SMOOTHING)
     templates = written(tree.select("host", "shape", "template").join(sums.select("template", purity.alias("purity")), "template"), "templates")
     out = ruled.withColumn("shape", shape(F.col("path"))).join(templates, ["host", "shape"], "left")
     verdict = F.coalesce("ruled", F.when(F.col("purity") >= PURITY, F.lit("block")).otherwise("allow"))
