@@ -10,7 +10,8 @@ n-gram is typical of a language if its rate there is at least ``MIN_RATE`` and n
 rate in any language.
 
 Defined results: null texts and texts without a letter are "und" with score 0; a text whose letters make no n-gram that is
-known gets the most frequent language with score 0; ties go to the first language by name; with no training rows all texts
+known gets the most frequent language with score 0, and one too short for any n-gram gets it with its share of the training
+rows; ties go to the first language by name; with no training rows all texts
 are "und"; null languages teach nothing; repeated rows count each; other columns pass through unchanged.
 """
 
@@ -127,8 +128,8 @@ def gram_counts(training: DataFrame) -> DataFrame:
 class Model:
     """The bit-sliced filter: ``table[p, l // 64]`` holds bit ``l % 64`` of position p for language l."""
 
-    def __init__(self, languages: list[str], prior: int, grams: list[np.ndarray]) -> None:
-        self.languages, self.prior = languages, prior
+    def __init__(self, languages: list[str], prior: int, prior_share: float, grams: list[np.ndarray]) -> None:
+        self.languages, self.prior, self.prior_share = languages, prior, prior_share
         self.table = np.zeros((POSITIONS, -(-max(1, len(languages)) // 64)), dtype=np.uint64)
         for i, g in enumerate(grams):
             for p in self._positions(g):
@@ -149,8 +150,8 @@ class Model:
             out = self.table[p] if out is None else out & self.table[p]
         return out
 
-    def shares(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-        """For each text, whether it has letters, and each language's share of its n-grams without the false positives'."""
+    def shares(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """For each text, whether it has letters, its n-grams, and each language's share of them without the false positives'."""
         grams, owner, has = _grams(texts)
         hits = np.zeros((len(texts), len(self.languages)))
         total = np.bincount(owner, minlength=len(texts))
@@ -160,7 +161,7 @@ class Model:
                 bit = (masks[:, i // 64] >> np.uint64(i % 64)) & np.uint64(1)
                 hits[:, i] = np.bincount(owner, weights=bit, minlength=len(texts))
         rate = hits / np.maximum(total, 1)[:, None]
-        return has, np.clip((rate - self.false_rate) / (1 - self.false_rate), 0.0, 1.0)
+        return has, total, np.clip((rate - self.false_rate) / (1 - self.false_rate), 0.0, 1.0)
 
 
 def learn(training: DataFrame) -> Model:
@@ -173,10 +174,10 @@ def learn(training: DataFrame) -> Model:
 
     counts = written(counts, "grams")
     totals = counts.groupBy("lang").agg(F.sum("n").alias("all"))
-    sizes = {r["lang"]: r["all"] for r in totals.collect()}
+    sizes = {r["lang"]: r["n"] for r in training.where("lang is not null").groupBy(F.col("lang").cast("string").alias("lang")).agg(F.count("*").alias("n")).collect()}
     languages = sorted(sizes)
     if not languages:
-        return Model([], 0, [])
+        return Model([], 0, 0.0, [])
     rated = counts.join(F.broadcast(totals), "lang").withColumn("rate", F.col("n") / F.col("all"))
     highest = rated.groupBy("gram").agg(F.max("rate").alias("highest"))
     typical = written(rated.where(F.col("rate") >= MIN_RATE).join(highest, "gram").where(F.col("rate") * RATIO >= F.col("highest")).select("lang", "gram", "rate"), "typical")
@@ -185,7 +186,7 @@ def learn(training: DataFrame) -> Model:
         kept = typical.where(F.col("lang") == lang).orderBy(F.desc("rate"), "gram").limit(MAX_GRAMS).select("gram").toPandas()
         grams.append(kept["gram"].to_numpy(dtype=np.int64).view(np.uint64))
     prior = max(range(len(languages)), key=lambda i: (sizes[languages[i]], -i))
-    return Model(languages, prior, grams)
+    return Model(languages, prior, sizes[languages[prior]] / sum(sizes.values()), grams)
 
 
 def identify(documents: DataFrame, model: Model) -> DataFrame:
@@ -200,7 +201,7 @@ def identify(documents: DataFrame, model: Model) -> DataFrame:
             texts = batch.column(batch.schema.get_field_index("text")).to_pylist()
             names, scores = [], []
             for a, b in _parts(texts):
-                has, share = model.shares(texts[a:b])
+                has, total, share = model.shares(texts[a:b])
                 for i in range(b - a):
                     if not has[i] or not model.languages:
                         names.append(UNKNOWN)
@@ -208,7 +209,7 @@ def identify(documents: DataFrame, model: Model) -> DataFrame:
                     else:
                         best = int(share[i].argmax()) if share[i].max() > 0 else model.prior
                         names.append(model.languages[best])
-                        scores.append(float(share[i][best]))
+                        scores.append(float(share[i][best]) if total[i] else model.prior_share)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(names, pa.string()), pa.array(scores, pa.float64())], [*fields, "lang_pred", "score"])
 
     return documents.mapInArrow(predict, schema)
