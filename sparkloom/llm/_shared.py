@@ -2,14 +2,19 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _OWN: list[str] = []
+#: Tables written inside open ``scratch`` blocks, innermost last.
+_SCRATCH: list[list[DataFrame]] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -33,9 +38,32 @@ def written(df: DataFrame, name: str) -> DataFrame:
     df.write.parquet(path)
     back = spark.read.schema(df.schema).parquet(path)
     back._sparkloom_path = path
+    if _SCRATCH:
+        _SCRATCH[-1].append(back)
     return back
 
 
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[list[DataFrame]]:
+    """Deletes the tables written inside, but for those that the block appends to what it gets; frees finished shuffles."""
+    kept: list[DataFrame] = []
+    _SCRATCH.append([])
+    try:
+        yield kept
+    finally:
+        inside = _SCRATCH.pop()
+        if _SCRATCH:
+            _SCRATCH[-1].extend(x for x in inside if any(x is k for k in kept))
+        drop(*(x for x in inside if not any(x is k for k in kept)))
+        release(spark)
+
+
+def release(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files of jobs whose plans are no longer in use; it does so when the driver collects garbage."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def drop(*tables: DataFrame) -> None:
     """Delete written tables that no later step reads."""
     for df in tables:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import drop, written
+from ._shared import scratch, written
 
 
 def _star(edges: DataFrame, small: bool) -> DataFrame:
@@ -27,20 +27,17 @@ def components(edges: DataFrame, a: str, b: str) -> DataFrame:
 
     Nulls and self-links are ignored, repeated links count once, and an empty graph has no rows.
     """
-    edges = written(edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u != v").distinct(), "edges")
-    nodes = edges
-    before = None
-    while True:
-        large = _star(edges, small=False)
-        after = written(_star(large, small=True), "edges")
-        state = after.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if edges is not nodes:
-            drop(edges)
-        edges = after
-        if state == before:
-            break
-        before = state
-    roots = edges.select("v").distinct().select(F.col("v").alias("node"), F.col("v").alias("component"))
-    out = written(edges.select(F.col("u").alias("node"), F.col("v").alias("component")).union(roots), "components")
-    drop(nodes, edges)
+    with scratch(edges.sparkSession) as kept:
+        edges = written(edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u != v").distinct(), "edges")
+        before = None
+        while True:
+            large = _star(edges, small=False)
+            edges = written(_star(large, small=True), "edges")
+            state = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+            if state == before:
+                break
+            before = state
+        roots = edges.select("v").distinct().select(F.col("v").alias("node"), F.col("v").alias("component"))
+        out = written(edges.select(F.col("u").alias("node"), F.col("v").alias("component")).union(roots), "components")
+        kept.append(out)
     return out

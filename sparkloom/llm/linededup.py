@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import drop, running_total, written
+from ._shared import drop, running_total, scratch, written
 from ._words import NOT_SPACE, hashes, slices, words
 
 MIN_WORDS = 50
@@ -85,30 +85,32 @@ def _keyed(documents: DataFrame) -> DataFrame:
 
 def repeated_runs(documents: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """did, th, pos and m: every shortest run of ``min_words`` words that an earlier place in the corpus has as well."""
-    lines = written(_lines(documents, min_words), "lines").where("deepest > 0")
-    ids = written(lines.groupBy("h1", "h2").agg(F.count("*").alias("n")).where("n > 1"), "ids")
-    order = running_total(ids, ["h1", "h2"], "n", "rank", "ranked")
-    level = lines.join(order.select("h1", "h2", "rank"), ["h1", "h2"]).select(*_KEY, "pos", "spans", "deepest", "rank").dropDuplicates([*_KEY, "pos"])
-    level = written(level, "level")
-    drop(order)
-    k, found = 1, None
-    while True:
-        now = _at_depths(level, k)
-        found = now if found is None else found.unionByName(now)
-        following = level.where(F.col("deepest") >= 2 * k)
-        pairs = written(_pairs(following, F.lit(k), [*_KEY, "pos", "spans", "deepest"]), "pairs")
-        keys = pairs.groupBy("a", "b").agg(F.count("*").alias("n")).where("n > 1")
-        order = running_total(keys, ["a", "b"], "n", "rank", "ranked")
-        level = written(pairs.join(order.select("a", "b", "rank"), ["a", "b"]).select(*_KEY, "pos", "spans", "deepest", "rank"), "level")
-        drop(pairs, order)
-        k *= 2
-        if level.limit(1).count() == 0:
-            break
-    found = written(found, "runs")
-    interval = ["m", "a", "b"]
-    first = found.groupBy(*interval).agg(F.count("*").alias("n"), F.min(F.struct(*_KEY, "pos")).alias("first")).where("n > 1").drop("n")
-    first = written(first, "first")  # both sides of the join are plain shuffles, so that an interval of very many places is split
-    return found.join(first, interval).where(F.struct(*_KEY, "pos") != F.col("first")).select(*_KEY, "pos", "m")
+    with scratch(documents.sparkSession) as kept:
+        lines = written(_lines(documents, min_words), "lines").where("deepest > 0")
+        ids = written(lines.groupBy("h1", "h2").agg(F.count("*").alias("n")).where("n > 1"), "ids")
+        order = running_total(ids, ["h1", "h2"], "n", "rank", "ranked")
+        level = lines.join(order.select("h1", "h2", "rank"), ["h1", "h2"]).select(*_KEY, "pos", "spans", "deepest", "rank").dropDuplicates([*_KEY, "pos"])
+        level = written(level, "level")
+        k, found = 1, None
+        while True:
+            now = _at_depths(level, k)
+            found = now if found is None else found.unionByName(now)
+            following = level.where(F.col("deepest") >= 2 * k)
+            pairs = written(_pairs(following, F.lit(k), [*_KEY, "pos", "spans", "deepest"]), "pairs")
+            keys = pairs.groupBy("a", "b").agg(F.count("*").alias("n")).where("n > 1")
+            order = running_total(keys, ["a", "b"], "n", "rank", "ranked")
+            level = written(pairs.join(order.select("a", "b", "rank"), ["a", "b"]).select(*_KEY, "pos", "spans", "deepest", "rank"), "level")
+            drop(pairs, order)
+            k *= 2
+            if level.limit(1).count() == 0:
+                break
+        found = written(found, "runs")
+        interval = ["m", "a", "b"]
+        first = found.groupBy(*interval).agg(F.count("*").alias("n"), F.min(F.struct(*_KEY, "pos")).alias("first")).where("n > 1").drop("n")
+        first = written(first, "first")  # both sides of the join are plain shuffles, so that an interval of very many places is split
+        later = written(found.join(first, interval).where(F.struct(*_KEY, "pos") != F.col("first")).select(*_KEY, "pos", "m"), "later")
+        kept.append(later)
+    return later
 
 
 def _pairs(level: DataFrame, distance: F.Column, columns: list[str]) -> DataFrame:

@@ -7,8 +7,8 @@
    their square.  The centre is the member that meets most others over all its buckets: of a group of edited copies, the one
    nearest to what they were copied from, to which all links of the group can be expected.
 4. Candidates are confirmed on full sets.  Members of a bucket that stay apart from its centre's component get further
-   centres, round by round, each the one that meets most others in a random part of the bucket, and one among themselves,
-   until a round links nothing more.  Only strays are joined to centres, so that a round costs a few rows for each of them.
+   centres, round by round: the one that meets most others in a random part of the bucket, and one among themselves, until
+   a round links nothing more.  Only strays are joined to centres, so that a round costs a few rows for each of them.
 
 Defined results: null, empty or wordless texts have no shingles and stand alone; null doc_ids take part, but never name a
 component unless all its ids are null; repeated rows share their component; other columns are ignored; no rows give no rows.
@@ -24,15 +24,17 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import drop, written
+from ._shared import drop, release, scratch, written
 from ._words import LOWER, NOT_SPACE, hashes, mix, shingle_hashes, slices, words
 from .components import components
 
 BINS = 128
 ROWS = 4
 BANDS = BINS // ROWS
-#: Further centres a bucket and round, and rounds that may link nothing before the search ends.
-CENTRES = 4
+#: Deviations by which a sketch must fall short before a pair is not compared in full.
+SIGMAS = 6.0
+#: Further centres are taken from a random part of a bucket, one in so many; rounds that may link nothing before the search ends.
+PARTS = 4
 IDLE_ROUNDS = 1
 #: Ids of the texts to be compared in full, up to which they are broadcast; beyond, both sides shuffle.
 BROADCAST_IDS = 1_000_000
@@ -45,6 +47,11 @@ _WEIGHTS = _rng.integers(1, 1 << 63, size=(BANDS, ROWS), dtype=np.uint64) | np.u
 
 def band_keys(shingles: np.ndarray) -> np.ndarray:
     """The bucket of each band.  ``shingles``: sorted distinct hashes, whose top bits are their bins."""
+    return _keys(bins(shingles))
+
+
+def bins(shingles: np.ndarray) -> np.ndarray:
+    """The densified bins of a set."""
     bits = 64 - BINS.bit_length() + 1
     first = np.searchsorted(shingles, np.arange(BINS, dtype=np.uint64) << np.uint64(bits))
     at = np.minimum(first, len(shingles) - 1)
@@ -54,8 +61,12 @@ def band_keys(shingles: np.ndarray) -> np.ndarray:
         empty = np.flatnonzero(~full)
         donor = _DONORS[empty]
         value[empty] = value[donor[np.arange(len(empty)), full[donor].argmax(axis=1)]]
+    return mix(value)
+
+
+def _keys(value: np.ndarray) -> np.ndarray:
     with np.errstate(over="ignore"):
-        return mix((mix(value).reshape(BANDS, ROWS) * _WEIGHTS).sum(axis=1, dtype=np.uint64)).view(np.int64)
+        return mix((value.reshape(BANDS, ROWS) * _WEIGHTS).sum(axis=1, dtype=np.uint64)).view(np.int64)
 
 
 def _sets(batch: pa.RecordBatch, k: int) -> Iterator[tuple[pa.RecordBatch, list[np.ndarray]]]:
@@ -71,9 +82,10 @@ def _digest(shingles: np.ndarray) -> bytes:
 
 
 def signatures(documents: DataFrame, k: int, least: int) -> DataFrame:
-    """Columns of ``documents`` but the text, plus n_shingles, set_id (null without shingles) and bands (null below ``least`` shingles)."""
+    """Columns of ``documents`` but the text, plus n_shingles, set_id (null without shingles), and the bands and the sketch, a byte
+    of each bin (both null below ``least`` shingles)."""
     fields = [f for f in documents.schema.names if f != "text"]
-    schema = documents.select(*fields, F.lit(0).cast("long").alias("n_shingles"), F.expr("cast(null as binary) as set_id"), F.expr("cast(null as array<bigint>) as bands")).schema
+    schema = documents.select(*fields, F.lit(0).cast("long").alias("n_shingles"), F.expr("cast(null as binary) as set_id"), F.expr("cast(null as array<bigint>) as bands"), F.expr("cast(null as binary) as sketch")).schema
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -81,8 +93,10 @@ def signatures(documents: DataFrame, k: int, least: int) -> DataFrame:
                 keep = [part.column(part.schema.get_field_index(f)) for f in fields]
                 n = pa.array([len(s) for s in sets], pa.int64())
                 ids = pa.array([_digest(s) if len(s) else None for s in sets], pa.binary())
-                bands = pa.array([band_keys(s) if len(s) >= least else None for s in sets], pa.list_(pa.int64()))
-                yield pa.RecordBatch.from_arrays([*keep, n, ids, bands], [*fields, "n_shingles", "set_id", "bands"])
+                values = [bins(s) if len(s) >= least else None for s in sets]
+                bands = pa.array([None if v is None else _keys(v) for v in values], pa.list_(pa.int64()))
+                sketch = pa.array([None if v is None else v.astype(np.uint8).tobytes() for v in values], pa.binary())
+                yield pa.RecordBatch.from_arrays([*keep, n, ids, bands, sketch], [*fields, "n_shingles", "set_id", "bands", "sketch"])
 
     return documents.mapInArrow(sign, schema)
 
@@ -98,8 +112,27 @@ def _full_sets(documents: DataFrame, k: int) -> DataFrame:
     return documents.select("text").mapInArrow(sets, "set_id binary, shingles binary")
 
 
+def _likely(edges: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Edges (a, b) whose sketches do not speak against the similarity by more than ``SIGMAS`` deviations."""
+    sketches = sets.select("node", "n", "sketch")
+    left, right = (sketches.select(F.col("node").alias(c), F.col("n").alias("n" + c), F.col("sketch").alias("s" + c)) for c in "ab")
+
+    def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        t = percent / 100
+        for batch in batches:
+            get = lambda n: batch.column(batch.schema.get_field_index(n))
+            if batch.num_rows:
+                x, y = (np.frombuffer(b"".join(get(n).to_pylist()), np.uint8).reshape(-1, BINS) for n in ("sa", "sb"))
+                n = np.minimum(np.minimum(get("na").to_numpy(), get("nb").to_numpy()), BINS)
+                keep = (x == y).mean(axis=1) >= t - SIGMAS * np.sqrt(t * (1 - t) / n)
+                yield pa.RecordBatch.from_arrays([get("a"), get("b")], ["a", "b"]).filter(pa.array(keep))
+
+    return edges.select("a", "b").join(left, "a").join(right, "b").mapInArrow(judge, "a bigint, b bigint")
+
+
 def _confirmed(edges: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Edges (a, b) whose sets are similar enough: 100 * intersection >= percent * union."""
+    """Edges (a, b) whose sets are similar enough: 100 * intersection >= percent * union.  Sketches go first, as they are small."""
+    edges = written(_likely(edges, sets, percent), "likely")
     left = sets.select(F.col("node").alias("a"), F.col("shingles").alias("x"))
     right = sets.select(F.col("node").alias("b"), F.col("shingles").alias("y"))
 
@@ -119,25 +152,27 @@ def _confirmed(edges: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 def near_duplicates(documents: DataFrame, k: int = 5, percent: int = 80, idle_rounds: int = IDLE_ROUNDS) -> DataFrame:
     """doc_id, n_shingles, component_id (the least doc_id reachable) and kept, a row per document."""
     documents = documents.select("doc_id", "text")
-    least = -(-100 // (100 - percent))  # smaller sets are similar enough only if they are equal
-    signed = written(signatures(documents, k, least), "signatures")
-    classes = written(
-        signed.where("set_id is not null").groupBy("set_id").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands")).withColumn("node", F.monotonically_increasing_id()),
-        "classes",
-    )
-    banded = classes.where("bands is not null").select("node", "n", F.explode("bands").alias("key"))
-    # What is aggregated is written before it is joined back: both sides are then plain shuffles, and a hot key can be split.
-    shared = written(banded.groupBy("key").agg(F.count("*").alias("size")).where("size > 1"), "shared")
-    members = written(banded.join(shared, "key"), "members")
-    score = members.groupBy("node").agg(F.sum("size").alias("score"))
-    scored = written(members.join(score, "node"), "members")
-    drop(members)
-    sets = written(_sets_of(documents, classes, scored, k), "sets")
-    component = _linked(scored, sets, percent, idle_rounds)
-    named = classes.select("node", "set_id", "rep").join(component, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    named = written(named, "named")
-    names = written(named.groupBy("component").agg(F.min("rep").alias("component_id")), "names")
-    by_set = written(named.join(names, "component").select("set_id", "component_id"), "named")
+    with scratch(documents.sparkSession) as kept:
+        least = -(-100 // (100 - percent))  # smaller sets are similar enough only if they are equal
+        signed = written(signatures(documents, k, least), "signatures")
+        classes = written(
+            signed.where("set_id is not null").groupBy("set_id").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch")).withColumn("node", F.monotonically_increasing_id()),
+            "classes",
+        )
+        banded = classes.where("bands is not null").select("node", "n", F.explode("bands").alias("key"))
+        # What is aggregated is written before it is joined back: both sides are then plain shuffles, and a hot key can be split.
+        shared = written(banded.groupBy("key").agg(F.count("*").alias("size")).where("size > 1"), "shared")
+        members = written(banded.join(shared, "key"), "members")
+        score = members.groupBy("node").agg(F.sum("size").alias("score"))
+        scored = written(members.join(score, "node"), "members")
+        sets = written(_sets_of(documents, classes, scored, k), "sets")
+        component = _linked(scored, sets, percent, idle_rounds)
+        named = classes.select("node", "set_id", "rep").join(component, "node", "left").withColumn("component", F.coalesce("component", "node"))
+        named = written(named, "named")
+        names = written(named.groupBy("component").agg(F.min("rep").alias("component_id")), "names")
+        by_set = written(named.join(names, "component").select("set_id", "component_id"), "named")
+        signed = written(signed.select("doc_id", "n_shingles", "set_id"), "sets_of_documents")
+        kept += [by_set, signed]
     out = signed.select("doc_id", "n_shingles", "set_id").join(by_set, "set_id", "left")
     component_id = F.when(F.col("set_id").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
     out = out.select("doc_id", "n_shingles", component_id.alias("component_id"))
@@ -145,13 +180,13 @@ def near_duplicates(documents: DataFrame, k: int = 5, percent: int = 80, idle_ro
 
 
 def _sets_of(documents: DataFrame, classes: DataFrame, members: DataFrame, k: int) -> DataFrame:
-    """node and full set of every class that shares a bucket."""
-    wanted = classes.select("node", "set_id", "rep").join(members.select("node").distinct(), "node", "left_semi")
+    """node, n, sketch and full set of every class that shares a bucket."""
+    wanted = classes.select("node", "set_id", "rep", "n", "sketch").join(members.select("node").distinct(), "node", "left_semi")
     ids = written(wanted.select(F.col("rep").alias("wanted_id")).distinct(), "wanted")
     few = ids.count() <= BROADCAST_IDS
     texts = documents.join(F.broadcast(ids) if few else ids, F.col("doc_id").eqNullSafe(F.col("wanted_id")), "left_semi")
-    found = _full_sets(texts, k).join(wanted.select("node", "set_id"), "set_id")
-    return found.select("node", "shingles").dropDuplicates(["node"])
+    found = _full_sets(texts, k).join(wanted.select("node", "set_id", "n", "sketch"), "set_id")
+    return found.select("node", "n", "sketch", "shingles").dropDuplicates(["node"])
 
 
 def _joined(labels: DataFrame, links: DataFrame) -> DataFrame:
@@ -194,20 +229,20 @@ def _linked(members: DataFrame, sets: DataFrame, percent: int, idle_rounds: int)
     if more.limit(1).count():
         labels = _joined(labels, more)
 
-    idle, turn = 0, 0
+    spark, idle, turn = members.sparkSession, 0, 0
     while idle < idle_rounds:
         turn += 1
         named = members.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
-        lot = F.pmod(F.xxhash64("node", F.lit(turn)), F.lit(CENTRES))
+        drawn = F.pmod(F.xxhash64("node", "key", F.lit(turn)), F.lit(PARTS)) == 0
         around = named.groupBy("key").agg(
             F.max_by("component", F.struct("score", "node")).alias("main"), F.min("component").alias("low"), F.max("component").alias("high"),
-            F.array(*[F.max_by(member, F.when(lot == i, F.struct("score", "node"))) for i in range(CENTRES)]).alias("xs"),
+            F.max_by(member, F.when(drawn, F.struct("score", "node"))).alias("x"),
         )
-        mixed = written(around.where("low != high").select("key", "main", "xs"), "mixed")
+        mixed = written(around.where("low != high").select("key", "main", "x"), "mixed")
         named = named.select("key", "node", "n", "score", "component")
-        stray = written(named.join(mixed, (named["key"] == mixed["key"]) & (F.col("component") != F.col("main"))).select(named["key"], "node", "n", "score", "xs"), "stray")
+        stray = written(named.join(mixed, (named["key"] == mixed["key"]) & (F.col("component") != F.col("main"))).select(named["key"], "node", "n", "score", "x"), "stray")
         hubs = written(stray.groupBy("key").agg(F.max_by(member, F.struct("score", "node")).alias("hub")), "hubs")
-        met = stray.join(hubs, "key").select("node", "n", F.explode(F.array_append("xs", F.col("hub"))).alias("x")).where("x is not null")
+        met = stray.select("node", "n", "x").where("x is not null").union(stray.join(hubs, "key").select("node", "n", "hub"))
         fresh = met.where((F.col("node") != F.col("x.node")) & _sized(percent)).select(*ordered("node", "x.node")).distinct()
         fresh = written(_apart(fresh.join(tested, ["a", "b"], "left_anti"), labels), "candidates")
         links = written(_confirmed(fresh, sets, percent), "links")
@@ -216,6 +251,7 @@ def _linked(members: DataFrame, sets: DataFrame, percent: int, idle_rounds: int)
             labels = _joined(labels, links)
         tested = tested.unionByName(fresh)
         drop(stray, mixed, hubs)
+        release(spark)
         idle = 0 if linked else idle + 1
     return labels
 
