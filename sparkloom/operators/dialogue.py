@@ -23,10 +23,10 @@ def linked_turns(entries: DataFrame, max_depth: int = 10_000) -> DataFrame:
     """
     from .graphs import _cut
 
-    known = entries.select("session", F.col("uuid").alias("known")).distinct()
-    parent = F.when(F.col("known").isNotNull(), F.col("parent"))
-    up = entries.join(known, (known["session"] == entries["session"]) & (F.col("parent") == F.col("known")), "left")
-    state = _cut(up.select(entries["session"], "uuid", parent.alias("up"), F.when(parent.isNotNull(), 1).otherwise(0).cast("long").alias("depth"), F.coalesce(parent, "uuid").alias("root")))
+    known = entries.select("session", F.col("uuid").alias("parent"), F.lit(True).alias("known")).distinct()
+    parent = F.when(F.col("known"), F.col("parent"))
+    up = entries.select("session", "uuid", "parent").join(known, ["session", "parent"], "left")
+    state = _cut(up.select("session", "uuid", parent.alias("up"), F.when(parent.isNotNull(), 1).otherwise(0).cast("long").alias("depth"), F.coalesce(parent, "uuid").alias("root")))
     rounds = max(1, max_depth.bit_length())
     for _ in range(rounds):
         far = state.select("session", F.col("uuid").alias("up"), F.col("up").alias("up2"), F.col("depth").alias("depth2"), F.col("root").alias("root2"))
