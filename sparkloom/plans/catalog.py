@@ -31,7 +31,7 @@ def oracle_sql() -> dict[str, str]:
 
 
 def _load() -> None:
-    from . import activity, analyzers, knowledge  # noqa: F401
+    from . import activity, analyzers, insights, knowledge  # noqa: F401
 
 
 _load()
