@@ -7,11 +7,11 @@ from __future__ import annotations
 
 import tempfile
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.numeric import cosine, half_up
-
 
 def _cut(df: DataFrame) -> DataFrame:
     context = df.sparkSession.sparkContext
@@ -23,7 +23,7 @@ def _cut(df: DataFrame) -> DataFrame:
 def neighbourhood(edges: DataFrame, nodes: DataFrame, top: int) -> DataFrame:
     """The heaviest incoming edges of each given node."""
     w = Window.partitionBy("dst").orderBy(F.desc("weight"), "src")
-    return edges.join(F.broadcast(nodes), F.col("dst") == F.col("node"), "left_semi").withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= top).select("dst", "src", "weight", F.col("rank").cast("long").alias("rank"))
+    return edges.join(nodes, F.col("dst") == F.col("node"), "left_semi").withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= top).select("dst", "src", "weight", F.col("rank").cast("long").alias("rank"))
 
 
 def hubs(edges: DataFrame, least: int) -> DataFrame:
@@ -105,12 +105,51 @@ def communities(edges: DataFrame, rounds: int = 5) -> DataFrame:
     return labels
 
 
-def nearest(vectors: DataFrame, id_: str, vector: str, queries: DataFrame, k: int, least: float = -1.0) -> DataFrame:
-    """The k most similar vectors of each query by cosine.  The stated query set is broadcast block by block."""
-    q = queries.select(F.col(id_).alias("query"), F.col(vector).alias("__q"))
-    met = vectors.join(F.broadcast(q)).where(F.col(id_) != F.col("query")).select("query", id_, half_up(cosine(F.col("__q"), F.col(vector)), 6).alias("similarity")).where(F.col("similarity") >= least)
+def nearest(vectors: DataFrame, id_: str, vector: str, queries: DataFrame, k: int, least: float = -1.0, block: int = 4096) -> DataFrame:
+    """The k most similar vectors of each query by cosine (to six places, ties by id), exactly.
+
+    The stated query set goes over all vectors in blocks of bounded size; every task keeps the k best of a query, so that only
+    those meet.  Vectors without length are similar to nothing (0).
+    """
+    spark = vectors.sparkSession
+    numbered = queries.select(F.col(id_).alias("query"), F.col(vector).alias("q"))
+    blocks = max(1, -(-numbered.count() // block))
+    kind = vectors.schema[id_].dataType.simpleString()
+    out = None
+    for b in range(blocks):
+        part = numbered if blocks == 1 else numbered.where(F.pmod(F.xxhash64("query"), F.lit(blocks)) == b)
+        rows = part.toPandas()
+        held = spark.sparkContext.broadcast((rows["query"].to_numpy(), _unit(rows["q"])))
+
+        def best(frames, held=held):  # noqa: ANN001, ANN202
+            names, unit = held.value
+            top = None
+            for frame in frames:
+                for a in range(0, len(frame) if len(names) else 0, 1024):
+                    part = frame.iloc[a : a + 1024]
+                    sim = np.floor(_unit(part[vector]) @ unit.T * 1e6 + 0.5) / 1e6
+                    bound = np.full(len(names), least)
+                    if len(part) > k + 1:  # one more than k, as a query may meet itself; ties at the bound stay
+                        bound = np.maximum(bound, np.partition(sim, -(k + 1), axis=0)[-(k + 1)])
+                    of, at = np.nonzero(sim >= bound)
+                    found = pd.DataFrame({"query": names[at], id_: part[id_].to_numpy()[of], "similarity": sim[of, at]})
+                    found = found[found["query"] != found[id_]]
+                    top = (found if top is None else pd.concat([top, found])).sort_values(["query", "similarity", id_], ascending=[True, False, True]).groupby("query").head(k)
+            if top is not None:
+                yield top
+
+        met = vectors.select(id_, vector).mapInPandas(best, f"query {kind}, `{id_}` {kind}, similarity double")
+        out = met if out is None else out.unionByName(met)
     w = Window.partitionBy("query").orderBy(F.desc("similarity"), id_)
-    return met.withColumn("rank", F.row_number().over(w).cast("long")).where(F.col("rank") <= k)
+    return out.withColumn("rank", F.row_number().over(w).cast("long")).where(F.col("rank") <= k)
+
+
+def _unit(column) -> np.ndarray:  # noqa: ANN001
+    if not len(column):
+        return np.zeros((0, 1))
+    m = np.array(column.tolist(), dtype=float)
+    norm = np.linalg.norm(m, axis=1, keepdims=True)
+    return np.divide(m, norm, out=np.zeros_like(m), where=norm > 0)
 
 
 def subtree(pairs: DataFrame, parent: str, child: str, rounds: int = 50) -> DataFrame:

@@ -105,9 +105,16 @@ def latest(rows: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
 
 
 def indexed_quantile(rows: DataFrame, value: str, q: float, by: list[str] | None = None) -> DataFrame:
-    """The element at floor(n q) of the sorted values (counted from 0), as hot-spot thresholds take it."""
-    values = F.array_sort(F.collect_list(value))
-    return rows.groupBy(*(by or [])).agg(F.element_at(values, (F.least(F.floor(F.count(value) * q), F.count(value) - 1) + 1).cast("int")).alias("quantile"))
+    """The element at floor(n q) of the sorted values (counted from 0), as hot-spot thresholds take it.
+
+    Only distinct values with their counts are ordered, never the rows themselves.
+    """
+    keys = ", ".join(f"`{k}`" for k in by or []) or "1"
+    counts = rows.where(F.col(value).isNotNull()).groupBy(*(by or []), value).agg(F.count("*").alias("__c"))
+    whole = F.expr(f"sum(__c) over (partition by {keys})")
+    upto = F.expr(f"sum(__c) over (partition by {keys} order by `{value}` rows between unbounded preceding and current row)")
+    placed = counts.select("*", upto.alias("__to"), F.least(F.floor(whole * q), whole - 1).alias("__at"))
+    return placed.where("__to > __at").groupBy(*(by or [])).agg(F.min(value).alias("quantile"))
 
 
 def churn(touches: DataFrame, days: float, least: int = 3, q: float = 0.9) -> DataFrame:
