@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import gc
-import os
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -97,9 +96,3 @@ def running_total(df: DataFrame, order: list[str], amount: str, out: str, name:
     result = local.join(F.broadcast(offsets), "__part").withColumn(out, F.col("__local") + F.col("__before")).drop("__part", "__local", "__before")
     result._sparkloom_path = ranged._sparkloom_path
     return result
-
-
-def on_path(spark: SparkSession) -> None:
-    """Let Python workers import this package where it is not installed."""
-    root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
-    os.environ["PYTHONPATH"] = os.pathsep.join(dict.fromkeys([root, *os.environ.get("PYTHONPATH", "").split(os.pathsep)]))
