@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import article, decontam, interleaved, langid, linededup, minhash, packing, pii, urlfilter, warc
+from . import article, decontam, interleaved, langid, linededup, minhash, oracles, packing, pii, urlfilter, warc
 from ._shared import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -57,4 +57,4 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(oracles.ORACLES)
