@@ -153,7 +153,7 @@ def near_duplicates(documents: DataFrame, k: int = 5, percent: int = 80, idle_ro
     """doc_id, n_shingles, component_id (the least doc_id reachable) and kept, a row per document."""
     documents = documents.select("doc_id", "text")
     with scratch(documents.sparkSession) as kept:
-        least = -(-100 // (100 - percent))  # smaller sets are similar enough only if they are equal
+        least = -(-percent // max(1, 100 - percent))  # of smaller sets, even one shingle more or less is too much: only equal ones link
         signed = written(signatures(documents, k, least), "signatures")
         classes = written(
             signed.where("set_id is not null").groupBy("set_id").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch")).withColumn("node", F.monotonically_increasing_id()),

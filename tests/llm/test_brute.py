@@ -70,6 +70,16 @@ def test_near_duplicate_components(docs, texts, k, percent):
         assert (r.n_shingles, r.component_id, r.kept) == (len(sets[r.doc_id]), least[r.doc_id], least[r.doc_id] == r.doc_id)
 
 
+@pytest.mark.parametrize("k,percent,n", [(3, 85, 8), (5, 80, 8)])
+def test_smallest_sets_that_link(spark, k, percent, n):
+    """6 of 7 shingles (k 3) and 4 of 5 (k 5) are enough; one shingle fewer each is not."""
+    word = lambda tag, i: f"{tag}{i}"
+    rows = [(0, " ".join(word("a", i) for i in range(n))), (1, " ".join(word("a", i) for i in range(n + 1)))]
+    rows += [(2, " ".join(word("b", i) for i in range(n - 1))), (3, " ".join(word("b", i) for i in range(n)))]
+    got = {r.doc_id: r.component_id for r in minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), k, percent).collect()}
+    assert got == {0: 0, 1: 0, 2: 2, 3: 3}
+
+
 def test_edited_copies_stay_together(spark):
     rng = np.random.default_rng(5)
     base = [f"w{i}" for i in range(300)]
