@@ -229,28 +229,35 @@ def _linked(members: DataFrame, sets: DataFrame, percent: int, idle_rounds: int)
     if more.limit(1).count():
         labels = _joined(labels, more)
 
-    spark, idle, turn = members.sparkSession, 0, 0
+    spark, idle, turn, before = members.sparkSession, 0, 0, None
     while idle < idle_rounds:
         turn += 1
-        named = members.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
+        named = members.join(labels, "node", "left").select("key", "node", "n", "score", F.coalesce("component", "node").alias("component"))
+        named = written(named, "members")
         drawn = F.pmod(F.xxhash64("node", "key", F.lit(turn)), F.lit(PARTS)) == 0
         around = named.groupBy("key").agg(
             F.max_by("component", F.struct("score", "node")).alias("main"), F.min("component").alias("low"), F.max("component").alias("high"),
             F.max_by(member, F.when(drawn, F.struct("score", "node"))).alias("x"),
         )
         mixed = written(around.where("low != high").select("key", "main", "x"), "mixed")
-        named = named.select("key", "node", "n", "score", "component")
-        stray = written(named.join(mixed, (named["key"] == mixed["key"]) & (F.col("component") != F.col("main"))).select(named["key"], "node", "n", "score", "x"), "stray")
+        if not mixed.limit(1).count():
+            break
+        # Components only grow together, so a bucket inside one of them stays so, and leaves.
+        inside = written(named.join(mixed, "key"), "members")
+        stray = inside.where("component != main")
         hubs = written(stray.groupBy("key").agg(F.max_by(member, F.struct("score", "node")).alias("hub")), "hubs")
         met = stray.select("node", "n", "x").where("x is not null").union(stray.join(hubs, "key").select("node", "n", "hub"))
         fresh = met.where((F.col("node") != F.col("x.node")) & _sized(percent)).select(*ordered("node", "x.node")).distinct()
         fresh = written(_apart(fresh.join(tested, ["a", "b"], "left_anti"), labels), "candidates")
-        links = written(_confirmed(fresh, sets, percent), "links")
-        linked = links.limit(1).count() > 0
+        linked = False
+        if fresh.limit(1).count():
+            links = written(_confirmed(fresh, sets, percent), "links")
+            linked = links.limit(1).count() > 0
         if linked:
             labels = _joined(labels, links)
         tested = tested.unionByName(fresh)
-        drop(stray, mixed, hubs)
+        drop(*(x for x in (named, mixed, hubs, before) if x is not None))
+        members, before = inside.select("key", "node", "n", "score"), inside
         release(spark)
         idle = 0 if linked else idle + 1
     return labels
