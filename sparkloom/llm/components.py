@@ -29,14 +29,13 @@ def components(edges: DataFrame, a: str, b: str) -> DataFrame:
     """
     with scratch(edges.sparkSession) as kept:
         edges = written(edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u != v").distinct(), "edges")
-        before = None
         while True:
             large = _star(edges, small=False)
             edges = written(_star(large, small=True), "edges")
-            state = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-            if state == before:
+            # Links lead to smaller nodes; once every node either leads to one other or is led to, that one is its least.
+            leads, led = edges.groupBy("u").agg(F.count("*").alias("n")), edges.select(F.col("v").alias("u"), F.lit(1).cast("long").alias("n"))
+            if not leads.unionByName(led.distinct()).groupBy("u").agg(F.sum("n").alias("n")).where("n > 1").limit(1).count():
                 break
-            before = state
         roots = edges.select("v").distinct().select(F.col("v").alias("node"), F.col("v").alias("component"))
         out = written(edges.select(F.col("u").alias("node"), F.col("v").alias("component")).union(roots), "components")
         kept.append(out)
