@@ -9,6 +9,9 @@
 4. Candidates are confirmed on full sets.  Members of a bucket that stay apart from its centre's component get further
    centres, round by round: the one that meets most others in a random part of the bucket, and one among themselves, until
    a round links nothing more.  Only strays are joined to centres, so that a round costs a few rows for each of them.
+5. The rounds only save work: what they leave in buckets of several components is searched to the end by the prefix rule.
+   Two similar sets share a shingle among the first of each, in any one order of all shingles.  In the order taken here those
+   that only one component has come first, and then the rare ones, so that few pairs are left to be compared.
 
 Defined results: null, empty or wordless texts have no shingles and stand alone; null doc_ids take part, but never name a
 component unless all its ids are null; repeated rows share their component; other columns are ignored; no rows give no rows.
@@ -33,7 +36,7 @@ ROWS = 4
 BANDS = BINS // ROWS
 #: Deviations by which a sketch must fall short before a pair is not compared in full.
 SIGMAS = 6.0
-#: Further centres are taken from a random part of a bucket, one in so many; rounds that may link nothing before the search ends.
+#: Further centres are taken from a random part of a bucket, one in so many; rounds that may link nothing before the exact finish.
 PARTS = 4
 IDLE_ROUNDS = 1
 #: Ids of the texts to be compared in full, up to which they are broadcast; beyond, both sides shuffle.
@@ -260,9 +263,54 @@ def _linked(members: DataFrame, sets: DataFrame, percent: int, idle_rounds: int)
         members, before = inside.select("key", "node", "n", "score"), inside
         release(spark)
         idle = 0 if linked else idle + 1
+    else:
+        rest = _rest(members, labels, tested, sets, percent)
+        if rest.limit(1).count():
+            labels = _joined(labels, written(_confirmed(rest, sets, percent), "links"))
     return labels
 
 
+def _shingles(sets: DataFrame) -> DataFrame:
+    """node, n, component, size and shingle, a row per shingle of ``sets``."""
+    fields = ["node", "n", "component", "size"]
+
+    def explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = batch.column(batch.schema.get_field_index("shingles"))
+            for at in range(0, batch.num_rows, 500):
+                each = [np.frombuffer(x.as_py(), np.int64) for x in found[at : at + 500]]
+                rows = np.repeat(np.arange(at, at + len(each)), [len(x) for x in each])
+                keep = [batch.column(batch.schema.get_field_index(f)).take(pa.array(rows)) for f in fields]
+                yield pa.RecordBatch.from_arrays([*keep, pa.array(np.concatenate(each))], [*fields, "shingle"])
+
+    return sets.select(*fields, "shingles").mapInArrow(explode, "node bigint, n bigint, component bigint, size bigint, shingle bigint")
+
+
+def _rest(members: DataFrame, labels: DataFrame, tested: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Every untested pair (a, b) of members in different components that can be similar enough."""
+    nodes = members.select("node").distinct().join(labels, "node", "left").select("node", F.coalesce("component", "node").alias("component"))
+    nodes = written(nodes, "rest")
+    sizes = written(nodes.groupBy("component").agg(F.count("*").alias("size")), "sizes")
+    shingles = written(_shingles(sets.join(nodes.join(sizes, "component"), "node")), "shingles")
+    # Of each pair across components at least one member is outside the main one, whichever that is; the largest leaves fewest.
+    met = shingles.groupBy("shingle").agg(F.count("*").alias("df"), F.min("component").alias("low"), F.max("component").alias("high"), F.max_by("component", F.struct("size", "component")).alias("main"))
+    met = written(met.where("low != high").select("shingle", "df", "main"), "met")
+    mixed = written(shingles.drop("size").join(met, "shingle"), "mixed")
+    lists = mixed.groupBy("node", "n", "component").agg(F.array_sort(F.collect_list(F.struct("df", "shingle", "main"))).alias("mixed"))
+    # Similar sets share percent * n shingles of either, so one is among the first n - that + 1; those of one component come first.
+    first = F.expr(f"n - ({percent} * n + 99) div 100 + 1") - (F.col("n") - F.size("mixed"))
+    prefix = lists.select("node", "n", "component", F.explode(F.slice("mixed", F.lit(1), F.greatest(F.lit(0), first).cast("int"))).alias("x"))
+    prefix = written(prefix.select("node", "n", "component", "x.shingle", "x.main"), "prefix")
+    x = F.struct("node", "n", "component").alias("x")
+    strays = prefix.where("component != main").select("shingle", "main", x)
+    pairs = prefix.drop("main").join(strays, "shingle").where((F.col("component") != F.col("x.component")) & _sized(percent))
+    pairs = pairs.where((F.col("component") == F.col("main")) | (F.col("node") < F.col("x.node")))
+    pairs = written(pairs.select(F.least("node", "x.node").alias("a"), F.greatest("node", "x.node").alias("b")).distinct(), "candidates")
+    pairs = written(pairs.join(tested, ["a", "b"], "left_anti"), "candidates")
+    drop(nodes, sizes, shingles, met, mixed, prefix)
+    return pairs
+
+
 def op4(documents: DataFrame) -> DataFrame:
     """The contract's columns: three-word shingles, similarity of 0.85."""
     return near_duplicates(documents, k=3, percent=85)

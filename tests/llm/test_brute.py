@@ -93,6 +93,26 @@ def test_edited_copies_stay_together(spark):
     assert {r.component_id for r in minhash.op4(df).collect()} == {0}
 
 
+def test_pairs_that_are_never_centres(spark):
+    """Texts from one pool of paragraphs share big buckets and do not link; each one's only partner is a copy with three exchanged.
+    Stars alone lose three links; no round of further centres is needed to find them."""
+    rng = np.random.default_rng(11)
+    pool = [[f"p{i}w{j}" for j in range(12)] for i in range(100)]
+    rows = []
+    for i in range(60):
+        order = rng.permutation(100)
+        for d, chosen in enumerate((order[:85], order[3:88])):
+            rows.append((2 * i + d, " ".join(w for p in sorted(chosen) for w in pool[p])))
+    sets = {i: {tuple(w[j : j + 3]) for w in [t.split()] for j in range(len(w) - 2)} for i, t in rows}
+    least = {i: i for i in sets}
+    for a, b in ((a, b) for a in sets for b in sets if a < b and 100 * len(sets[a] & sets[b]) >= 85 * len(sets[a] | sets[b])):
+        low, high = sorted((least[a], least[b]))
+        least = {i: low if c == high else c for i, c in least.items()}
+    assert len(set(least.values())) > 40
+    got = {r.doc_id: r.component_id for r in minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 3, 85, idle_rounds=0).collect()}
+    assert got == least
+
+
 PATTERNS = {
     "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+",
     "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)",
