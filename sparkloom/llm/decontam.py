@@ -5,7 +5,7 @@ the longest sequence of item words that ends there.  Where that is at least a wi
 
 Words: texts lower-cased in A-Z only, runs of digits, letters a-z and characters beyond ASCII.
 
-Defined results: null or empty text has no words and no hits; null or wordless items match nothing; repeated items and
+Defined results: null or empty text has no words and no hits; null or wordless item texts match nothing; items without an id count for hits and are not named; repeated items and
 repeated documents each keep their own row; no items or no documents give no hits or no rows; other columns are ignored.
 """
 
@@ -160,12 +160,12 @@ def _item_words(texts_: list[str | None]) -> list[np.ndarray]:
 
 def _shards(benchmark: DataFrame, window: int, shard_words: int) -> Iterator[Automaton]:
     """Automata of at most about ``shard_words`` words; each part of the benchmark is fetched alone."""
-    items = benchmark.select(F.col("item_id").cast("string").alias("item_id"), "text").where("item_id is not null and text is not null")
+    items = benchmark.select(F.col("item_id").cast("string").alias("item_id"), "text").where("text is not null")
     size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n = max(1, -(-size // (5 * shard_words)))
     for i in range(n):
         part = items if n == 1 else items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == i)
-        rows = sorted((r.item_id, r.text) for r in part.collect())
+        rows = sorted(((r.item_id, r.text) for r in part.collect()), key=lambda x: (x[0] is not None, x[0] or "", x[1]))
         found = [(name, w) for (name, _), w in zip(rows, _item_words([t for _, t in rows])) if len(w)]
         yield Automaton(found, window)
 
@@ -195,7 +195,7 @@ def contamination(documents: DataFrame, benchmark: DataFrame, window: int = WIND
                     for shard in automata:
                         a, b = shard.value.scan(mine)
                         found += a
-                        names |= {shard.value.names[i] for i in b}
+                        names |= {shard.value.names[i] for i in b} - {None}
                     if len(automata) > 1:
                         found = merged(found)
                     hits.append([{"start": s, "end": e} for s, e in found])

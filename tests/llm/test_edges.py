@@ -124,6 +124,14 @@ def test_op9(spark, docs, none):
     assert decontam.op9(none, items).collect() == []
 
 
+def test_op9_items_without_an_id(spark, docs):
+    """Their windows count as hits; only their name is left out."""
+    items = spark.createDataFrame([(None, LINE), (None, "A b"), (None, None)], "item_id string, text string")
+    by = {r.doc_id: r for r in decontam.op9(docs, items).collect()}
+    assert (by[4].n_hit, by[4].n_items, by[4].contaminated) == (60, 0, True)
+    assert (by[8].n_hit, by[8].n_items) == (2, 0)
+
+
 def test_op10(spark):
     pages = spark.createDataFrame([(1, "http://a\nb", "x"), (2, None, "x"), (3, "u", None), (4, "u", ""), (None, "u", "x"), (None, "u", "y"), (5, "u", "é" * 100_000), (2, None, "x")], "page_id bigint, url string, html string")
     rows = warc.op10(pages).collect()
