@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 
 #: Bytes of text that are worked on at once; longer texts come alone.
-SLICE_BYTES = 1 << 21
+SLICE_BYTES = 1 << 18
 
-_BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
-_INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
+_BASE = np.uint64(0x9E3779B97F4A7C15)
+#: Ranges of more bytes are hashed one by one by the library.
+_LONG = 512
 
 #: A-Z to a-z, other bytes unchanged.
 LOWER = np.arange(256, dtype=np.uint8)
@@ -35,21 +37,6 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
-_powers = {"p": np.ones(1, np.uint64), "i": np.ones(1, np.uint64)}
-
-
-def _powers_to(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """The first n powers of the base and of its inverse modulo 2 ** 64."""
-    if len(_powers["p"]) < n:
-        size = 1 << (n - 1).bit_length()
-        for key, base in (("p", _BASE), ("i", _INVERSE)):
-            steps = np.full(size, base, dtype=np.uint64)
-            steps[0] = 1
-            with np.errstate(over="ignore"):
-                _powers[key] = np.multiply.accumulate(steps)
-    return _powers["p"], _powers["i"]
-
-
 def texts(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Bytes and offsets of a string column; nulls are empty."""
     column = column.cast(pa.large_string())
@@ -92,13 +79,24 @@ def words(data: np.ndarray, at: np.ndarray, keep: np.ndarray) -> tuple[np.ndarra
     return starts, ends, np.searchsorted(starts, at)
 
 
-def hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit hashes of byte ranges, from one running sum of the bytes' powers."""
-    with np.errstate(over="ignore"):
-        power, inverse = _powers_to(len(data) + 1)
-        sums = np.zeros(len(data) + 1, dtype=np.uint64)
-        np.cumsum((data.astype(np.uint64) + np.uint64(1)) * power[: len(data)], out=sums[1:])
-        return mix((sums[ends] - sums[starts]) * inverse[starts] + (ends - starts).astype(np.uint64))
+def hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: int = 0) -> np.ndarray:
+    """64-bit hashes of byte ranges, mixed in eight bytes at a time; other seeds give independent hashes."""
+    size = ends - starts
+    out = np.full(len(starts), mix(np.array([seed], np.uint64))[0], dtype=np.uint64) + size.astype(np.uint64) * _BASE
+    padded = np.zeros(len(data) + 8, dtype=np.uint8)
+    padded[: len(data)] = data
+    eight = np.ndarray(len(data) + 1, dtype="<u8", buffer=padded, strides=(1,))
+    long = size > _LONG
+    which, done = np.flatnonzero(~long & (size > 0)), 0
+    while len(which):
+        left = np.minimum(size[which] - done, 8).astype(np.uint64)
+        block = eight[starts[which] + done] & (np.uint64(0xFFFFFFFFFFFFFFFF) >> (np.uint64(64) - (left << np.uint64(3))))
+        out[which] = mix((out[which] ^ block) + _BASE)
+        done += 8
+        which = which[size[which] > done]
+    for i in np.flatnonzero(long):
+        out[i] = np.frombuffer(hashlib.blake2b(data[starts[i] : ends[i]], digest_size=8, salt=seed.to_bytes(8, "little")).digest(), np.uint64)[0]
+    return out
 
 
 def shingle_hashes(word: np.ndarray, k: int) -> np.ndarray:

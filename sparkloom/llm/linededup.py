@@ -57,7 +57,7 @@ def _lines(documents: DataFrame, least: int) -> DataFrame:
                 counts = np.searchsorted(word, ends) - np.searchsorted(word, starts)
                 full = counts > 0
                 starts, ends, counts = starts[full], ends[full], counts[full]
-                one, two = hashes(data, starts, ends), hashes(data ^ np.uint8(0xA5), starts, ends)
+                one, two = hashes(data, starts, ends), hashes(data, starts, ends, seed=1)
                 first = np.searchsorted(starts, at)
                 pos = np.arange(len(starts)) - np.repeat(first[:-1], np.diff(first))
                 spans: list = [None] * len(starts)
