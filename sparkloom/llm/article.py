@@ -64,7 +64,17 @@ _NAMES = set(
     "gdpr notice notices alert popup modal overlay newsletter subscribe subscription signup login register share sharing social comment comments commentlist "
     "respond reply replies disqus discussion form search skip copyright legal disclaimer".split()
 )
+#: Of these, the ones that say so only as the last part of a name ("login-form", not "form-factor"), and those of reader comments.
+_LAST = {"form"}
+_COMMENTS = set("comment comments commentlist respond reply replies disqus discussion".split())
 _PARTS = re.compile(r"[A-Za-z][a-z]*|[0-9]+")
+#: What a head may hold; any other tag ends it.  Tags that end an open one of the second set, up to the third.
+_IN_HEAD = set("base link meta title script style noscript template head html".split())
+_IMPLIED = {
+    "li": ({"li"}, {"ul", "ol", "menu", "dir"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}),
+    "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "tr": ({"tr", "td", "th"}, {"table"}),
+    "tbody": ({"tr", "tbody", "thead", "tfoot"}, {"table"}), "tfoot": ({"tr", "tbody", "thead", "tfoot"}, {"table"}), "option": ({"option"}, {"select", "datalist"}),
+}
 
 
 class _Blocks(HTMLParser):
@@ -93,17 +103,24 @@ class _Blocks(HTMLParser):
             inside = True
         if tag in _NAMED or given.get("role") in _ROLES or tag == "header" and not inside:
             named = True
-        elif tag not in ("html", "body", *_ARTICLE):
-            words = {w.lower() for w in _PARTS.findall(given.get("class", "") + " " + given.get("id", ""))}
-            named = named or bool(words & _NAMES) or "header" in words and not inside
+        elif tag not in ("html", "body"):
+            words = set()
+            for name in (given.get("class", "") + " " + given.get("id", "")).split():
+                parts = [w.lower() for w in _PARTS.findall(name)]
+                words |= {w for w in parts[:-1] if w not in _LAST} | set(parts[-1:])
+            names = _COMMENTS if tag in _ARTICLE else _NAMES
+            named = named or bool(words & names) or "header" in words and not inside and tag not in _ARTICLE
         return hidden, inside, named
 
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
+        if tag not in _IN_HEAD:
+            self._end({"head"}, {"body"})
         if tag in _BLOCKS:
             self.flush()
-            if self.stack and self.stack[-1][0] == "p":
-                self._pop(len(self.stack) - 1)
-        elif tag in ("br", "td", "th"):
+            self._end({"p"}, _BLOCKS - {"p"})
+        if tag in _IMPLIED:
+            self._end(*_IMPLIED[tag])
+        if tag in ("br", "td", "th"):
             self.text.append(" ")
         if tag == "a":
             self.links += 1
@@ -117,6 +134,17 @@ class _Blocks(HTMLParser):
         if tag not in _VOID:
             self.handle_endtag(tag)
 
+    def _end(self, tags: set[str], up_to: set[str]) -> None:
+        """Close the outermost open element of ``tags`` above the innermost one of ``up_to``."""
+        at = None
+        for i in range(len(self.stack) - 1, -1, -1):
+            if self.stack[i][0] in tags:
+                at = i
+            elif self.stack[i][0] in up_to:
+                break
+        if at is not None:
+            self._pop(at)
+
     def _pop(self, to: int) -> None:
         for tag, *_ in self.stack[to:]:
             if tag == "a":

@@ -3,15 +3,20 @@
 The automaton holds every word sequence of the items.  Document words stream through it; after each word its state tells
 the longest sequence of item words that ends there.  Where that is at least a window long, the window's words are hit.
 
+Items are cut into overlapping chunks and dealt to shards of bounded size, whose automata are built on the executors.  The
+documents are scanned once for each shard, with one automaton in memory at a time; ranges and items are then brought together.
+
 Words: texts lower-cased in A-Z only, runs of digits, letters a-z and characters beyond ASCII.
 
 Defined results: null or empty text has no words and no hits; null or wordless item texts match nothing; items without an id count for hits and are not named; repeated items and
-repeated documents each keep their own row; no items or no documents give no hits or no rows; other columns are ignored.
+repeated documents each keep their own row; no items or no documents give no hits or no rows; other columns pass through
+``contamination`` and ``verdicts``, but for those named like the ones added, which are replaced.
 """
 
 from __future__ import annotations
 
 import hashlib
+import pickle
 from collections.abc import Iterator
 
 import numpy as np
@@ -19,11 +24,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._words import ALNUM, LOWER, hashes, slices, words
+from ._shared import running_total, scratch, unused, written
+from ._words import ALNUM, LOWER, columns, hashes, slices, words
 
 WINDOW = 13
 #: An automaton takes about 300 bytes a word; benchmarks of more words are dealt over several, each scanned in turn.
 SHARD_WORDS = 200_000
+#: Words of an item that lie in one chunk, besides the window's overlap.
+CHUNK_WORDS = 20_000
 
 
 class Automaton:
@@ -149,39 +157,59 @@ class Automaton:
         return found, items
 
 
-def _item_words(texts_: list[str | None]) -> list[np.ndarray]:
-    out = []
-    for text in texts_:
-        data = LOWER[np.frombuffer((text or "").encode("utf-8", "surrogatepass"), dtype=np.uint8)]
-        starts, ends, _ = words(data, np.array([0, len(data)]), ALNUM)
-        out.append(hashes(data, starts, ends))
-    return out
-
-
-def _shards(benchmark: DataFrame, window: int, shard_words: int) -> Iterator[Automaton]:
-    """Automata of at most about ``shard_words`` words; each part of the benchmark is fetched alone."""
-    items = benchmark.select(F.col("item_id").cast("string").alias("item_id"), "text").where("text is not null")
-    size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    n = max(1, -(-size // (5 * shard_words)))
-    for i in range(n):
-        part = items if n == 1 else items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == i)
-        rows = sorted(((r.item_id, r.text) for r in part.collect()), key=lambda x: (x[0] is not None, x[0] or "", x[1]))
-        found = [(name, w) for (name, _), w in zip(rows, _item_words([t for _, t in rows])) if len(w)]
-        yield Automaton(found, window)
-
-
-def contamination(documents: DataFrame, benchmark: DataFrame, window: int = WINDOW, shard_words: int = SHARD_WORDS) -> DataFrame:
-    """Columns of ``documents`` plus ``n_words``, ``hits`` (merged ranges of hit words) and ``items`` (sorted item ids).
+def _chunks(benchmark: DataFrame, window: int) -> DataFrame:
+    """item (null where the id is), number (of the row and chunk), n and words (hashes as bytes): every window lies in one chunk."""
+    items = benchmark.select(F.col("item_id").cast("string").alias("item"), "text").where("text is not null")
 
-    One scan of the documents, without a shuffle; each automaton is broadcast and bounded by ``shard_words``.
-    """
-    spark = documents.sparkSession
-    automata = [spark.sparkContext.broadcast(x) for x in _shards(benchmark, window, shard_words)]
-    fields = [f.name for f in documents.schema.fields]
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part, data, at in slices(batch, "text"):
+                data = LOWER[data]
+                starts, ends, first = words(data, at, ALNUM)
+                word = hashes(data, starts, ends)
+                of, found = [], []
+                for i, (a, b) in enumerate(zip(first, first[1:])):
+                    for c in range(a, max(a + 1, b - window + 1), CHUNK_WORDS) if b > a else ():
+                        of.append(i)
+                        found.append(word[c : min(b, c + CHUNK_WORDS + window - 1)].tobytes())
+                yield pa.RecordBatch.from_arrays([columns(part, "item")[0].take(pa.array(of, pa.int64())), pa.array([len(x) // 8 for x in found], pa.int64()), pa.array(found, pa.binary())], ["item", "n", "words"])
+
+    return items.mapInArrow(cut, "item string, n bigint, words binary").withColumn("number", F.monotonically_increasing_id())
+
+
+def _shards(benchmark: DataFrame, window: int, shard_words: int) -> tuple[DataFrame, list[int]]:
+    """shard and automaton (pickled), each of about ``shard_words`` words, and the numbers of the shards."""
+    chunks = written(_chunks(benchmark, window), "chunks")
+    placed = running_total(chunks.select("number", "n"), ["number"], "n", "before", "chunks").select("number", F.floor(F.col("before") / shard_words).cast("int").alias("shard"))
+    dealt = chunks.join(placed, "number").repartition("shard").sortWithinPartitions("shard", "item", "words")
+
+    def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows: list[tuple[str | None, np.ndarray]] = []
+        at = None
+        done = lambda: pa.RecordBatch.from_arrays([pa.array([at], pa.int32()), pa.array([pickle.dumps(Automaton(rows, window))], pa.binary())], ["shard", "automaton"])
+        for batch in batches:
+            for shard, item, raw in zip(*(x.to_pylist() for x in columns(batch, "shard", "item", "words"))):
+                if shard != at and rows:
+                    yield done()
+                    rows = []
+                at = shard
+                rows.append((item, np.frombuffer(raw, np.uint64)))
+        if rows:
+            yield done()
+
+    built = written(dealt.mapInArrow(build, "shard int, automaton binary"), "automata")
+    return built, sorted(r.shard for r in built.select("shard").collect())
+
+
+def _scanned(documents: DataFrame, automaton: Automaton, only_hits: bool) -> DataFrame:
+    """Columns of ``documents`` plus n_words, hits and items by one automaton; all rows, or those with hits."""
+    shared = documents.sparkSession.sparkContext.broadcast(automaton)
+    fields = documents.columns
     schema = documents.select(*fields, F.lit(0).cast("long").alias("n_words"), F.array(F.struct(F.lit(0).alias("start"), F.lit(0).alias("end"))).alias("hits"), F.array(F.lit("")).alias("items")).schema
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hit_type = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
+        automaton = shared.value
         for batch in batches:
             for part, data, at in slices(batch, "text"):
                 data = LOWER[data]
@@ -189,31 +217,50 @@ def contamination(documents: DataFrame, benchmark: DataFrame, window: int = WIND
                 word = hashes(data, starts, ends)
                 hits, items = [], []
                 for row in range(part.num_rows):
-                    mine = word[first[row] : first[row + 1]]
-                    found: list[tuple[int, int]] = []
-                    names: set[str] = set()
-                    for shard in automata:
-                        a, b = shard.value.scan(mine)
-                        found += a
-                        names |= {shard.value.names[i] for i in b} - {None}
-                    if len(automata) > 1:
-                        found = merged(found)
+                    found, which = automaton.scan(word[first[row] : first[row + 1]])
                     hits.append([{"start": s, "end": e} for s, e in found])
-                    items.append(sorted(names))
+                    items.append(sorted({automaton.names[i] for i in which} - {None}))
                 arrays = [*part.columns, pa.array(np.diff(first), pa.int64()), pa.array(hits, hit_type), pa.array(items, pa.list_(pa.string()))]
-                yield pa.RecordBatch.from_arrays(arrays, [*fields, "n_words", "hits", "items"])
+                out = pa.RecordBatch.from_arrays(arrays, [*fields, "n_words", "hits", "items"])
+                yield out.filter(pa.array([bool(x) for x in hits], pa.bool_())) if only_hits else out
 
     return documents.mapInArrow(scan, schema)
 
 
-def merged(ranges: list[tuple[int, int]]) -> list[tuple[int, int]]:
-    out: list[tuple[int, int]] = []
-    for s, e in sorted(ranges):
-        if out and s <= out[-1][1]:
-            out[-1] = (out[-1][0], max(e, out[-1][1]))
-        else:
-            out.append((s, e))
-    return out
+def contamination(documents: DataFrame, benchmark: DataFrame, window: int = WINDOW, shard_words: int = SHARD_WORDS) -> DataFrame:
+    """Columns of ``documents`` plus ``n_words``, ``hits`` (merged ranges of hit words) and ``items`` (sorted item ids).
+
+    With one shard that is one scan without a shuffle.  With more, each shard's scan keeps only rows with hits; these are
+    merged by row and joined back.
+    """
+    documents = documents.drop("n_words", "hits", "items")
+    with scratch(documents.sparkSession) as kept:
+        built, shards = _shards(benchmark, window, shard_words)
+        one = lambda i: pickle.loads(built.where(F.col("shard") == i).first().automaton)
+        if len(shards) < 2:
+            return _scanned(documents, one(shards[0]) if shards else Automaton([], window), False)
+        (row,) = unused(documents, "row")
+        numbered = written(documents.withColumn(row, F.monotonically_increasing_id()), "documents")
+        parts = None
+        for i in shards:
+            part = written(_scanned(numbered.select(row, "text"), one(i), True).select(row, "hits", "items"), "hits")
+            parts = part if parts is None else parts.unionByName(part)
+        met = parts.groupBy(row).agg(F.array_sort(F.flatten(F.collect_list("hits"))).alias("hits"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
+        met = written(met.withColumn("hits", F.aggregate("hits", F.expr(_NO_HITS), _merge)), "hits")
+        kept += [numbered, met]
+    plain = _scanned(numbered, Automaton([], window), False).drop("hits", "items")
+    out = plain.join(met, row, "left").withColumns({"hits": F.coalesce("hits", F.expr(_NO_HITS)), "items": F.coalesce("items", F.expr("cast(array() as array<string>)"))})
+    return out.drop(row)
+
+
+_NO_HITS = "cast(array() as array<struct<start:int,end:int>>)"
+
+
+def _merge(held: F.Column, x: F.Column) -> F.Column:
+    """Sorted ranges plus the next one."""
+    last = F.try_element_at(held, F.lit(-1))
+    joined = F.concat(F.slice(held, F.lit(1), F.greatest(F.lit(0), F.size(held) - 1)), F.array(F.struct(last["start"].alias("start"), F.greatest(last["end"], x["end"]).alias("end"))))
+    return F.when((F.size(held) > 0) & (x["start"] <= last["end"]), joined).otherwise(F.concat(held, F.array(x)))
 
 
 def n_hit() -> F.Column:
@@ -252,7 +299,7 @@ def remove_spans(scanned: DataFrame) -> DataFrame:
 
 def op9(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The contract's columns: one row per document."""
-    found = verdicts(contamination(documents.select("doc_id", "text"), benchmark), 0.0)
+    found = contamination(documents.select("doc_id", "text"), benchmark).withColumn("n_hit", n_hit())
     return found.select(
         "doc_id",
         "n_words",

@@ -29,7 +29,9 @@ PADDING = 255
 _SIGNATURE = b"\x89PNG\r\n\x1a\n"
 _MEDIA = {"img": "image", "video": "video", "audio": "audio", "source": "source"}
 _BREAKS = {"p", "div", "br", "li", "ul", "ol", "h1", "h2", "h3", "h4", "h5", "h6", "article", "section", "table", "tr", "td", "blockquote", "pre", "figure", "figcaption", "body", "html", "header", "footer"}
-_HIDDEN = {"script", "style", "template", "noscript", "head"}
+_HIDDEN = {"script", "style", "template", "noscript"}
+#: What a head may hold; any other tag ends it.
+_IN_HEAD = {"base", "link", "meta", "title", "script", "style", "noscript", "template", "head", "html"}
 
 ELEMENTS = pa.list_(pa.struct([("position", pa.int32()), ("kind", pa.string()), ("text", pa.string()), ("digest", pa.string()), ("caption", pa.string())]))
 ELEMENTS_SQL = "array<struct<position:int,kind:string,text:string,digest:string,caption:string>>"
@@ -43,6 +45,7 @@ class _Sequence(HTMLParser):
         self.out: list[dict] = []
         self.words: list[str] = []
         self.hidden = 0
+        self.head = False
         self.figure: list[int] | None = None
         self.caption: list[str] | None = None
 
@@ -53,6 +56,7 @@ class _Sequence(HTMLParser):
             self.out.append({"position": len(self.out), "kind": "text", "text": text, "digest": None, "caption": None})
 
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
+        self.head = tag == "head" or self.head and tag in _IN_HEAD
         if tag in _HIDDEN:
             self.hidden += 1
         if tag in _BREAKS or tag in _MEDIA:
@@ -61,7 +65,7 @@ class _Sequence(HTMLParser):
             self.figure = []
         elif tag == "figcaption" and self.figure is not None:
             self.caption = []
-        elif tag in _MEDIA and not self.hidden:
+        elif tag in _MEDIA and not self.hidden and not self.head:
             given = dict(attrs)
             src = given.get("src") or ""
             digest = src.removeprefix("sha256:").lower() if src.startswith("sha256:") else given.get("data-sha256")
@@ -77,6 +81,8 @@ class _Sequence(HTMLParser):
     def handle_endtag(self, tag: str) -> None:
         if tag in _HIDDEN:
             self.hidden = max(0, self.hidden - 1)
+        if tag == "head":
+            self.head = False
         if tag == "figcaption" and self.caption is not None:
             text = " ".join("".join(self.caption).split())
             for i in self.figure or []:
@@ -88,7 +94,7 @@ class _Sequence(HTMLParser):
             self.flush()
 
     def handle_data(self, data: str) -> None:
-        if not self.hidden:
+        if not self.hidden and not self.head:
             (self.words if self.caption is None else self.caption).append(data)
 
 

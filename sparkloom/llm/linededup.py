@@ -11,8 +11,9 @@ made up of the shortest such runs that begin at each of its lines or end at each
 depths give the maximal repeated runs exactly.  The first occurrence by (doc_id, place) stays; all later ones are deleted.
 
 Defined results: null texts stay null and empty ones empty; rows that repeat both doc_id and text count as one document and
-get the same result; null doc_ids come first; lines without words belong to no run and stay where they are; no rows give
-no rows; other columns pass through unchanged.
+get the same result; doc_ids may be numbers (compared as such) or of any other type (compared as strings), and null ones
+come first; lines without words belong to no run and stay where they are; no rows give no rows; other columns pass through
+unchanged, but for those named like the ones added, which are replaced.
 """
 
 from __future__ import annotations
@@ -21,10 +22,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import drop, running_total, scratch, written
+from ._shared import drop, running_total, scratch, unused, written
 from ._words import NOT_SPACE, hashes, slices, words
 
 MIN_WORDS = 50
@@ -76,11 +77,20 @@ def _lines(documents: DataFrame, least: int) -> DataFrame:
                     [*_KEY, "pos", "h1", "h2", "spans", "deepest"],
                 )
 
-    return _keyed(documents).select(*_KEY, "text").mapInArrow(split, "did bigint, th bigint, pos int, h1 bigint, h2 bigint, spans array<int>, deepest int")
+    did, th = _keys(documents)
+    kind = "bigint" if _whole(documents) else "string"
+    return documents.select(did.alias("did"), th.alias("th"), "text").mapInArrow(split, f"did {kind}, th bigint, pos int, h1 bigint, h2 bigint, spans array<int>, deepest int")
 
 
-def _keyed(documents: DataFrame) -> DataFrame:
-    return documents.withColumns({"did": F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))), "th": F.xxhash64("text")})
+def _whole(documents: DataFrame) -> bool:
+    return documents.schema["doc_id"].dataType.simpleString() in ("tinyint", "smallint", "int", "bigint")
+
+
+def _keys(documents: DataFrame) -> tuple[Column, Column]:
+    """A document's id, never null and in the order of doc_ids, and the hash of its text."""
+    own = F.col("doc_id")
+    did = F.coalesce(own.cast("long"), F.lit(-(1 << 63))) if _whole(documents) else F.coalesce(F.concat(F.lit("="), own.cast("string")), F.lit(""))
+    return did, F.xxhash64("text")
 
 
 def repeated_runs(documents: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
@@ -132,33 +142,36 @@ def _at_depths(level: DataFrame, k: int) -> DataFrame:
 def dedup_lines(documents: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """``documents`` with the repeated runs' later copies cut from ``text``; adds n_lines, n_removed and removed ("start:end"
     ranges over the lines that hold a word, comma-joined)."""
-    later = repeated_runs(documents, min_words).groupBy(*_KEY).agg(F.collect_list(F.struct("pos", "m")).alias("__cuts"))
-    later = later.withColumnsRenamed({"did": "__did", "th": "__th"})
-    fields = documents.schema.names
-    keyed = documents.withColumns({"__did": F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))), "__th": F.xxhash64("text")})
-    joined = keyed.join(later, ["__did", "__th"], "left").select(*fields, "__cuts")
+    did, th, cuts_ = unused(documents, "did", "th", "cuts")
+    later = repeated_runs(documents, min_words).groupBy(*_KEY).agg(F.collect_list(F.struct("pos", "m")).alias(cuts_))
+    later = later.withColumnsRenamed({"did": did, "th": th})
+    added = ("n_lines", "n_removed", "removed")
+    fields = [c for c in documents.columns if c not in added]
+    own = _keys(documents)
+    joined = documents.withColumns({did: own[0], th: own[1]}).join(later, [did, th], "left").select(*fields, cuts_)
     schema = documents.select(*fields, F.lit(0).cast("long").alias("n_lines"), F.lit(0).cast("long").alias("n_removed"), F.lit("").alias("removed")).schema
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            column = batch.schema.get_field_index("text")
-            texts, n_lines, n_removed, removed = [], [], [], []
-            for text, cuts in zip(batch.column(column).to_pylist(), batch.column(batch.schema.get_field_index("__cuts")).to_pylist()):
-                lines = (text or "").split("\n")
-                full = [i for i, line in enumerate(lines) if line.strip(" \t\n\v\f\r")]
-                gone = np.zeros(len(full) + 1, dtype=np.int8)
-                for x in cuts or ():
-                    gone[x["pos"] : x["pos"] + x["m"]] = 1
-                if cuts:
-                    out = {full[i] for i in np.flatnonzero(gone[:-1])}
-                    text = "\n".join(line for i, line in enumerate(lines) if i not in out)
-                edges = np.flatnonzero(np.diff(np.concatenate(([0], gone))))
-                texts.append(text)
-                n_lines.append(len(full))
-                n_removed.append(int(gone.sum()))
-                removed.append(",".join(f"{a}:{b}" for a, b in zip(edges[::2], edges[1::2])))
-            arrays = [pa.array(texts, batch.schema.field(i).type) if i == column else batch.column(i) for i in range(len(fields))]
-            yield pa.RecordBatch.from_arrays([*arrays, pa.array(n_lines, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(removed, pa.string())], schema.names)
+            for part, _, _ in slices(batch, "text", 1 << 20):
+                column = part.schema.get_field_index("text")
+                texts, n_lines, n_removed, removed = [], [], [], []
+                for text, cuts in zip(part.column(column).to_pylist(), part.column(part.schema.get_field_index(cuts_)).to_pylist()):
+                    lines = (text or "").split("\n")
+                    full = [i for i, line in enumerate(lines) if line.strip(" \t\n\v\f\r")]
+                    gone = np.zeros(len(full) + 1, dtype=np.int8)
+                    for x in cuts or ():
+                        gone[x["pos"] : x["pos"] + x["m"]] = 1
+                    if cuts:
+                        out = {full[i] for i in np.flatnonzero(gone[:-1])}
+                        text = "\n".join(line for i, line in enumerate(lines) if i not in out)
+                    edges = np.flatnonzero(np.diff(np.concatenate(([0], gone))))
+                    texts.append(text)
+                    n_lines.append(len(full))
+                    n_removed.append(int(gone.sum()))
+                    removed.append(",".join(f"{a}:{b}" for a, b in zip(edges[::2], edges[1::2])))
+                arrays = [pa.array(texts, part.schema.field(i).type) if i == column else part.column(i) for i in range(len(fields))]
+                yield pa.RecordBatch.from_arrays([*arrays, pa.array(n_lines, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(removed, pa.string())], schema.names)
 
     return joined.mapInArrow(cut, schema)
 

@@ -245,8 +245,10 @@ def _rest(members: DataFrame, labels: DataFrame, sets: DataFrame, percent: int)
     first = F.expr(f"n - ({percent} * n + 99) div 100 + 1") - (F.col("n") - F.size("mixed"))
     small = F.when(F.size("mixed") <= SMALL, F.array_sort(F.transform("mixed", lambda x: x["shingle"])))
     lists = lists.join(sets.select("node", "n", "component", "sketch"), "node").withColumns({"first": first.cast("int"), "small": small}).where("first > 0")
-    prefix = lists.select("node", "n", "component", "sketch", "small", F.explode(F.slice("mixed", F.lit(1), F.col("first"))).alias("x"))
-    prefix = prefix.select("node", "n", "component", "sketch", "small", "x.shingle", (F.col("component") == F.col("x.main")).alias("main"))
+    own = F.col("n") - F.size("mixed")
+    prefix = lists.select("node", "n", "component", "sketch", "small", own.alias("own"), F.posexplode(F.slice("mixed", F.lit(1), F.col("first"))).alias("i", "x"))
+    left = (F.col("n") - F.col("own") - F.col("i")).alias("left")
+    prefix = prefix.select("node", "n", left, "component", "sketch", "small", "x.shingle", (F.col("component") == F.col("x.main")).alias("main"))
     return _compared(written(prefix, "prefix"), percent)
 
 
@@ -269,6 +271,8 @@ def _shingles(sets: DataFrame) -> DataFrame:
 def _compared(prefix: DataFrame, percent: int) -> DataFrame:
     """Pairs (a, b) that share a shingle of ``prefix``, differ in component and may be similar enough.
 
+    ``left`` counts a set's shingles from the shared one on, in the common order.  If that is the first one they share, they
+    share no more than that; if it allows too little, it is not the first or they are not similar, and the pair needs no test.
     The members of a shingle are dealt to blocks by hash: main ones against others, and others among themselves.  A block
     against a block is one group, so that no group grows with the shingle's members.
     """
@@ -283,8 +287,8 @@ def _compared(prefix: DataFrame, percent: int) -> DataFrame:
     against_main = F.when(F.col("mains") > 0, F.transform(F.sequence(F.lit(0), F.greatest(F.lit(1), F.col("mains")) - 1), lambda m: key(-1 - m, F.col("own"))))
     among = F.transform(others, lambda c: key(F.least("own", c), F.greatest("own", c)))
     groups = F.when(F.col("main"), F.transform(others, lambda c: key(-1 - F.col("own"), c))).otherwise(F.concat(F.coalesce(against_main, F.array().cast("array<struct<i:int,j:int>>")), among))
-    dealt = dealt.select("shingle", F.explode(groups).alias("g"), "node", "n", "component", "sketch", "small", F.when(F.col("main"), -1 - F.col("own")).otherwise(F.col("own")).alias("own"))
-    dealt = dealt.select("shingle", "g.i", "g.j", "own", "node", "n", "component", "sketch", "small").repartition("shingle", "i", "j").sortWithinPartitions("shingle", "i", "j")
+    dealt = dealt.select("shingle", F.explode(groups).alias("g"), "node", "n", "left", "component", "sketch", "small", F.when(F.col("main"), -1 - F.col("own")).otherwise(F.col("own")).alias("own"))
+    dealt = dealt.select("shingle", "g.i", "g.j", "own", "node", "n", "left", "component", "sketch", "small").repartition("shingle", "i", "j").sortWithinPartitions("shingle", "i", "j")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, at = [], None
@@ -307,7 +311,7 @@ def _compared(prefix: DataFrame, percent: int) -> DataFrame:
 
 def _similar(group: pa.Table, percent: int) -> pa.RecordBatch:
     """Of one block against another, the pairs that sizes, sketches and, for small sets, the sets themselves allow."""
-    own, node, n, component = (group[c].to_numpy() for c in ("own", "node", "n", "component"))
+    own, node, n, rest, component = (group[c].to_numpy() for c in ("own", "node", "n", "left", "component"))
     i, j = group["i"][0].as_py(), group["j"][0].as_py()
     left, right = np.flatnonzero(own == i), np.flatnonzero(own == j)
     sketch = np.frombuffer(b"".join(group["sketch"].to_pylist()), np.uint8).reshape(-1, BINS)
@@ -316,6 +320,7 @@ def _similar(group: pa.Table, percent: int) -> pa.RecordBatch:
     for x in left:
         y = right if i != j else right[right > x]
         y = y[(component[y] != component[x]) & (100 * np.minimum(n[y], n[x]) >= percent * np.maximum(n[y], n[x]))]
+        y = y[(100 + percent) * np.minimum(rest[y], rest[x]) >= percent * (n[y] + n[x])]
         if not len(y):
             continue
         m = np.minimum(np.minimum(n[y], n[x]), BINS)

@@ -4,27 +4,28 @@ Base spans (email, ip, card, phone) come from regular expressions, leftmost and
 as forms of the same expressions that take linear time and no recursion: what a repeated group would match is first marked
 by a private-use character of the same length.
 
-The method: the terms just before a base span are its context.  Over the whole corpus, the disclosure of a term is the
-pointwise information log2(P(context | term) / P(context)) between it and a protected entity.  A term that stands in the
-context of at least ``SUPPORT`` different entities, in at least a ``CERTAINTY`` share of its occurrences and with at least
-``BITS`` of information, gives away that an entity is or was there; its occurrences become spans of kind "term", which
-``sanitise`` generalises to a placeholder as it does the entities.
+The method: the words around a base span, on both sides, are its context.  Over the whole corpus, the disclosure of an entity
+(kind and value) by a term is the pointwise information log2(P(entity | term) / P(entity)), estimated from the texts in which
+the term stands in the entity's context, and all texts that have the one or the other; equal texts count once.  A term that
+does so in at least ``SUPPORT`` texts, in at least a ``CERTAINTY`` share of the texts that have it, and with at least ``BITS``
+of information, gives the entity away where the entity itself is removed.  Its occurrences in the corpus become spans of kind
+"term", which ``sanitise`` generalises to a placeholder as it does the entities.
 
 DataFrame functions only.  Defined results: null and empty texts have no spans; repeated rows get the same result each and
-count each in the corpus; null doc_ids stay; other columns pass through; no rows give no rows.
+count once in the corpus; null doc_ids stay; other columns pass through, but for those named like the ones added, which are
+replaced; no rows give no rows.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._shared import written
+from ._shared import unused, written
 
 KINDS = ("email", "ip", "card", "phone")
-#: Characters before an entity that are its context, of which the last words are taken.
-CONTEXT_CHARS = 80
-CONTEXT_WORDS = 3
+#: Characters on either side of an entity whose words are its context.
+CONTEXT_CHARS = 200
 SUPPORT = 3
 CERTAINTY = 0.5
 BITS = 3.0
@@ -106,63 +107,68 @@ def base_spans(documents: DataFrame) -> DataFrame:
     return documents.withColumn("base", F.concat(*[spans(k, m) for k, m in base_matches(text).items()]))
 
 
-def _words(text: Column) -> Column:
-    return F.split(F.lower(text), r"[^\p{L}\p{M}0-9]+")
+_WORD = r"[\p{L}\p{M}0-9]+"
+
+
+def _terms(text: Column) -> Column:
+    """The distinct lower-cased words of a text that have a letter."""
+    return F.filter(F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(_WORD), F.lit(0))), lambda w: w.rlike(r"\p{L}"))
 
 
 def revealing_terms(spanned: DataFrame) -> DataFrame:
-    """term, disclosure (bits) and certainty of the terms beyond the thresholds; ``spanned`` has text and base."""
-    entities = spanned.where(F.size("base") > 0).select("text", F.explode("base").alias("e"))
-    start = F.greatest(F.lit(1), F.col("e.start") + 1 - CONTEXT_CHARS)
-    before = F.substring("text", start, F.col("e.start") + 1 - start)
-    value = F.substring("text", F.col("e.start") + 1, F.col("e.end") - F.col("e.start"))
-    near = F.filter(_words(before), lambda w: w != "")
-    near = F.slice(near, F.greatest(F.lit(1), F.size(near) - CONTEXT_WORDS + 1), F.lit(CONTEXT_WORDS))
-    contexts = entities.select(F.xxhash64(value).alias("entity"), F.explode(near).alias("term")).where(F.col("term").rlike(r"\p{L}"))
-    contexts = written(contexts.groupBy("term", "entity").agg(F.count("*").alias("n")), "contexts")
-    inside = contexts.groupBy("term").agg(F.sum("n").alias("inside"), F.count("*").alias("entities"))
-    all_inside = contexts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("all_inside"))
-    counts = written(spanned.select(F.explode(_words(F.col("text"))).alias("term")).where("term != ''").groupBy("term").agg(F.count("*").alias("n")), "terms")
-    whole = counts.agg(F.sum("n").alias("whole")).join(all_inside)
-    rated = inside.where(F.col("entities") >= SUPPORT).join(counts, "term").join(F.broadcast(whole))
-    certainty = F.least(F.lit(1.0), F.col("inside") / F.col("n"))
-    bits = F.log2(certainty / (F.col("all_inside") / F.col("whole")))
-    rated = rated.select("term", bits.alias("disclosure"), certainty.alias("certainty"))
+    """term, entity (its hash), support, certainty and disclosure (bits) beyond the thresholds; ``spanned`` has text and base."""
+    entities = spanned.where(F.size("base") > 0).select("text", F.xxhash64("text").alias("th"), F.explode("base").alias("e"))
+    begin = F.greatest(F.lit(0), F.col("e.start") - CONTEXT_CHARS)
+    # A word that the window's edge cuts is left out, unless the text ends there.
+    before = F.regexp_replace(F.substring("text", begin + 1, F.col("e.start") - begin), F.when(begin > 0, "^" + _WORD).otherwise("^$"), F.lit(""))
+    after = F.regexp_replace(F.substring("text", F.col("e.end") + 1, F.lit(CONTEXT_CHARS)), F.when(F.length("text") > F.col("e.end") + CONTEXT_CHARS, _WORD + "$").otherwise("^$"), F.lit(""))
+    value = F.concat("e.kind", F.lit(":"), F.lower(F.substring("text", F.col("e.start") + 1, F.col("e.end") - F.col("e.start"))))
+    near = entities.select("th", F.xxhash64(value).alias("entity"), _terms(F.concat(before, F.lit(" "), after)).alias("terms"))
+    near = written(near, "contexts")
+    met = near.select("entity", "th", F.explode("terms").alias("term")).distinct().groupBy("entity", "term").agg(F.count("*").alias("support"))
+    met = written(met.where(F.col("support") >= SUPPORT), "met")
+    texts = spanned.select(F.xxhash64("text").alias("th")).distinct().count()
+    held = written(near.select("entity", "th").distinct().groupBy("entity").agg(F.count("*").alias("held")), "held")
+    known, n = _few(met.select("term").distinct())
+    if n == 0:
+        return met.selectExpr("term", "entity", "support", "0d certainty", "0d disclosure")
+    counts = spanned.select(F.xxhash64("text").alias("th"), F.explode(_terms(F.col("text"))).alias("term")).join(known, "term").distinct()
+    counts = written(counts.groupBy("term").agg(F.count("*").alias("n")), "counts")
+    certainty = F.col("support") / F.col("n")
+    rated = met.join(counts, "term").join(held, "entity").select("term", "entity", "support", certainty.alias("certainty"), F.log2(certainty * texts / F.col("held")).alias("disclosure"))
     return written(rated.where((F.col("certainty") >= CERTAINTY) & (F.col("disclosure") >= BITS)), "revealing")
 
 
+def _few(terms: DataFrame) -> tuple[DataFrame, int]:
+    """Terms, written, marked for a broadcast if they are few; and how many they are."""
+    terms = written(terms, "terms")
+    n = terms.count()
+    return (F.broadcast(terms) if n <= BROADCAST_TERMS else terms), n
+
+
 def with_spans(documents: DataFrame) -> DataFrame:
     """Adds ``base`` and ``terms``: spans as array<struct<kind, start, end>>, terms without those that a base span covers."""
+    documents = documents.drop("base", "terms")
     spanned = base_spans(documents)
-    terms = revealing_terms(spanned)
-    n = terms.count()
+    found = written(spanned.select("text", "base"), "spanned")
+    known, n = _few(revealing_terms(found).select("term").distinct())
     none = F.expr("cast(array() as array<struct<kind:string,start:int,end:int>>)")
     if n == 0:
         return spanned.withColumn("terms", none)
-    few = F.broadcast(terms.select("term")) if n <= BROADCAST_TERMS else terms.select("term")
-    key = {"__did": F.coalesce(F.col("doc_id").cast("string"), F.lit("")), "__th": F.xxhash64("text")}
-    keyed = spanned.withColumns(key)
-    hits = documents.withColumns(key).select("__did", "__th", F.explode(F.array_distinct(_words(F.col("text")))).alias("term")).join(few, "term")
-    by_document = written(hits.groupBy("__did", "__th").agg(F.array_sort(F.collect_set("term")).alias("__terms")), "hits")
-    joined = keyed.join(by_document, ["__did", "__th"], "left").drop("__did", "__th")
-
-    def spans(term: Column) -> Column:
-        pattern = F.concat(F.lit(r"(?<![\p{L}\p{M}0-9])\Q"), term, F.lit(r"\E(?![\p{L}\p{M}0-9])"))
-        lowered = F.lower("text")
-        between = F.split(lowered, pattern, -1)
-        starts = F.aggregate(
-            F.slice(between, 1, F.size(between) - 1),
-            F.struct(F.lit(0).alias("at"), F.expr("cast(array() as array<int>)").alias("out")),
-            lambda acc, b: F.struct((acc["at"] + F.length(b) + F.length(term)).alias("at"), F.concat(acc["out"], F.array(acc["at"] + F.length(b))).alias("out")),
-            lambda acc: acc["out"],
-        )
-        return F.transform(starts, lambda s: F.struct(F.lit("term").alias("kind"), s.alias("start"), (s + F.length(term)).alias("end")))
-
-    # Lower-casing that changes a text's length would move its positions; such texts are rare and keep their base spans only.
-    found = F.when(F.col("__terms").isNotNull() & (F.length(F.lower("text")) == F.length("text")), F.flatten(F.transform("__terms", spans))).otherwise(none)
-    free = F.filter(found, lambda t: ~F.exists("base", lambda b: (b["start"] < t["end"]) & (t["start"] < b["end"])))
-    ordered = F.array_sort(free, lambda x, y: F.when(x["start"] < y["start"], -1).when(x["start"] > y["start"], 1).otherwise(0))
-    return joined.withColumn("terms", ordered).drop("__terms")
+    # Texts with such a term, once each, word by word: places are running sums of what lies between the words and of the words.
+    th = F.md5(F.col("text").cast("binary"))
+    hits = documents.select(th.alias("th"), F.explode(_terms(F.col("text"))).alias("term")).join(known, "term").select("th").distinct()
+    texts = documents.select(th.alias("th"), "text").join(written(hits, "hits"), "th").dropDuplicates(["th"])
+    pairs = F.arrays_zip(F.split("text", _WORD, -1).alias("gap"), F.regexp_extract_all("text", F.lit(_WORD), F.lit(0)).alias("word"))
+    each = texts.select("th", F.posexplode(pairs).alias("i", "x")).where("x.word is not null").select("th", "i", F.col("x.word").alias("word"), F.length("x.gap").alias("gap"))
+    order = Window.partitionBy("th").orderBy("i")
+    ends = each.withColumn("end", F.sum(F.col("gap") + F.length("word")).over(order).cast("int"))
+    spans = ends.withColumn("term", F.lower("word")).join(known, "term").select("th", F.struct(F.lit("term").alias("kind"), (F.col("end") - F.length("word")).alias("start"), "end").alias("span"))
+    spans = written(spans.groupBy("th").agg(F.array_sort(F.collect_list("span")).alias("terms")), "spans")
+    (key,) = unused(documents, "th")
+    joined = spanned.withColumn(key, th).join(spans.withColumnRenamed("th", key), key, "left").drop(key)
+    free = F.filter(F.coalesce("terms", none), lambda t: ~F.exists("base", lambda b: (b["start"] < t["end"]) & (t["start"] < b["end"])))
+    return joined.withColumn("terms", free)
 
 
 def _joined(spans: Column) -> Column:

@@ -4,10 +4,13 @@ Rules (host, path prefix) decide first; the longest that fits wins.  The URLs th
 the method, which judges all others:
 
 1. Digit runs and overlong segments become wildcards, and equal (host, path) shapes are counted with their labels.
-2. Level by level, a node's rare children become one wildcard where there are many, and children that cannot be told apart
-   by the confidence interval of their labels and by the depth beneath them become one branch.
-3. A template's purity is the share of blocked labels, smoothed towards the share in the whole corpus or one half, whichever
-   is less, so that a template with few labels says little; templates at or above the threshold are rejected.
+2. From the root down, level by level and as deep as paths go, a node's rare children become one wildcard where there are
+   many.  What results without the host is a pattern; its rate is the smoothed share of blocked labels over all hosts.
+3. A branch's rate is the share of its own labels, smoothed towards the rates of its patterns.  Branches of a node that have
+   the same depth beneath them, and whose rate does not differ significantly from that of the largest one, become one.
+4. A template's purity is the share of blocked labels on its host, smoothed in the same way towards its patterns and, through
+   these, towards the share in the whole corpus or one half, whichever is less: so labels reach the templates that are alike
+   on hosts without labels, and what nobody labelled is not rejected.  At or above the threshold a template is rejected.
 
 Defined results: a null url, or one without "://", has an empty host and path and no rule; with no labels at all the purity
 of every template is 0 and everything is allowed; repeated rows are judged alike; null page_ids stay; other columns are
@@ -19,22 +22,20 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import drop, written
+from ._shared import scratch, written
 
 #: (rule, verdict); a rule is a host and a path prefix.  They are checked one by one, so keep them to some hundreds.
 RULES = (("net/", "block"), ("example.net/en/", "allow"), ("example.com/de/", "block"), ("org/fr/", "allow"))
 
-#: Levels of the tree; what lies deeper keeps its own shape.
-LEVELS = 3
 #: A node with more children than this folds those below the given share of its URLs into a wildcard.
 FAN = 16
 RARE = 0.02
 #: Longest segment that stands for itself.
 SEGMENT = 32
-#: Weight of the corpus's share of blocked labels, in labels, and the purity at which a template is rejected.
+#: Weight of what a rate is smoothed towards, in labels, and the purity at which a template is rejected.
 SMOOTHING = 10.0
 PURITY = 0.8
-#: Width of the confidence intervals, in standard deviations.
+#: Deviations by which two branches differ significantly.
 Z = 2.0
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -70,53 +71,70 @@ def shape(path: Column) -> Column:
     return F.regexp_replace(masked, f"[^/]{{{SEGMENT + 1},}}", "{s}")
 
 
-def _evidence() -> Column:
-    """blocked, allowed or open: whether the labels' confidence interval lies beyond one half."""
-    n = F.col("b") + F.col("a")
-    rate = F.col("b") / n
-    middle = (rate + Z * Z / (2 * n)) / (1 + Z * Z / n)
-    spread = Z * F.sqrt(rate * (1 - rate) / n + Z * Z / (4 * n * n)) / (1 + Z * Z / n)
-    return F.when(n == 0, "open").when(middle - spread > 0.5, "blocked").when(middle + spread < 0.5, "allowed").otherwise("open")
+def _smoothed(blocked: str, allowed: str, towards: Column) -> Column:
+    return (F.col(blocked) + SMOOTHING * towards) / (F.col(blocked) + F.col(allowed) + SMOOTHING)
 
 
-def template_tree(ruled: DataFrame) -> DataFrame:
-    """host, shape, template, n, b and a of every distinct shape; counts are those of the shape."""
-    tree = ruled.groupBy("host", shape(F.col("path")).alias("shape")).agg(
+def _rates(tree: DataFrame, key: str, prior: float) -> DataFrame:
+    """``tree`` with ``pattern_rate``: the smoothed share of blocked labels of its pattern ``key`` over all hosts."""
+    sums = written(tree.groupBy(key).agg(F.sum("b").alias("pb"), F.sum("a").alias("pa")), "patterns")
+    rated = sums.select(key, _smoothed("pb", "pa", F.lit(prior)).alias("pattern_rate"))
+    return tree.join(rated, key)
+
+
+def template_tree(ruled: DataFrame) -> tuple[DataFrame, float]:
+    """host, shape, template, pattern, n, b and a of every distinct shape (counts are those of the shape), and the prior."""
+    counted = ruled.groupBy("host", shape(F.col("path")).alias("shape")).agg(
         F.count("*").alias("n"), F.count_if(F.col("ruled") == "block").alias("b"), F.count_if(F.col("ruled") == "allow").alias("a")
     )
-    tree = written(tree.withColumns({"segments": F.split("shape", "/", -1), "template": F.lit("")}), "shapes")
-    for level in range(2, LEVELS + 2):  # a path begins with a slash, so its first segment is empty
-        here = tree.withColumn("segment", F.when(F.size("segments") >= level, F.element_at("segments", level)).otherwise(_END))
-        node = ["host", "template"]
-        children = here.groupBy(*node, "segment").agg(
-            F.sum("n").alias("n"), F.sum("b").alias("b"), F.sum("a").alias("a"), F.concat_ws("-", F.min(F.size("segments")), F.max(F.size("segments"))).alias("beneath")
-        )
-        children = written(children.withColumn("evidence", _evidence()), "children")
-        fan = children.where(F.col("segment") != _END).groupBy(*node).agg(F.count("*").alias("fan"), F.sum("n").alias("all"))
-        judged = children.join(fan, node, "left").withColumn(
-            "rare", F.coalesce((F.col("fan") > FAN) & (F.col("n") < RARE * F.col("all")) & (F.col("segment") != _END), F.lit(False))
-        )
-        alike = [*node, "rare", "beneath", "evidence"]
-        last = F.col("segment") == _END
-        branches = judged.where(~last).groupBy(*alike).agg(F.min("segment").alias("name"), F.count("*").alias("k"))
-        label = F.when(F.col("rare"), F.concat(F.lit("*"), F.col("beneath"), F.col("evidence"))).when(F.col("k") > 1, F.concat(F.col("name"), F.lit("|+"), F.col("k") - 1)).otherwise(F.col("name"))
-        names = judged.where(~last).join(branches, alike).select(*node, "segment", F.concat(F.lit("/"), label).alias("step"))
-        grown = here.join(names, [*node, "segment"], "left").withColumn("template", F.concat("template", F.coalesce("step", F.lit(""))))
-        after = written(grown.drop("segment", "step"), "shapes")
-        drop(tree, children)
-        tree = after
-    deeper = F.when(F.size("segments") > LEVELS + 1, F.concat(F.lit("/"), F.array_join(F.slice("segments", LEVELS + 2, 1 << 30), "/"))).otherwise("")
-    return tree.withColumn("template", F.concat("host", "template", deeper)).drop("segments")
+    with scratch(ruled.sparkSession) as kept:
+        tree = written(counted.withColumns({"segments": F.split("shape", "/", -1), "template": F.lit(""), "pattern": F.lit("")}), "shapes")
+        labels = tree.agg(F.sum("b").alias("b"), F.sum("a").alias("a")).first()
+        prior = min(0.5, labels.b / (labels.a + labels.b)) if (labels.a or 0) + (labels.b or 0) else 0.0
+        node, ended, level = ["host", "template"], None, 2  # a path begins with a slash, so its first segment is empty
+        while True:
+            here = tree.where(F.size("segments") >= level).withColumn("segment", F.element_at("segments", level))
+            children = written(here.groupBy(*node, "segment").agg(F.sum("n").alias("m"), F.count("*").alias("shapes")), "children")
+            fan = children.groupBy(*node).agg(F.count("*").alias("fan"), F.sum("m").alias("all"), F.sum("shapes").alias("held"))
+            if children.isEmpty():
+                break
+            fan = written(fan, "fan")
+            rare = (F.col("fan") > FAN) & (F.col("m") < RARE * F.col("all"))
+            steps = children.drop("shapes").join(fan, node).select(*node, "segment", F.when(rare, "*").otherwise(F.col("segment")).alias("step"), (F.col("held") == 1).alias("alone"))
+            stepped = here.join(written(steps, "steps"), [*node, "segment"])
+            # Where a node holds one shape only, nothing below it can be generalised or merged: it is done.
+            rest = F.concat(F.lit("/"), F.array_join(F.slice("segments", level, 1 << 30), "/"))
+            step = F.when(F.col("alone"), rest).otherwise(F.concat(F.lit("/"), "step"))
+            stepped = written(stepped.withColumns({"step": step, "pattern": F.concat("pattern", step)}).drop("segment"), "stepped")
+            last = F.when(F.col("alone"), 0).otherwise(F.size("segments") - level)
+            beneath = F.concat_ws("-", F.min(last), F.max(last)).alias("beneath")
+            branches = _rates(stepped, "pattern", prior).groupBy(*node, "step").agg(
+                F.sum("n").alias("m"), F.sum("b").alias("b"), F.sum("a").alias("a"), (F.sum(F.col("n") * F.col("pattern_rate")) / F.sum("n")).alias("towards"), beneath
+            )
+            rate = _smoothed("b", "a", F.col("towards"))
+            branches = branches.withColumn("rate", rate).withColumn("spread", F.col("rate") * (1 - F.col("rate")) / (F.col("b") + F.col("a") + SMOOTHING + 1))
+            branches = written(branches.select(*node, "step", "m", "beneath", "rate", "spread"), "branches")
+            largest = branches.groupBy(*node, "beneath").agg(F.max_by(F.struct("step", "rate", "spread"), F.struct("m", "step")).alias("x"))
+            judged = branches.join(written(largest, "largest"), [*node, "beneath"])
+            alike = F.abs(F.col("rate") - F.col("x.rate")) <= Z * F.sqrt(F.col("spread") + F.col("x.spread"))
+            names = judged.select(*node, "step", F.when(alike, F.concat(F.col("x.step"), F.lit("|"), "beneath")).otherwise(F.col("step")).alias("name"))
+            grown = stepped.join(written(names, "names"), [*node, "step"]).withColumn("template", F.concat("template", "name"))
+            grown = written(grown.withColumn("segments", F.when(F.col("alone"), F.slice("segments", 1, level)).otherwise(F.col("segments"))).select(*tree.columns), "shapes")
+            over = tree.where(F.size("segments") < level)
+            ended = over if ended is None else ended.unionByName(over)
+            tree, level = grown, level + 1
+        tree = written((tree if ended is None else ended.unionByName(tree)).withColumn("template", F.concat("host", "template")).drop("segments"), "tree")
+        kept.append(tree)
+    return tree, prior
 
 
 def judge(pages: DataFrame, rules: tuple[tuple[str, str], ...] = RULES) -> DataFrame:
     """page_id, host, path, rule, verdict, template and purity."""
     ruled = with_rules(pages, rules)
-    tree = template_tree(ruled)
-    whole = tree.agg((F.sum("b") / F.nullif(F.sum("b") + F.sum("a"), F.lit(0))).alias("prior"))
-    sums = tree.groupBy("template").agg(F.sum("b").alias("tb"), F.sum("a").alias("ta")).join(F.broadcast(whole))
-    purity = (F.col("tb") + SMOOTHING * F.least(F.lit(0.5), F.coalesce("prior", F.lit(0.0)))) / (F.col("tb") + F.col("ta") + SMOOTHING)
-    templates = written(tree.select("host", "shape", "template").join(sums.select("template", purity.alias("purity")), "template"), "templates")
+    tree, prior = template_tree(ruled)
+    sums = _rates(tree, "pattern", prior).groupBy("template").agg(F.sum("b").alias("b"), F.sum("a").alias("a"), (F.sum(F.col("n") * F.col("pattern_rate")) / F.sum("n")).alias("towards"))
+    purity = written(sums.select("template", F.round(_smoothed("b", "a", F.col("towards")), 9).alias("purity")), "purity")
+    templates = written(tree.select("host", "shape", "template").join(purity, "template"), "templates")
     out = ruled.withColumn("shape", shape(F.col("path"))).join(templates, ["host", "shape"], "left")
     verdict = F.coalesce("ruled", F.when(F.col("purity") >= PURITY, F.lit("block")).otherwise("allow"))
     return out.select("page_id", "host", "path", "rule", verdict.alias("verdict"), "template", "purity")

@@ -1,8 +1,9 @@
 """WARC archives: a writer, and a reader that salvages what is left of damaged files.
 
 Each record is a gzip member of its own.  The reader goes from member to member (or from version line to version line in
-plain archives) and checks lengths and digests.  After a failed check it searches for the next place at which a whole valid
-record begins, goes on from there, and logs the bytes between as a quarantined gap.
+plain archives, and in members of several records) and checks lengths and digests.  After a failed check it searches for the
+next place at which a whole valid record begins, goes on from there, and logs the bytes between as a quarantined gap; gaps
+inside a member have the member's place and, in ``problem``, their own bytes.
 
 Archives are rows of (archive, content), as ``binaryFile`` reads them, so that they can lie in any store that Spark reads.
 
@@ -107,8 +108,6 @@ def _unpacked(content: memoryview, at: int) -> tuple[bytes, int] | None:
                 return None
             out.append(unpack.decompress(content[pos : pos + _CHUNK]))
             pos += _CHUNK
-            if len(out) == 1 and out[0] and not (_VERSION[:6].startswith(out[0][:6]) or out[0].startswith(_VERSION[:6])):
-                return None
     except zlib.error:
         return None
     return b"".join(out), min(pos, len(content)) - len(unpack.unused_data)
@@ -123,7 +122,7 @@ def _parsed(data: bytes | memoryview, at: int) -> tuple[dict, int] | str:
     while end < 0:
         head = bytes(data[at : at + window])
         end = head.find(b"\r\n\r\n")
-        if end < 0 and (window > 1 << 20 or at + window >= len(data)):
+        if end < 0 and at + window >= len(data):
             return "no end of headers"
         window *= 4
     fields = {}
@@ -158,33 +157,57 @@ def _parsed(data: bytes | memoryview, at: int) -> tuple[dict, int] | str:
     }, stop + 4
 
 
-def _record_at(content: memoryview, at: int) -> tuple[dict, int] | str:
+def _of_member(data: bytes, start: int, end: int) -> list[dict]:
+    """Records and gaps of an unpacked member."""
+    out, at = [], 0
+    while at < len(data):
+        found = _parsed(data, at)
+        if not isinstance(found, str):
+            out.append(found[0] | {"kind": "record", "start": start, "end": end, "problem": None})
+            at = found[1]
+            continue
+        to = data.find(_VERSION[:7], at + 1)
+        while to >= 0 and isinstance(_parsed(data, to), str):
+            to = data.find(_VERSION[:7], to + 1)
+        to = len(data) if to < 0 else to
+        out.append({"kind": "gap", "start": start, "end": end, "problem": f"{found}, bytes {at} to {to} of the member"})
+        at = to
+    return out
+
+
+def _records_at(content: memoryview, at: int) -> tuple[list[dict], int] | str:
+    """Rows of the member or record at a place, at least one of them a record, and its end; or what is wrong."""
     if bytes(content[at : at + 2]) == b"\x1f\x8b":
         found = _unpacked(content, at)
         if found is None:
             return "broken member"
-        parsed = _parsed(found[0], 0)
-        return parsed if isinstance(parsed, str) else (parsed[0], found[1])
-    return _parsed(content, at)
+        rows = _of_member(found[0], at, found[1])
+        if any(r["kind"] == "record" for r in rows):
+            return rows, found[1]
+        return rows[0]["problem"].partition(",")[0] if rows else "empty member"
+    parsed = _parsed(content, at)
+    return parsed if isinstance(parsed, str) else ([parsed[0] | {"kind": "record", "start": at, "end": parsed[1], "problem": None}], parsed[1])
 
 
 def salvage(content: bytes) -> Iterator[dict]:
     """Records and gaps of one archive, in order, with their start and end."""
     view, at = memoryview(content), 0
     start = re.compile(rb"\x1f\x8b\x08|WARC/1\.")
+    found = _records_at(view, at) if len(view) else ""
     while at < len(view):
-        found = _record_at(view, at)
         if not isinstance(found, str):
-            yield found[0] | {"kind": "record", "start": at, "end": found[1], "problem": None}
+            yield from found[0]
             at = found[1]
+            found = _records_at(view, at) if at < len(view) else ""
             continue
-        to = at
+        to, problem = at, found
         while True:
             m = start.search(content, to + 1)
             to = m.start() if m else len(content)
-            if to == len(content) or not isinstance(_record_at(view, to), str):
+            found = _records_at(view, to) if m else ""
+            if not m or not isinstance(found, str):
                 break
-        yield {"kind": "gap", "start": at, "end": to, "problem": found}
+        yield {"kind": "gap", "start": at, "end": to, "problem": problem}
         at = to
 
 

@@ -78,6 +78,34 @@ def test_op4(docs, none):
     assert minhash.op4(none).collect() == []
 
 
+def test_op3_long_urls(spark):
+    rows = [(1, "http://a.net/" + "x/" * 300 + "y" * 100_000), (2, "http://a.net/" + "x/" * 300 + "z"), (3, "http://" + "h" * 50_000)]
+    got = {r.page_id: r.verdict for r in urlfilter.op3(spark.createDataFrame(rows[:1] + rows[2:], "page_id int, url string")).collect()}
+    assert got == {1: "block", 3: "allow"}
+
+
+def test_op5_entities(spark):
+    rows = [(1, "a@b.co +1 555 123 4567"), (1, "a@b.co +1 555 123 4567"), (None, "1.2.3.4 4111 1111 1111 1111"), (2, None)]
+    got = sorted((r.doc_id or -1, r.n_email, r.n_ip, r.n_card, r.n_phone) for r in pii.op5(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert got == [(-1, 0, 1, 1, 0), (1, 1, 0, 0, 1), (1, 1, 0, 0, 1), (2, 0, 0, 0, 0)]
+
+
+def test_clashing_columns(spark):
+    """Operators, not only the queries, on tables that have the names of what they add or use inside."""
+    names = "score n_words hits items n_lines n_removed removed base terms window queue node a b th did cuts row lang_pred n_grams contaminated n_hit round block".split()
+    df = spark.createDataFrame([(1, LINE, "en", "s", *range(len(names))), (2, LINE, "en", None, *range(len(names)))], "doc_id long, text string, lang string, source string, " + ", ".join(f"`{n}` int" for n in names))
+    items = spark.createDataFrame([("i", LINE)], "item_id string, text string")
+    model = langid.learn(df.select("lang", "text"))
+    for out, added in (
+        (langid.identify(df, model), {"lang_pred", "score", "n_grams"}), (linededup.dedup_lines(df), {"n_lines", "n_removed", "removed"}), (pii.with_spans(df), {"base", "terms"}),
+        (decontam.verdicts(decontam.contamination(df, items)), {"n_words", "hits", "items", "n_hit", "contaminated"}), (decontam.contamination(df, items, shard_words=20), {"n_words", "hits", "items"}),
+    ):
+        assert sorted(out.columns) == sorted({*df.columns, *added}) and len(out.collect()) == 2
+        kept = [c for c in df.columns if c not in added and c != "text"]
+        assert [tuple(r) for r in out.orderBy("doc_id").select(*kept).collect()] == [tuple(r) for r in df.orderBy("doc_id").select(*kept).collect()]
+    assert len(minhash.near_duplicates(df).collect()) == 2 and packing.packed(df).count() == 2
+
+
 def test_op5(docs, none):
     assert pii.op5(docs).count() == docs.count()
     assert {r.base_sha256 for r in pii.op5(docs).collect()} == {hashlib.sha256(b"").hexdigest()}
