@@ -13,9 +13,12 @@ def _c(x: Num) -> Column:
 
 
 def half_up(x: Column, places: int = 0) -> Column:
-    """Round half towards plus infinity, so that -2.5 becomes -2."""
+    """Round half towards plus infinity, so that -2.5 becomes -2.
+
+    Nine places are kept first: sums of doubles depend on their order in the last bits, and a tie must not.
+    """
     factor = float(10**places)
-    return F.floor(x.cast("double") * factor + 0.5) / factor
+    return F.floor(F.rint(x.cast("double") * 1e9) / 1e9 * factor + 0.5) / factor
 
 
 def clamp(x: Column, low: float = 0.0, high: float = 1.0) -> Column:
@@ -46,6 +49,15 @@ def normal_cdf(z: Column) -> Column:
     return F.when(z < 0, (1.0 - erf) / 2).otherwise((1.0 + erf) / 2)
 
 
+def normal_cdf_scaled(z: Column) -> Column:
+    """A second form with the same coefficients, applied to z itself with exp(-z ** 2 / 2); its values differ from ``normal_cdf``."""
+    x = F.abs(z)
+    t = 1.0 / (1.0 + 0.3275911 * x)
+    poly = t * (0.254829592 + t * (-0.284496736 + t * (1.421413741 + t * (-1.453152027 + t * 1.061405429))))
+    y = 1.0 - poly * F.exp(-x * x / 2)
+    return F.when(z < -8, 0.0).when(z > 8, 1.0).when(z < 0, 0.5 * (1.0 - y)).otherwise(0.5 * (1.0 + y))
+
+
 def retrievability(days: Column, stability: Column, modifier: Num = 1.0) -> Column:
     """The power forgetting curve: (1 + d / (9 S m)) ** -1, and 1 where time or stability is not positive."""
     scale = 9.0 * stability * _c(modifier)

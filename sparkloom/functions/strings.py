@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Words that carry no topic (fixed value of the similarity measures).
+#: Words that carry no topic.
 STOP_WORDS = ("a", "an", "and", "are", "as", "at", "be", "by", "for", "from", "in", "is", "it", "of", "on", "or", "that", "the", "this", "to", "was", "with")
-#: Suffixes, of which a word of four letters or more drops the first that fits.
-SUFFIXES = ("ation", "tion", "ment", "ness", "ing", "ity", "ed", "ly", "er", "es", "s")
+#: Suffixes, of which a word of four letters or more drops the longest that fits at its end (fixed value of the similarity measure).
+SUFFIXES = ("ing", "tion", "sion", "ment", "ness", "able", "ible", "ful", "less", "ous", "ive", "ize", "ise", "ated", "ting", "ted", "ed", "ly", "er", "es", "s")
 
 
 def tokens(text: Column, least: int = 2) -> Column:
@@ -22,11 +22,13 @@ def token_set(text: Column, least: int = 2) -> Column:
 
 
 def stem(word: Column) -> Column:
-    return F.when(F.length(word) >= 4, F.regexp_replace(word, f"(?<=..)(?:{'|'.join(SUFFIXES)})$", "")).otherwise(word)
+    return F.when(F.length(word) >= 4, F.regexp_replace(word, f"(?:{'|'.join(SUFFIXES)})$", "")).otherwise(word)
 
 
 def stems(text: Column) -> Column:
-    kept = F.filter(tokens(text), lambda t: ~t.isin(*STOP_WORDS))
+    """Distinct stems of the words of three letters or more that carry a topic."""
+    clean = F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), r"[^a-z0-9\s-]", " ")
+    kept = F.filter(F.split(clean, r"\s+"), lambda t: (F.length(t) >= 3) & ~t.isin(*STOP_WORDS))
     return F.array_distinct(F.transform(kept, stem))
 
 
@@ -92,6 +94,36 @@ def module_of(path: Column, depth: int = 3) -> Column:
     return F.array_join(F.slice(parts, 1, F.least(F.lit(depth), F.greatest(F.size(parts) - 1, F.lit(1)))), "/")
 
 
+#: How a text says that something took the place of another; the first group is the old one (fixed values).
+SUPERSEDED = (
+    r"switched\s+from\s+(.+?)\s+to\s+", r"replaced\s+(.+?)\s+with\s+", r"migrated\s+from\s+(.+?)\s+to\s+", r"deprecated\s+(.+?)\s+in\s+favor\s+of", r"moved\s+(?:away\s+)?from\s+(.+?)\s+to\s+",
+    r"abandoned\s+(.+?)\s+(?:for|in\s+favor\s+of)", r"dropped\s+(.+?)\s+(?:for|in\s+favor\s+of)", r"transitioned\s+from\s+(.+?)\s+to\s+",
+)
+#: How prompts and chat begin, and how sentences say that something was chosen (shortened lists of common words).
+NOISE = r"(?i)^(the (codebase|project|repo|code|system|file|directory|folder)\b|(based on|according to|looking at|after reading|from the|in the|as per)\b|(now|ok|sure|yes|no|alright|so|well|right|let me|i'll|i will|here'?s) |/)"
+CHOICE = r"(?i)\b(chose|decided|switched to|switched from|adopted|migrated to|replaced .+ with|introduced|redesigned|consolidated|unified|deprecated|instead of|rather than|in favor of|versus|went with|settled on|picked|opted for|committed to|reverted to|rolled back)\b"
+
+
+def superseded(text: Column) -> Column:
+    """The old name in the first pattern that is found, or null."""
+    found = [F.nullif(F.trim(F.regexp_extract(text, "(?i)" + p, 1)), F.lit("")) for p in SUPERSEDED]
+    return F.coalesce(*found)
+
+
+def noisy(text: Column) -> Column:
+    return F.trim(text).rlike(NOISE)
+
+
+def decides(text: Column) -> Column:
+    """Whether a sentence of 15 to 300 characters, beginning with a capital, says that something was chosen."""
+    return F.length(text).between(15, 300) & F.trim(text).rlike("^[A-Z]") & text.rlike(CHOICE)
+
+
+def slug(text: Column, n: int = 60) -> Column:
+    """The first characters of a text, lower-cased, letters, digits and hyphens only."""
+    return F.regexp_replace(F.regexp_replace(F.trim(F.lower(F.substring(text, 1, n))), "[^a-z0-9 -]", ""), r"\s+", "-")
+
+
 def week_key(date: Column) -> Column:
     """Year and week counted in sevens from the first of January (not ISO)."""
     return F.concat_ws("-W", F.year(date).cast("string"), F.lpad((F.floor((F.dayofyear(date) - 1) / 7) + 1).cast("string"), 2, "0"))

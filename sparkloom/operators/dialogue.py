@@ -88,3 +88,50 @@ def comprehension(turns: DataFrame, conv: str, role: str, text: str) -> DataFram
 def outcome(files: Column, iterations: Column, text: Column) -> Column:
     """How a session ended: files changed mean success, words of giving up abandonment, many rounds without files failure."""
     return F.when(F.coalesce(files, F.lit(0)) > 0, "success").when(F.coalesce(text, F.lit("")).rlike(r"(?i)\b(never ?mind|forget it|give up|abandon)"), "abandoned").when(iterations > 5, "failed").otherwise("partial")
+
+
+def learned_domain(words: DataFrame, token: str, least: int, most: int) -> DataFrame:
+    """name, tokens and seen of the domain that frequent words make; no row for fewer than three such words."""
+    frequent = words.groupBy(token).agg(F.count("*").alias("n")).where(F.col("n") >= least)
+    best = frequent.orderBy(F.desc("n"), token).limit(most).agg(F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("n"), token))).alias("x"))
+    names = F.transform("x", lambda x: x[token])
+    whole = frequent.agg(F.sum("n").alias("seen"), F.count("*").alias("k"))
+    return best.join(F.broadcast(whole)).where("k >= 3").select(F.array_join(F.slice(names, 1, 3), "-").alias("name"), F.array_join(names, ",").alias("tokens"), "seen")
+
+
+def first_class(rows: DataFrame, key: str, text: str, classes: list[tuple[str, str]], default: str = "general") -> DataFrame:
+    """``domain`` of each key: the first class whose pattern any of its texts has."""
+    found = rows.groupBy(key).agg(*[F.max(F.col(text).rlike(p)).alias(name) for name, p in classes])
+    return found.select(key, F.coalesce(*[F.when(F.col(name), F.lit(name)) for name, _ in classes], F.lit(default)).alias("domain"))
+
+
+def turn_texts(detail: Column) -> Column:
+    """array<string>: a JSON list of texts, else the pieces between bars, else the text."""
+    given = F.from_json(detail, "array<string>")
+    return F.when(F.trim(detail).startswith("[") & given.isNotNull(), given).otherwise(F.split(detail, r" \| ", -1))
+
+
+def topic(modules: Column, sentence: Column, most: int = 3) -> Column:
+    """Up to ``most`` modules, then how many more; without any, the sentence's first 80 characters."""
+    n = F.size(modules)
+    first = F.array_join(F.slice(modules, 1, most), ", ")
+    return F.when(n == 0, F.substring(sentence, 1, 80)).when(n <= most, first).otherwise(F.concat(first, F.lit(" (+"), (n - most).cast("string"), F.lit(" more)")))
+
+
+def promoted(counters: DataFrame, n: str, every: int, rest: int) -> DataFrame:
+    """promoted, held and cooldown of counters that are promoted and reset at every ``every``-th count and rest for ``rest`` more.
+
+    As the rest is shorter than the way to the next promotion it never delays one.
+    """
+    left = F.col(n) % every
+    return counters.withColumns({"promoted": F.floor(F.col(n) / every).cast("long"), "held": left, "cooldown": F.when(F.col(n) >= every, F.greatest(F.lit(0), rest - left)).otherwise(0)})
+
+
+def metacognition(turns: DataFrame, key: str, text: str, kinds: dict[str, str], all_kinds: int) -> DataFrame:
+    """n_turns, density (signals by turns) and breadth (share of all kinds) per key; a turn counts once for each kind."""
+    from ..functions.numeric import half_up
+
+    marked = turns.select(key, *[F.col(text).rlike(p).cast("int").alias(k) for k, p in kinds.items()])
+    g = marked.groupBy(key).agg(F.count("*").alias("n_turns"), *[F.sum(k).alias(k) for k in kinds])
+    signals, seen = sum(F.col(k) for k in kinds), sum(F.when(F.col(k) > 0, 1).otherwise(0) for k in kinds)
+    return g.select(key, "n_turns", half_up(signals / F.col("n_turns"), 3).alias("density"), half_up(seen / float(all_kinds), 3).alias("breadth"))

@@ -131,3 +131,10 @@ def calendar(series: DataFrame, day: str, value: str, days: int) -> DataFrame:
     last = series.agg(F.max(day).alias("to"))
     grid = last.select(F.explode(F.sequence(F.date_sub("to", days - 1), F.col("to"))).alias(day))
     return grid.join(series, day, "left").select(day, F.coalesce(value, F.lit(0)).alias(value))
+
+
+def insert_ignored(there: DataFrame, fresh: DataFrame, keys: list[str], first: str) -> DataFrame:
+    """Rows as a set: of rows with the same keys, those that are there stay, and of fresh ones the least by ``first`` comes in."""
+    one = lambda df: df.groupBy(*keys).agg(F.min(first).alias(first))
+    old = one(there)
+    return old.unionByName(one(fresh).join(old.select(*keys), keys, "left_anti"))

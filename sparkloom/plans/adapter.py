@@ -29,9 +29,27 @@ EV = """ev AS (SELECT event_id AS id, ts, user_id, user_id % 5 AS project, user_
 
 
 def r(x: str, places: int = 4) -> str:
-    """SQL that rounds half towards plus infinity."""
-    return f"floor(({x}) * 1e{places} + 0.5) / 1e{places}"
+    """SQL that rounds half towards plus infinity, after nine places (sums of doubles depend on their order beyond)."""
+    return f"floor(round_even(CAST(({x}) AS DOUBLE) * 1e9, 0) / 1e9 * 1e{places} + 0.5) / 1e{places}"
 
 
 def with_events(sql: str) -> str:
     return f"WITH {EV} {sql}"
+
+
+def exact(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events with whole numbers for what is averaged: s4 (score in ten-thousandths), v2 (value in cents), sec (specificity in
+    sixtieths), tc (turns in tens) and cents (the price by tool), and the day."""
+    tool = F.col("tool")
+    return events(spark, sf_dir).withColumns({
+        "s4": F.rint(F.least(F.col("value"), F.lit(100.0)) * 100).cast("long"), "v2": F.rint(F.col("value") * 100).cast("long"), "sec": F.second("ts").cast("long"),
+        "tc": F.floor(F.col("turns") / 10).cast("long"), "cents": F.when(tool == "view", 1).when(tool == "click", 3).otherwise(2).cast("long"), "day": F.to_date("ts"),
+    })
+
+
+EX = """, ex AS (SELECT *, CAST(round_even(least(value, 100.0) * 100, 0) AS BIGINT) s4, CAST(round_even(value * 100, 0) AS BIGINT) v2, CAST(second(ts) AS BIGINT) sec, CAST(turns // 10 AS BIGINT) tc,
+ CAST(CASE tool WHEN 'view' THEN 1 WHEN 'click' THEN 3 ELSE 2 END AS BIGINT) cents, CAST(ts AS DATE) AS day FROM ev)"""
+
+
+def with_exact(sql: str) -> str:
+    return f"WITH {EV} {EX} {sql}"
