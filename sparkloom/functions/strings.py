@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -52,7 +54,9 @@ def normal_name(name: Column) -> Column:
 
 def count_of(text: Column, word: Column | str) -> Column:
     """Occurrences of a literal, case-insensitively."""
-    w = F.lower(F.lit(word) if isinstance(word, str) else word)
+    if isinstance(word, str):  # one pass over the text, nothing is copied
+        return F.regexp_count(F.coalesce(text, F.lit("")), F.lit("(?iu)" + re.escape(word)))
+    w = F.lower(word)
     low = F.lower(F.coalesce(text, F.lit("")))
     return ((F.length(low) - F.length(F.replace(low, w, F.lit("")))) / F.length(w)).cast("int")
 

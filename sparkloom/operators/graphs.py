@@ -5,18 +5,16 @@ Iterations cut their lineage through ``checkpoint`` in the folder that ``spark.c
 
 from __future__ import annotations
 
-import tempfile
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.places import shared_folder
+
 
 def _cut(df: DataFrame) -> DataFrame:
-    context = df.sparkSession.sparkContext
-    if not context._jsc.sc().getCheckpointDir().isDefined():
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="sparkloom-"))
+    shared_folder(df.sparkSession)
     return df.checkpoint()
 
 
@@ -33,12 +31,13 @@ def hubs(edges: DataFrame, least: int) -> DataFrame:
     return out.unionByName(into).where(F.col("degree") >= least)
 
 
-def reachable(edges: DataFrame, start: DataFrame, max_hops: int = 1000) -> DataFrame:
-    """Everything that can be reached from each start (start, node, hops), by shortest number of hops; cycles end by themselves."""
+def reachable(edges: DataFrame, start: DataFrame, max_hops: int | None = None) -> DataFrame:
+    """Everything that can be reached from each start (start, node, hops), by shortest number of hops; cycles end by themselves.
+    Runs to the end unless ``max_hops`` says how far to go."""
     step = edges.select("src", "dst").distinct()
     seen = _cut(start.select(F.col("node").alias("start"), "node", F.lit(0).cast("long").alias("hops")).distinct())
     frontier, hop = seen, 0
-    while hop < max_hops:
+    while max_hops is None or hop < max_hops:
         hop += 1
         found = frontier.join(step, F.col("node") == F.col("src")).select("start", F.col("dst").alias("node")).distinct()
         frontier = _cut(found.join(seen, ["start", "node"], "left_anti").withColumn("hops", F.lit(hop).cast("long")))
@@ -48,12 +47,12 @@ def reachable(edges: DataFrame, start: DataFrame, max_hops: int = 1000) -> DataF
     return seen
 
 
-def shortest_paths(edges: DataFrame, start: DataFrame, max_rounds: int = 1000) -> DataFrame:
+def shortest_paths(edges: DataFrame, start: DataFrame) -> DataFrame:
     """Least total weight from each start by rounds of relaxation; weights are not negative."""
     step = edges.groupBy("src", "dst").agg(F.min("weight").alias("w"))
     best = _cut(start.select(F.col("node").alias("start"), "node", F.lit(0.0).alias("distance")))
     changed = best
-    for _ in range(max_rounds):
+    while True:
         moved = changed.join(step, F.col("node") == F.col("src")).select("start", F.col("dst").alias("node"), (F.col("distance") + F.col("w")).alias("distance"))
         after = best.unionByName(moved).groupBy("start", "node").agg(F.min("distance").alias("distance"))
         old = best.withColumnRenamed("distance", "old")
@@ -152,8 +151,8 @@ def _unit(column) -> np.ndarray:  # noqa: ANN001
     return np.divide(m, norm, out=np.zeros_like(m), where=norm > 0)
 
 
-def subtree(pairs: DataFrame, parent: str, child: str, rounds: int = 50) -> DataFrame:
+def subtree(pairs: DataFrame, parent: str, child: str) -> DataFrame:
     """Every (ancestor, descendant, depth) of a hierarchy."""
     roots = pairs.select(F.col(parent).alias("node")).distinct()
-    found = reachable(pairs.select(F.col(parent).alias("src"), F.col(child).alias("dst")), roots, rounds)
+    found = reachable(pairs.select(F.col(parent).alias("src"), F.col(child).alias("dst")), roots)
     return found.where("hops > 0").select(F.col("start").alias("ancestor"), F.col("node").alias("descendant"), F.col("hops").alias("depth"))

@@ -59,9 +59,13 @@ def expertise_map(spark, d):
 
 @register("decision_conflicts", """SELECT a.o_custkey, a.o_orderkey a, b.o_orderkey b, a.o_orderpriority <> b.o_orderpriority AS differs FROM orders a JOIN orders b ON a.o_custkey=b.o_custkey AND a.o_orderkey<b.o_orderkey AND abs(epoch_us(a.o_orderdate)-epoch_us(b.o_orderdate)) < 604800000000""")
 def decision_conflicts(spark, d):
-    o = table(spark, d, "orders").select("o_custkey", "o_orderkey", F.col("o_orderdate").cast("timestamp").alias("t"), "o_orderpriority")
-    a, b = (o.select("o_custkey", F.col("o_orderkey").alias(x), F.col("t").alias("t" + x), F.col("o_orderpriority").alias("p" + x)) for x in "ab")
-    return a.join(b, "o_custkey").where((F.col("a") < F.col("b")) & (F.abs(F.unix_micros("ta") - F.unix_micros("tb")) < 604800000000)).select("o_custkey", "a", "b", (F.col("pa") != F.col("pb")).alias("differs"))
+    """Time is binned by the week, so that a decision meets its own and the neighbouring bins, never all of a customer."""
+    week = 604800000000
+    o = table(spark, d, "orders").select("o_custkey", "o_orderkey", F.unix_micros(F.col("o_orderdate").cast("timestamp")).alias("t"), "o_orderpriority").withColumn("bin", F.floor(F.col("t") / week))
+    a = o.select("o_custkey", "bin", F.col("o_orderkey").alias("a"), F.col("t").alias("ta"), F.col("o_orderpriority").alias("pa"))
+    b = o.select("o_custkey", F.explode(F.array(F.col("bin") - 1, F.col("bin"), F.col("bin") + 1)).alias("bin"), F.col("o_orderkey").alias("b"), F.col("t").alias("tb"), F.col("o_orderpriority").alias("pb"))
+    met = a.join(b, ["o_custkey", "bin"]).where((F.col("a") < F.col("b")) & (F.abs(F.col("ta") - F.col("tb")) < week))
+    return met.select("o_custkey", "a", "b", (F.col("pa") != F.col("pb")).alias("differs"))
 
 
 @register("decision_page", "SELECT o_orderkey, o_totalprice FROM orders WHERE o_orderpriority LIKE '%URGENT%' AND o_orderdate >= TIMESTAMP '1996-01-01' ORDER BY o_orderdate DESC, o_orderkey LIMIT 20 OFFSET 20")
@@ -131,12 +135,31 @@ def similar_items(spark, d):
     return TX.similar_pairs(items, "item_id", "terms", 3, 0.12)
 
 
-@register("fuzzy_dedup_items", f"""WITH t AS (SELECT item_id, list_distinct({TOK.format('text')}) x FROM benchmark), p AS (SELECT a.item_id a, b.item_id b, len(list_intersect(a.x,b.x)) k, len(a.x) la, len(b.x) lb FROM t a JOIN t b ON a.item_id < b.item_id) SELECT b dropped, min(a) kept FROM p WHERE k >= 1 AND k/(la+lb-k)::DOUBLE >= 0.12 GROUP BY 1""")
+def _greedy(tokens: str, similar: str) -> str:
+    """SQL of greedy deduplication: items in order, each kept unless it is similar to one that is kept."""
+    return f"""WITH RECURSIVE t AS (SELECT item_id, {tokens} x FROM benchmark), p AS (SELECT a.item_id a, b.item_id b FROM t a JOIN t b ON a.item_id < b.item_id WHERE {similar}), nb AS (SELECT row_number() OVER (ORDER BY item_id) AS i, item_id, coalesce((SELECT list(a) FROM p WHERE b = item_id), []) AS earlier FROM t),
+ g(i, kept) AS (SELECT CAST(0 AS BIGINT), CAST([] AS BIGINT[]) UNION ALL SELECT g.i + 1, CASE WHEN list_has_any(g.kept, nb.earlier) THEN g.kept ELSE list_append(g.kept, nb.item_id) END FROM g JOIN nb ON nb.i = g.i + 1), k AS (SELECT arg_max(kept, i) kept FROM g) SELECT item_id AS dropped, list_min(list_intersect(kept, earlier)) AS kept FROM nb, k WHERE list_has_any(kept, earlier)"""
+
+
+_JACCARD = "len(list_intersect(a.x, b.x)) / greatest(1, len(list_distinct(list_concat(a.x, b.x))))"
+
+
+@register("fuzzy_dedup_items", _greedy(f"list_distinct({TOK.format('text')})", f"{_JACCARD} >= 0.12"))
 def fuzzy_dedup_items(spark, d):
     items = table(spark, d, "benchmark").select("item_id", S.token_set(F.col("text")).alias("terms"))
     return TX.canonical(TX.similar_pairs(items, "item_id", "terms", 1, 0.12))
 
 
+_STEMS = f"list_distinct(list_transform(list_filter(string_split_regex(regexp_replace(lower(text), '[^a-z0-9\\s-]', ' ', 'g'), '\\s+'), lambda w: length(w) >= 3 AND NOT list_contains({list(S.STOP_WORDS)}, w)), lambda w: CASE WHEN length(w) >= 4 THEN regexp_replace(w, '(?:{'|'.join(S.SUFFIXES)})$', '') ELSE w END))"
+
+
+@register("stem_dedup_items", _greedy(_STEMS, f"{_JACCARD} >= 0.1"))
+def stem_dedup_items(spark, d):
+    """Greedy deduplication by stems, at a threshold that these texts reach."""
+    items = table(spark, d, "benchmark").select("item_id", S.stems(F.col("text")).alias("terms"))
+    return TX.canonical(TX.similar_pairs(items, "item_id", "terms", 1, 0.1))
+
+
 @register("item_cosines", f"""WITH t AS (SELECT item_id, unnest({TOK.format('text')}) w FROM benchmark), f AS (SELECT item_id, w, count(*) n FROM t GROUP BY 1,2), m AS (SELECT item_id, sqrt(sum(n*n)) z FROM f GROUP BY 1), pr AS (SELECT item_id a, item_id+1 b FROM benchmark WHERE item_id+1 IN (SELECT item_id FROM benchmark)),
  dt AS (SELECT a, b, sum(x.n*y.n) s FROM pr JOIN f x ON x.item_id=a JOIN f y ON y.item_id=b AND x.w=y.w GROUP BY 1,2) SELECT pr.a, pr.b, {r('coalesce(s/(ma.z*mb.z), 0)')} cosine FROM pr LEFT JOIN dt USING (a,b) LEFT JOIN m ma ON ma.item_id=pr.a LEFT JOIN m mb ON mb.item_id=pr.b""")
 def item_cosines(spark, d):
@@ -190,10 +213,10 @@ def label_centroid_norms(spark, d):
     return m.groupBy("label").agg(N.half_up(F.sqrt(F.sum(F.col("v") * F.col("v"))), 4).alias("norm"))
 
 
-@register("projected_vectors", f"SELECT vec_id, {r('list_avg(embedding[1:8]::DOUBLE[])')} first, {r('list_avg(embedding[57:64]::DOUBLE[])')} last FROM embeddings")
+@register("projected_vectors", f"SELECT vec_id, {r('list_avg(embedding[1:6]::DOUBLE[])')} first, {r('list_avg(embedding[61:64]::DOUBLE[])')} last FROM embeddings")
 def projected_vectors(spark, d):
-    short = N.chunk_means(F.transform("embedding", lambda x: x.cast("double")), 8)
-    return table(spark, d, "embeddings").select("vec_id", short.alias("s")).select("vec_id", N.half_up(F.col("s")[0], 4).alias("first"), N.half_up(F.col("s")[7], 4).alias("last"))
+    short = N.chunk_means(F.transform("embedding", lambda x: x.cast("double")), 6)
+    return table(spark, d, "embeddings").select("vec_id", short.alias("s")).select("vec_id", N.half_up(F.col("s")[0], 4).alias("first"), N.half_up(F.element_at("s", -1), 4).alias("last"))
 
 
 # --- graph: nation of the customer buys from nation of the supplier
@@ -223,28 +246,31 @@ def trade_hubs(spark, d):
     return G.hubs(_edges(spark, d), 2)
 
 
-#: A graph of 500 nodes in which every order is an edge.
-CHAIN = "c AS (SELECT o_orderkey % 500 AS src, (o_orderkey * 7 + o_custkey % 3) % 500 AS dst, CAST(max(5 + o_custkey % 5) AS DOUBLE) weight FROM orders GROUP BY 1,2)"
+#: Customers (even nodes) and suppliers (odd ones) that trade, in both directions; weights fall with what they trade.
+CHAIN = """p AS (SELECT o_custkey * 2 AS a, l_suppkey * 2 + 1 AS b, CAST(1 + 10 // count(*) AS DOUBLE) AS w FROM orders JOIN lineitem ON o_orderkey = l_orderkey GROUP BY 1, 2),
+ c AS (SELECT a AS src, b AS dst, w AS weight FROM p UNION ALL SELECT b, a, w FROM p)"""
 
 
 def _chain(spark, d):
-    k, c = F.col("o_orderkey"), F.col("o_custkey")
-    return table(spark, d, "orders").groupBy((k % 500).alias("src"), ((k * 7 + c % 3) % 500).alias("dst")).agg(F.max(5 + c % 5).cast("double").alias("weight"))
+    o, l = table(spark, d, "orders").select("o_orderkey", "o_custkey"), table(spark, d, "lineitem").select("l_orderkey", "l_suppkey")
+    met = o.join(l, F.col("o_orderkey") == F.col("l_orderkey")).groupBy((F.col("o_custkey") * 2).alias("a"), (F.col("l_suppkey") * 2 + 1).alias("b")).agg(F.count("*").alias("n"))
+    ways = F.array(F.struct(F.col("a").alias("src"), F.col("b").alias("dst")), F.struct(F.col("b").alias("src"), F.col("a").alias("dst")))
+    return met.select(F.explode(ways).alias("e"), (1 + F.floor(10 / F.col("n"))).cast("double").alias("weight")).select("e.src", "e.dst", "weight")
 
 
-@register("reachable_nodes", f"WITH RECURSIVE {CHAIN}, w(node, hops) AS (SELECT CAST(1 AS BIGINT), 0 UNION SELECT c.dst, w.hops + 1 FROM w JOIN c ON w.node = c.src WHERE w.hops < 40) SELECT CAST(1 AS BIGINT) AS start, node, CAST(min(hops) AS BIGINT) hops FROM w GROUP BY 2")
+@register("reachable_nodes", f"WITH RECURSIVE {CHAIN}, w(node, hops) USING KEY (node) AS (SELECT CAST(3 AS BIGINT), CAST(0 AS BIGINT) UNION SELECT c.dst, min(w.hops) + 1 FROM w JOIN c ON w.node = c.src LEFT JOIN recurring.w q ON q.node = c.dst WHERE q.node IS NULL GROUP BY 1) SELECT CAST(3 AS BIGINT) AS start, node, hops FROM w")
 def reachable_nodes(spark, d):
-    return G.reachable(_chain(spark, d), spark.createDataFrame([(1,)], "node bigint"), 40)
+    return G.reachable(_chain(spark, d), spark.createDataFrame([(3,)], "node bigint"))
 
 
-@register("node_components", f"WITH RECURSIVE {CHAIN}, b AS (SELECT src a, dst b FROM c UNION SELECT dst, src FROM c), w(a, b) AS (SELECT a, a FROM b UNION SELECT w.a, b.b FROM w JOIN b ON w.b = b.a) SELECT a node, min(b) component FROM w WHERE EXISTS (SELECT 1 FROM b x WHERE x.a = w.a AND x.a <> x.b) GROUP BY 1")
+@register("node_components", f"WITH RECURSIVE {CHAIN}, w(node, component) USING KEY (node) AS (SELECT DISTINCT src, src FROM c UNION SELECT c.dst, min(w.component) FROM w JOIN c ON w.node = c.src JOIN recurring.w q ON q.node = c.dst WHERE w.component < q.component GROUP BY 1) SELECT node, component FROM w")
 def node_components(spark, d):
     return G.connected(_chain(spark, d))
 
 
-@register("least_distances", f"WITH RECURSIVE {CHAIN}, w(node, dist, hops) AS (SELECT CAST(1 AS BIGINT), 0.0::DOUBLE, 0 UNION SELECT c.dst, w.dist + c.weight, w.hops + 1 FROM w JOIN c ON w.node = c.src WHERE w.hops < 16) SELECT CAST(1 AS BIGINT) AS start, node, {r('min(dist)')} distance FROM w GROUP BY 2")
+@register("least_distances", f"WITH RECURSIVE {CHAIN}, w(node, distance) USING KEY (node) AS (SELECT CAST(3 AS BIGINT), CAST(0 AS DOUBLE) UNION SELECT c.dst, min(w.distance + c.weight) FROM w JOIN c ON w.node = c.src LEFT JOIN recurring.w q ON q.node = c.dst WHERE q.node IS NULL OR w.distance + c.weight < q.distance GROUP BY 1) SELECT CAST(3 AS BIGINT) AS start, node, {r('distance')} AS distance FROM w")
 def least_distances(spark, d):
-    return G.shortest_paths(_chain(spark, d), spark.createDataFrame([(1,)], "node bigint")).withColumn("distance", N.half_up(F.col("distance"), 4))
+    return G.shortest_paths(_chain(spark, d), spark.createDataFrame([(3,)], "node bigint")).withColumn("distance", N.half_up(F.col("distance"), 4))
 
 
 @register("geo_hierarchy", "SELECT 'r'||r_name ancestor, 'n'||n_name descendant, CAST(1 AS BIGINT) AS depth FROM region JOIN nation ON r_regionkey=n_regionkey UNION ALL SELECT 'n'||n_name, 'c'||c_custkey, 1 FROM nation JOIN customer ON n_nationkey=c_nationkey UNION ALL SELECT 'r'||r_name, 'c'||c_custkey, 2 FROM region JOIN nation ON r_regionkey=n_regionkey JOIN customer ON n_nationkey=c_nationkey")
@@ -255,12 +281,28 @@ def geo_hierarchy(spark, d):
     return G.subtree(top.unionByName(low), "p", "q")
 
 
-@register("trade_pagerank")
+def _ranks(rounds: int) -> str:
+    """SQL of the rounds, one after the other."""
+    steps = ["n AS (SELECT DISTINCT src AS node FROM c), k AS (SELECT src, count(*) AS o FROM c GROUP BY 1), r0 AS (SELECT node, 1.0::DOUBLE / (SELECT count(*) FROM n) AS rank FROM n)"]
+    for i in range(rounds):
+        steps.append(f"r{i + 1} AS (SELECT n.node, 0.15::DOUBLE / (SELECT count(*) FROM n) + 0.85::DOUBLE * coalesce(sum(r{i}.rank / k.o), 0) AS rank FROM n LEFT JOIN c ON c.dst = n.node LEFT JOIN k ON k.src = c.src LEFT JOIN r{i} ON r{i}.node = c.src GROUP BY 1)")
+    return ", ".join(steps)
+
+
+@register("trade_pagerank", f"WITH {CHAIN}, {_ranks(10)} SELECT node, {r('rank', 8)} AS rank FROM r10")
 def trade_pagerank(spark, d):
+    """Every node has edges out, as trade goes both ways."""
     return G.pagerank(_chain(spark, d)).withColumn("rank", N.half_up(F.col("rank"), 8))
 
 
-@register("trade_communities")
+def _votes(rounds: int) -> str:
+    steps = ["l0 AS (SELECT DISTINCT src AS node, src AS label FROM c)"]
+    for i in range(rounds):
+        steps.append(f"v{i} AS (SELECT c.src AS node, label, sum(2 * weight) AS w FROM c JOIN l{i} ON l{i}.node = c.dst GROUP BY 1, 2), l{i + 1} AS (SELECT node, arg_min(label, row(-w, label)) AS label FROM v{i} GROUP BY 1)")
+    return ", ".join(steps)
+
+
+@register("trade_communities", f"WITH {CHAIN}, {_votes(5)} SELECT node, label FROM l5")
 def trade_communities(spark, d):
     return G.communities(_chain(spark, d))
 
