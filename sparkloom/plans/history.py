@@ -248,3 +248,25 @@ def running_profile(spark, d):
     e = exact(spark, d).withColumn("known", F.when(F.col("source") == "ai", F.col("s4")))
     g = e.groupBy("project").agg(F.count("*").alias("n"), F.coalesce(F.sum("known"), F.lit(0)).alias("s"), F.countDistinct("branch").alias("domains"))
     return g.select("project", "n", N.half_up(F.col("s") / F.col("n") / 1e4, 4).alias("direction"), "domains")
+
+
+@register("incremental_ingest", "SELECT CAST(ts AS DATE) AS event_date, count(*) n, min(CAST(event_id AS BIGINT)) AS first, count(DISTINCT user_id) AS projects FROM events GROUP BY 1")
+def incremental_ingest(spark, d):
+    """Events as day files, ingested in three runs: the first half, then what comes later (also to days already there), then again."""
+    import uuid
+
+    from ..sources import ingest
+    from ..sources.places import shared_folder
+
+    base = f"{shared_folder(spark)}/sparkloom/ingest-{uuid.uuid4().hex}"
+    e = table(spark, d, "events")
+    stamp = F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'")
+    line = F.to_json(F.struct(F.col("event_id").cast("string").alias("id"), F.col("user_id").cast("string").alias("projectId"), stamp.alias("timestamp"), F.lit("git").alias("source"), F.col("event_type").alias("type"), F.struct(F.col("event_type").alias("summary")).alias("content"), F.col("props").alias("metadata")))
+    lines = e.select(line.alias("value"), F.to_date("ts").alias("event_date"), (F.hour("ts") < 12).alias("early"))
+    for early in (True, False):
+        part = lines.where(F.col("early") == early).drop("early")
+        part.repartition("event_date").write.mode("append").partitionBy("event_date").text(f"{base}/log")
+        ingest.materialise(spark, f"{base}/log", f"{base}/table")
+    ingest.materialise(spark, f"{base}/log", f"{base}/table")
+    found = ingest.materialised(spark, f"{base}/table")
+    return found.groupBy("event_date").agg(F.count("*").alias("n"), F.min(F.col("id").cast("long")).alias("first"), F.countDistinct("project_id").alias("projects"))

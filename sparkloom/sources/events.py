@@ -30,12 +30,12 @@ PROMOTED = {
 LISTS = ("files_referenced", "files_modified", "prompts_all")
 
 
-def parse_lines(lines: DataFrame) -> DataFrame:
+def parse_lines(lines: DataFrame, *keep: str) -> DataFrame:
     """Text lines (``value``) to parsed events with ``ok``; blank lines are left out, bad ones keep their text in ``raw``."""
     line = F.trim("value")
-    parsed = lines.where(line != "").select(line.alias("raw"), F.from_json(line, EVENT, {"mode": "PERMISSIVE"}).alias("e"))
+    parsed = lines.where(line != "").select(*keep, line.alias("raw"), F.from_json(line, EVENT, {"mode": "PERMISSIVE"}).alias("e"))
     ok = F.col("e.id").isNotNull() & F.col("e.timestamp").isNotNull() & F.col("e.source").isNotNull() & F.col("e.type").isNotNull()
-    return parsed.select("raw", F.coalesce(ok, F.lit(False)).alias("ok"), "e.*")
+    return parsed.select(*keep, "raw", F.coalesce(ok, F.lit(False)).alias("ok"), "e.*")
 
 
 def read_days(spark: SparkSession, folder: str, first: str | None = None, last: str | None = None) -> DataFrame:
@@ -53,7 +53,7 @@ def write_days(events: DataFrame, folder: str, ts: str = "timestamp") -> None:
     events.withColumn("event_date", F.to_date(F.try_to_timestamp(ts))).write.mode("append").partitionBy("event_date").json(folder)
 
 
-def promote(events: DataFrame) -> DataFrame:
+def promote(events: DataFrame, *keep: str) -> DataFrame:
     """Parsed events to one flat row each: promoted metadata columns, lists that are never null, and ``overflow`` for the rest."""
     meta = F.from_json(F.coalesce("metadata", F.lit("{}")), "map<string,string>")
     m = events.withColumn("__m", meta)
@@ -66,7 +66,7 @@ def promote(events: DataFrame) -> DataFrame:
         "ts": F.try_to_timestamp("timestamp"), "project_id": F.coalesce(F.nullif("projectId", F.lit("")), "content.project", F.lit("")), "summary": F.col("content.summary"), "detail": F.col("content.detail"),
         "files": F.coalesce("content.files", F.array().cast("array<string>")), "branch": F.coalesce("content.branch", "gitContext.branch"), "repo": F.col("gitContext.repo"), "commit_hash": F.col("gitContext.commitHash"),
     }
-    return m.select("id", "source", "type", *[c.alias(n) for n, c in flat.items()], *[c.alias(n) for n, c in promoted.items()], *[c.alias(n) for n, c in lists.items()], rest.alias("overflow"))
+    return m.select(*keep, "id", "source", "type", *[c.alias(n) for n, c in flat.items()], *[c.alias(n) for n, c in promoted.items()], *[c.alias(n) for n, c in lists.items()], rest.alias("overflow"))
 
 
 def count_by_day(rows: DataFrame) -> DataFrame:
