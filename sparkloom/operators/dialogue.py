@@ -16,10 +16,11 @@ def flat_content(content: Column) -> Column:
     return F.when(content.startswith("["), F.coalesce(joined, F.lit(""))).otherwise(F.coalesce(content, F.lit("")))
 
 
-def linked_turns(entries: DataFrame, max_depth: int = 10_000) -> DataFrame:
+def linked_turns(entries: DataFrame) -> DataFrame:
     """Turn order of log entries (session, uuid, parent) by their parent pointers: root, depth; cycles and orphans end by themselves.
 
-    Pointer doubling: the hops from an entry to its root take as many rounds as the depth has bits.
+    Pointer doubling: the hops from an entry to its root take as many rounds as their number has bits, and no path without a
+    cycle is longer than there are entries.
     """
     from .graphs import _cut
 
@@ -27,8 +28,7 @@ def linked_turns(entries: DataFrame, max_depth: int = 10_000) -> DataFrame:
     parent = F.when(F.col("known"), F.col("parent"))
     up = entries.select("session", "uuid", "parent").join(known, ["session", "parent"], "left")
     state = _cut(up.select("session", "uuid", parent.alias("up"), F.when(parent.isNotNull(), 1).otherwise(0).cast("long").alias("depth"), F.coalesce(parent, "uuid").alias("root")))
-    rounds = max(1, max_depth.bit_length())
-    for _ in range(rounds):
+    for _ in range(max(1, state.count().bit_length())):
         far = state.select("session", F.col("uuid").alias("up"), F.col("up").alias("up2"), F.col("depth").alias("depth2"), F.col("root").alias("root2"))
         state = _cut(state.join(far, ["session", "up"], "left").select("session", "uuid", F.col("up2").alias("up"), (F.col("depth") + F.coalesce("depth2", F.lit(0))).alias("depth"), F.coalesce("root2", "root").alias("root")))
         if state.where("up is not null").limit(1).count() == 0:

@@ -151,12 +151,22 @@ def prompt_specificity(spark, d):
     return D.prompt_features(table(spark, d, "conversations"), "conv_id", "turn", "text").select("conv_id", "turn", "specificity")
 
 
-@register("conversation_segments")
+_TOKENS = "list_filter(string_split_regex(regexp_replace(lower(text), '[^a-z0-9\\s_-]', ' ', 'g'), '\\s+'), lambda x: length(x) >= {0})"
+
+
+@register("conversation_segments", f"""WITH t AS (SELECT conv_id, turn, text, list_distinct({_TOKENS.format(2)}) x FROM conversations), p AS (SELECT *, lag(x) OVER (PARTITION BY conv_id ORDER BY turn) y FROM t),
+ f AS (SELECT conv_id, turn, CASE WHEN y IS NULL OR len(list_intersect(x, y)) / greatest(1, len(list_distinct(list_concat(x, y)))) < 0.05 OR regexp_matches(text, '(?i)^(now|next|also|instead|actually|ok so)\\b') THEN 1 ELSE 0 END fresh FROM p),
+ s AS (SELECT conv_id, turn, CAST(sum(fresh) OVER (PARTITION BY conv_id ORDER BY turn ROWS UNBOUNDED PRECEDING) AS BIGINT) AS segment FROM f) SELECT conv_id, segment, min(turn) first_turn, max(turn) last_turn, count(*) n_turns FROM s GROUP BY 1, 2""")
 def conversation_segments(spark, d):
     return D.segments(table(spark, d, "conversations"), "conv_id", "turn", "text")
 
 
-@register("conversation_comprehension")
+def _said(pattern: str) -> str:
+    return f"10 * coalesce(count(*) FILTER (role = 'user' AND regexp_matches(text, '(?i){pattern}')) / nullif(count(*) FILTER (role = 'user'), 0), 0)"
+
+
+@register("conversation_comprehension", f"""WITH g AS (SELECT conv_id, count(*) FILTER (role = 'user') n_user, {_said('\\b(instead|should|change|use|make)\\b')} steering, {_said('\\b(because|since|why|therefore)\\b')} understanding, {_said('\\b(i think|not sure|maybe|confus)')} metacognition, {_said('\\b(i will|my own|already|i did)\\b')} independence,
+ 10 * coalesce(greatest(0, least(1, avg(len({_TOKENS.format(1)})) FILTER (role = 'user') / 50)), 0) engagement FROM conversations GROUP BY 1) SELECT conv_id, n_user, {r('steering', 2)} AS steering, {r('understanding', 2)} AS understanding, {r('metacognition', 2)} AS metacognition, {r('independence', 2)} AS independence, {r('engagement', 2)} AS engagement, {r('10 * (0.25 * steering + 0.25 * understanding + 0.15 * metacognition + 0.2 * independence + 0.15 * engagement)', 2)} AS overall FROM g""")
 def conversation_comprehension(spark, d):
     return D.comprehension(table(spark, d, "conversations"), "conv_id", "role", "text")
 
