@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.numeric import half_up, ratio
@@ -138,3 +138,25 @@ def insert_ignored(there: DataFrame, fresh: DataFrame, keys: list[str], first: s
     one = lambda df: df.groupBy(*keys).agg(F.min(first).alias(first))
     old = one(there)
     return old.unionByName(one(fresh).join(old.select(*keys), keys, "left_anti"))
+
+
+def evolved(old: DataFrame, new: DataFrame) -> DataFrame:
+    """Rows of two schemas in one table: columns that a side lacks are null; a column of both keeps the newer type."""
+    for field in new.schema.fields:
+        if field.name in old.columns:
+            old = old.withColumn(field.name, F.col(field.name).cast(field.dataType))
+    return old.unionByName(new, allowMissingColumns=True)
+
+
+def dated_ids(rows: DataFrame, day: str, order: list[str]) -> DataFrame:
+    """``id``: the day and the row's number in it."""
+    place = F.row_number().over(Window.partitionBy(day).orderBy(*order))
+    return rows.withColumn("id", F.concat(F.col(day), F.lit("-"), place.cast("string")))
+
+
+def rapid_groups(rows: DataFrame, by: list[str], ts: str, id_: str, seconds: int, least: int) -> DataFrame:
+    """Runs of rows of a key with at most ``seconds`` between neighbours: their number, size and first id."""
+    key = Window.partitionBy(*by).orderBy(ts, id_)
+    gap = F.unix_micros(ts) - F.unix_micros(F.lag(ts).over(key))
+    fresh = rows.withColumn("__fresh", F.when(gap.isNull() | (gap > seconds * 1_000_000), 1).otherwise(0)).withColumn("grp", F.sum("__fresh").over(key))
+    return fresh.groupBy(*by, "grp").agg(F.count("*").alias("n_fixes"), F.min(id_).alias("first")).where(F.col("n_fixes") >= least)

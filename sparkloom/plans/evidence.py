@@ -178,3 +178,61 @@ def feature_counters(spark, d):
     e = exact(spark, d)
     n = e.groupBy("branch").agg(F.count("*").alias("n_events"), F.max("ts").alias("last_seen"))
     return n.join(F.broadcast(R.as_of(e))).select("branch", "n_events", "last_seen", F.when(F.col("last_seen") < F.col("as_of") - F.expr("interval 1 hour"), "stale").otherwise("active").alias("status"))
+
+
+@register("tool_call_summaries", ex(", n AS (SELECT session, tool, count(*) n FROM ex GROUP BY 1, 2) SELECT session, string_agg(tool || ' x' || n, ', ' ORDER BY n DESC, tool) AS calls, CAST(sum(n) AS BIGINT) AS n_calls FROM n GROUP BY 1"))
+def tool_call_summaries(spark, d):
+    """The tools of a session with how often each was called, most first."""
+    n = exact(spark, d).groupBy("session", "tool").agg(F.count("*").alias("n"))
+    ordered = F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("o"), "tool", "n")))
+    calls = F.array_join(F.transform(ordered, lambda x: F.concat(x["tool"], F.lit(" x"), x["n"].cast("string"))), ", ")
+    return n.groupBy("session").agg(calls.alias("calls"), F.sum("n").alias("n_calls"))
+
+
+@register("evolved_schema", "SELECT o_orderkey, CASE WHEN o_orderstatus = 'F' THEN NULL ELSE o_orderpriority END AS o_orderpriority, CASE WHEN o_orderstatus = 'F' THEN o_totalprice END AS o_totalprice FROM orders")
+def evolved_schema(spark, d):
+    """Tables of an older and a newer schema in one: columns that either lacks are null."""
+    o = table(spark, d, "orders")
+    return R.evolved(o.where("o_orderstatus = 'F'").select("o_orderkey", "o_totalprice"), o.where("o_orderstatus <> 'F'").select("o_orderkey", "o_orderpriority")).select("o_orderkey", "o_orderpriority", "o_totalprice")
+
+
+@register("decision_log_ids", "SELECT strftime(o_orderdate, '%Y-%m-%d') || '-' || row_number() OVER (PARTITION BY CAST(o_orderdate AS DATE) ORDER BY o_orderkey) AS id, o_orderkey FROM orders")
+def decision_log_ids(spark, d):
+    """Ids of logged decisions: the date and a running number in it."""
+    o = table(spark, d, "orders").select("o_orderkey", F.date_format("o_orderdate", "yyyy-MM-dd").alias("day"))
+    return R.dated_ids(o, "day", ["o_orderkey"]).select("id", "o_orderkey")
+
+
+@register("metric_snapshots", ex(", s AS (SELECT day, project, id, sum(s4) OVER (PARTITION BY day, project ORDER BY ts, id) total, row_number() OVER (PARTITION BY day, project ORDER BY ts DESC, id DESC) k FROM ex) SELECT day, project, id AS at, CAST(total AS BIGINT) AS total FROM s WHERE k = 1"))
+def metric_snapshots(spark, d):
+    """Of all snapshots of a day and project the last one written."""
+    e = exact(spark, d)
+    return e.groupBy("day", "project").agg(F.max_by("id", F.struct("ts", "id")).alias("at"), F.sum("s4").alias("total"))
+
+
+@register("fact_log", "SELECT l_linestatus AS status, count(*) n, CAST(sum(l_orderkey) AS BIGINT) AS keys FROM lineitem WHERE l_returnflag = 'R' GROUP BY 1")
+def fact_log(spark, d):
+    """Facts as JSON lines and back; lines that do not parse are left out."""
+    l = table(spark, d, "lineitem").where("l_returnflag = 'R'")
+    lines = l.select(F.to_json(F.struct(F.col("l_orderkey").alias("subject"), F.lit("returned").alias("predicate"), F.col("l_linestatus").alias("object"))).alias("value")).unionByName(spark.createDataFrame([("not json",), ("",)], "value string"))
+    facts = lines.select(F.from_json("value", "subject bigint, predicate string, object string").alias("f")).where("f.subject is not null").select("f.*")
+    return facts.groupBy(F.col("object").alias("status")).agg(F.count("*").alias("n"), F.sum("subject").alias("keys"))
+
+
+@register("rapid_fix_sessions", ex(", f AS (SELECT project, ts, id, lag(ts) OVER (PARTITION BY project ORDER BY ts, id) p FROM ex WHERE source = 'git' AND s4 < 4000), g AS (SELECT *, sum(CASE WHEN p IS NULL OR epoch_us(ts) - epoch_us(p) > 1800000000 THEN 1 ELSE 0 END) OVER (PARTITION BY project ORDER BY ts, id) AS grp FROM f) SELECT project, CAST(grp AS BIGINT) AS grp, count(*) n_fixes, min(id) AS first FROM g GROUP BY 1, 2 HAVING count(*) >= 2"))
+def rapid_fix_sessions(spark, d):
+    """Two or more fixing commits (a low score stands for the word) with at most thirty minutes between them."""
+    fixes = exact(spark, d).where("source = 'git' and s4 < 4000")
+    return R.rapid_groups(fixes, ["project"], "ts", "id", 1800, 2)
+
+
+@register("similar_decisions", f"WITH t AS (SELECT item_id, text, list_distinct(list_filter(string_split_regex(regexp_replace(lower(text), '[^a-z0-9\\s_-]', ' ', 'g'), '\\s+'), lambda x: length(x) >= 2)) w FROM benchmark), q AS (SELECT ['the','and','tion','that','des','of','ing'] AS w), s AS (SELECT item_id, {r('0.4 * (len(list_intersect(t.w, q.w)) / len(list_distinct(list_concat(t.w, q.w)))) + 0.3 * contains(text, $$the $$)::INT + 0.2 * least(1, len(t.w) / 100) + 0.1 * contains(text, $$tion$$)::INT').replace('$$', chr(39))} AS score FROM t, q) SELECT item_id, score FROM s WHERE score > 0 ORDER BY score DESC, item_id LIMIT 10")
+def similar_decisions(spark, d):
+    """The ten decisions most like a problem: its words (0.4), its domain (0.3), its style (0.2) and its trade-off (0.1)."""
+    from ..functions.numeric import half_up
+
+    words = S.token_set(F.col("text"))
+    problem = F.array(*[F.lit(w) for w in ("the", "and", "tion", "that", "des", "of", "ing")])
+    yes = lambda x: F.when(F.col("text").contains(x), 1).otherwise(0)
+    score = 0.4 * S.jaccard(words, problem) + 0.3 * yes("the ") + 0.2 * F.least(F.lit(1.0), F.size(words) / 100) + 0.1 * yes("tion")
+    return table(spark, d, "benchmark").select("item_id", half_up(score, 4).alias("score")).where("score > 0").orderBy(F.desc("score"), "item_id").limit(10)

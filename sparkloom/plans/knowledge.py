@@ -350,3 +350,35 @@ def expiring_edges(spark, d):
 def daily_comprehension(spark, d):
     x = table(spark, d, "orders").groupBy(F.to_date("o_orderdate").alias("day"), F.col("o_orderpriority").alias("p")).agg((F.avg("o_totalprice") / 10000).alias("s"), F.count("*").alias("n"))
     return x.groupBy("day").agg(N.half_up(F.least(F.lit(100.0), 10 * F.sum(F.col("s") * F.col("n")) / F.sum("n")), 4).alias("score"), F.max_by("p", F.struct("s", "p")).alias("best"), F.min_by("p", F.struct("s", "p")).alias("worst"))
+
+
+_NEAR = "q AS (SELECT vec_id query, label ql, embedding e FROM embeddings WHERE vec_id % 50 = 0), s AS (SELECT query, ql, vec_id, label, " + r("list_cosine_similarity(e::DOUBLE[], embedding::DOUBLE[])", 6) + " similarity FROM q JOIN embeddings ON vec_id <> query), k AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY similarity DESC, vec_id) AS rank FROM s)"
+
+
+@register("embedding_matches", f"WITH {_NEAR} SELECT q.query, vec_id AS matched FROM q LEFT JOIN k ON k.query = q.query AND k.rank = 1 AND 1 - k.similarity < 0.25")
+def embedding_matches(spark, d):
+    """For each asked vector the nearest of five, if it is near enough."""
+    v = table(spark, d, "embeddings")
+    asked = v.where("vec_id % 50 = 0")
+    near = G.nearest(v.select("vec_id", "embedding"), "vec_id", "embedding", asked.select("vec_id", "embedding"), 5)
+    first = near.where((F.col("rank") == 1) & (1 - F.col("similarity") < 0.25)).select("query", F.col("vec_id").alias("matched"))
+    return asked.select(F.col("vec_id").alias("query")).join(first, "query", "left")
+
+
+@register("contradiction_candidates", f"WITH {_NEAR} SELECT query, vec_id, label FROM k WHERE rank <= 10 AND 1 - similarity <= 0.3 AND label <> ql")
+def contradiction_candidates(spark, d):
+    """Of the ten nearest within 0.3, those that say something else (another label)."""
+    v = table(spark, d, "embeddings")
+    asked = v.where("vec_id % 50 = 0")
+    near = G.nearest(v.select("vec_id", "embedding"), "vec_id", "embedding", asked.select("vec_id", "embedding"), 10).where(1 - F.col("similarity") <= 0.3)
+    labels = v.select("vec_id", "label")
+    met = near.join(labels, "vec_id").join(labels.withColumnsRenamed({"vec_id": "query", "label": "ql"}), "query")
+    return met.where("label <> ql").select("query", "vec_id", "label")
+
+
+@register("corroborated_items", _greedy(f"list_distinct({TOK.format('text')})", f"{_JACCARD} >= 0.1 AND a.item_id % 3 <> b.item_id % 3"))
+def corroborated_items(spark, d):
+    """Items that say what an earlier one of another source says, in groups by the first."""
+    items = table(spark, d, "benchmark").select("item_id", S.token_set(F.col("text")).alias("terms"))
+    pairs = TX.similar_pairs(items, "item_id", "terms", 1, 0.1)
+    return TX.canonical(pairs.where(F.col("a") % 3 != F.col("b") % 3))
