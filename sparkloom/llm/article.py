@@ -51,7 +51,7 @@ MAX_LABELLED = 10_000
 MAX_DEPTH = 8
 _MOST_WORDS = 100
 
-_HIDDEN = {"script", "style", "template", "noscript", "head", "svg", "math", "iframe", "object", "canvas", "select", "button", "textarea", "option", "datalist", "audio", "video", "map"}
+_HIDDEN = {"script", "style", "template", "noscript", "head", "title", "svg", "math", "iframe", "object", "canvas", "select", "button", "textarea", "option", "datalist", "audio", "video", "map"}
 _BLOCKS = set("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol p pre section summary table tbody tfoot thead title tr ul".split())
 _VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 _NAMED = set("nav footer aside form dialog menu fieldset".split())

@@ -404,8 +404,10 @@ def test_mixture_follows_targets(spark):
     rows = [(i, "word " * 50, "a" if i % 3 else "b") for i in range(3000)]
     df = spark.createDataFrame(rows, "doc_id long, text string, source string")
     scheduled = packing.schedule(packing.tokenized(df).cache(), window=4096)
-    pieces = packing.pack(scheduled, 1).where("length = 51 or offset > 0")
-    assert all(r.n == 2 for r in pieces.groupBy("sequence_id").agg({"queue": "count"}).join(pieces.select("sequence_id", "queue").distinct().groupBy("sequence_id").count().withColumnRenamed("count", "n"), "sequence_id").collect())
+    sequences = collections.defaultdict(set)
+    for r in packing.pack(scheduled, 3).select("sequence_id", "queue").distinct().collect():
+        sequences[r.sequence_id].add(r.queue)
+    assert sum(len(q) == 2 for q in sequences.values()) >= 0.95 * len(sequences)
     mixed = scheduled.groupBy("window", "queue").sum("n_ids").collect()
     by = collections.defaultdict(dict)
     for r in mixed:

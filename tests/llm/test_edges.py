@@ -85,7 +85,7 @@ def test_op3_long_urls(spark):
 
 
 def test_op5_entities(spark):
-    rows = [(1, "a@b.co +1 555 123 4567"), (1, "a@b.co +1 555 123 4567"), (None, "1.2.3.4 4111 1111 1111 1111"), (2, None)]
+    rows = [(1, "a@b.co +1 555 123 4567"), (1, "a@b.co +1 555 123 4567"), (None, "1.2.3.4, 4111 1111 1111 1111"), (2, None)]
     got = sorted((r.doc_id or -1, r.n_email, r.n_ip, r.n_card, r.n_phone) for r in pii.op5(spark.createDataFrame(rows, "doc_id long, text string")).collect())
     assert got == [(-1, 0, 1, 1, 0), (1, 1, 0, 0, 1), (1, 1, 0, 0, 1), (2, 0, 0, 0, 0)]
 
