@@ -109,8 +109,12 @@ def diagnostic_buckets(spark, d):
     return D.promoted(n, "n", 5, 3).select("key", "n", "promoted", "held", "cooldown", "last_seen")
 
 
-@register("metacognition", f"""WITH u AS (SELECT conv_id, contains(text, '?')::INT a, regexp_matches(text, '(?i)\\b(que|what)\\b')::INT b, regexp_matches(text, '(?i)\\b(not|pas|nicht)\\b')::INT c, regexp_matches(text, '(?i)\\b(und|and|et)\\b')::INT e FROM conversations WHERE role = 'user') SELECT conv_id, count(*) n_turns, {r('sum(a + b + c + e) / count(*)', 3)} AS density, {r('(max(a) + max(b) + max(c) + max(e)) / 7.0', 3)} AS breadth FROM u GROUP BY 1""")
+#: Kinds of signals; words end where no ASCII letter or digit follows, as engines differ on others.
+_KINDS = {k: f"(?i)(?:^|[^A-Za-z0-9_])(?:{w})(?:[^A-Za-z0-9_]|$)" for k, w in {"asking": "que|what", "doubt": "not|pas|nicht", "linking": "und|and|et"}.items()} | {"question": r"\?"}
+_MARKS = ", ".join(f"regexp_matches(text, '{p}')::INT {k}" for k, p in _KINDS.items())
+
+
+@register("metacognition", f"WITH u AS (SELECT conv_id, {_MARKS} FROM conversations WHERE role = 'user') SELECT conv_id, count(*) n_turns, {r(f'sum({" + ".join(_KINDS)}) / count(*)', 3)} AS density, {r(f'({" + ".join(f"max({k})" for k in _KINDS)}) / 7.0', 3)} AS breadth FROM u GROUP BY 1")
 def metacognition(spark, d):
     """Signals by user turns, and the share of seven kinds that appear."""
-    kinds = {"question": r"\?", "asking": r"(?i)\b(que|what)\b", "doubt": r"(?i)\b(not|pas|nicht)\b", "linking": r"(?i)\b(und|and|et)\b"}
-    return D.metacognition(table(spark, d, "conversations").where(_USER), "conv_id", "text", kinds, 7)
+    return D.metacognition(table(spark, d, "conversations").where(_USER), "conv_id", "text", _KINDS, 7)
