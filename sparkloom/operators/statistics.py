@@ -79,9 +79,9 @@ def shrunk_means(rows: DataFrame, by: list[str], value: str, k: float = 10.0) ->
 
 
 def lag_correlation(series: DataFrame, on: str, x: str, y: str, gain: float = 0.1) -> DataFrame:
-    """Correlation of two aligned series now and one step later, and whether y follows x."""
-    w = Window.orderBy(on)
-    out = series.select(F.col(x).alias("__x"), F.col(y).alias("__y"), F.lead(y).over(w).alias("__n")).agg(F.count("*").alias("n"), pearson("__x", "__y", 7).alias("r0"), pearson("__x", "__n", 7).alias("r1"))
+    """Correlation of two aligned daily series now and a day later, and whether y follows x."""
+    later = series.select(F.date_sub(on, 1).alias(on), F.col(y).alias("__n"))
+    out = series.select(on, F.col(x).alias("__x"), F.col(y).alias("__y")).join(later, on, "left").agg(F.count("*").alias("n"), pearson("__x", "__y", 7).alias("r0"), pearson("__x", "__n", 7).alias("r1"))
     return out.select("n", half_up(F.col("r0"), 4).alias("r0"), half_up(F.col("r1"), 4).alias("r1"), (F.abs("r1") > F.abs("r0") + gain).alias("follows"))
 
 

@@ -83,7 +83,7 @@ def upsert_latest(events: DataFrame, order: list[str]) -> DataFrame:
 
 
 def conversations_to_events(turns: DataFrame, conv: str = "conversation_id", turn: str = "turn_index") -> DataFrame:
-    """One event per conversation: first real user prompt, turns in order, files touched by tools and calls by name (50 at most)."""
+    """One event per conversation: first real user prompt, turns in order and their span; ``tool_files`` gives the files."""
     user = (F.col("role") == "user") & (F.length("content") > 5)
     return turns.groupBy(conv).agg(
         F.min_by("content", F.when(user, F.col(turn))).alias("summary"), F.count("*").alias("turn_count"),
