@@ -17,10 +17,13 @@ _SCRATCH: list[list[DataFrame]] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``; only where it is unset (tests), a temporary one."""
+    """The folder that driver and executors share: ``spark.checkpoint.dir``.  Where it is unset, a temporary one in local mode
+    (tests); on a cluster that is an error."""
     there = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if there:
         return there.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that the whole cluster shares")
     if not _OWN:
         _OWN.append("file://" + tempfile.mkdtemp(prefix="sparkloom-"))
     return _OWN[0]
