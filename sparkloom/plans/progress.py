@@ -13,7 +13,9 @@ from .adapter import exact, r
 from .adapter import with_exact as ex
 from .catalog import register
 
-_AI = F.col("source") == "ai"
+
+def _ai() -> Column:
+    return F.col("source") == "ai"
 
 
 def _whole(x: str) -> str:
@@ -40,19 +42,19 @@ def spend_by_day_ranked(spark, d):
 
 @register("context_overhead", ex(f"SELECT project, {r('1 - sum(sec) / count(sec) / 60.0', 2)} AS overhead FROM ex WHERE source = 'ai' GROUP BY 1"))
 def context_overhead(spark, d):
-    return exact(spark, d).where(_AI).groupBy("project").agg(N.half_up(1 - F.sum("sec") / F.count("sec") / 60.0, 2).alias("overhead"))
+    return exact(spark, d).where(_ai()).groupBy("project").agg(N.half_up(1 - F.sum("sec") / F.count("sec") / 60.0, 2).alias("overhead"))
 
 
 @register("period_length", ex(f"SELECT project, greatest(1, {_whole('(epoch_us(max(ts)) - epoch_us(min(ts))) / 86400000000')}) AS n_days FROM ex WHERE source = 'ai' GROUP BY 1"))
 def period_length(spark, d):
     span = (F.unix_micros(F.max("ts")) - F.unix_micros(F.min("ts"))) / 86400000000
-    return exact(spark, d).where(_AI).groupBy("project").agg(F.greatest(F.lit(1), N.half_up(span).cast("long")).alias("n_days"))
+    return exact(spark, d).where(_ai()).groupBy("project").agg(F.greatest(F.lit(1), N.half_up(span).cast("long")).alias("n_days"))
 
 
 @register("abandoned_waste", ex("SELECT coalesce(tool, 'unknown') model, count(*) n, CAST(sum(cents) AS DOUBLE)/100 AS cost FROM ex WHERE source = 'ai' AND s4 < 500 GROUP BY 1"))
 def abandoned_waste(spark, d):
     """What was spent on work that was given up (a direction score under 0.05 stands for that outcome)."""
-    lost = exact(spark, d).where(_AI & (F.col("s4") < 500))
+    lost = exact(spark, d).where(_ai() & (F.col("s4") < 500))
     return lost.groupBy(F.coalesce("tool", F.lit("unknown")).alias("model")).agg(F.count("*").alias("n"), (F.sum("cents").cast("double") / 100).alias("cost"))
 
 
@@ -69,7 +71,7 @@ _DAY_METRICS = f""", w AS (SELECT ex.* FROM ex, newest WHERE source = 'ai' AND t
 def _efficiency(spark, d) -> DataFrame:
     events = exact(spark, d)
     assessed = events.where(F.col("source") == "other").groupBy("project").agg((F.sum("s4") / F.count("*") / 1e4).alias("assessed"))
-    return P.efficiency_day(events.where(_AI), events.agg(F.max("ts").alias("as_of")), assessed, ["project"])
+    return P.efficiency_day(events.where(_ai()), events.agg(F.max("ts").alias("as_of")), assessed, ["project"])
 
 
 @register("efficiency_day", ex(_DAY_METRICS + " SELECT project, n, direction, directed, iteration, leverage, depth, efficiency, CASE WHEN n >= 10 THEN 'high' WHEN n >= 5 THEN 'medium' ELSE 'low' END confidence FROM e"))
@@ -182,7 +184,7 @@ _DUAL = f""", g AS (SELECT project, count(DISTINCT day) nd, count(*) FILTER (sou
 @register("dual_velocity", ex(_DUAL + f" SELECT project, ratio, CASE WHEN a < 0.2 AND b < 0.2 THEN 'both-low' WHEN ratio > 2 THEN 'ai-heavy' WHEN ratio < 0.5 THEN 'git-heavy' ELSE 'balanced' END alignment, CASE WHEN a > 0 THEN {r('rate * b / a', 3)} ELSE 0 END AS translation FROM y"))
 def dual_velocity(spark, d):
     n = lambda s: F.count_if(F.col("source") == s)
-    g = exact(spark, d).groupBy("project").agg(F.countDistinct("day").alias("nd"), n("ai").alias("na"), n("git").alias("ng"), (F.sum(F.when(_AI, F.col("s4"))) / n("ai") / 1e4).alias("eff"))
+    g = exact(spark, d).groupBy("project").agg(F.countDistinct("day").alias("nd"), n("ai").alias("na"), n("git").alias("ng"), (F.sum(F.when(_ai(), F.col("s4"))) / n("ai") / 1e4).alias("eff"))
     return g.select("project", *RU.dual_velocity(F.col("na") / F.col("nd"), F.col("eff"), F.col("ng") / F.col("nd"), F.least(F.lit(1.0), F.col("ng") / F.col("na"))))
 
 
@@ -213,5 +215,5 @@ def correlation_rules(spark, d):
     domains = events.groupBy(F.col("branch").alias("domain")).agg(N.half_up(F.sum("s4") / F.count("*") / 100).cast("long").alias("comprehension"), F.count("*").alias("n"), F.count_if(F.col("s4") < 2000).alias("low"), F.sum("cents").alias("cost"))
     trend = P.week_over_week(P.latest_snapshots(_snapshots(spark, d), "day", 30), "aes", band=0.0).select("trend")
     latest = _snapshots(spark, d).agg(F.max_by("aes", "day").alias("aes"))
-    halves = P.half_means(events.where(_AI), ["branch"], ["ts", "id"], "tc").withColumnRenamed("branch", "domain")
+    halves = P.half_means(events.where(_ai()), ["branch"], ["ts", "id"], "tc").withColumnRenamed("branch", "domain")
     return RU.correlations(domains, trend.crossJoin(F.broadcast(latest)), halves, expert=40, share=10.0)

@@ -15,7 +15,7 @@ from .adapter import exact, r, table
 from .adapter import with_exact as ex
 from .catalog import register
 
-_USER = F.col("role") == "user"
+_USER = "role = 'user'"
 
 
 def _q(p: str) -> str:
