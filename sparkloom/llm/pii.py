@@ -125,13 +125,17 @@ def revealing_terms(spanned: DataFrame) -> DataFrame:
     value = F.concat("e.kind", F.lit(":"), F.lower(F.substring("text", F.col("e.start") + 1, F.col("e.end") - F.col("e.start"))))
     near = entities.select("th", F.xxhash64(value).alias("entity"), _terms(F.concat(before, F.lit(" "), after)).alias("terms"))
     near = written(near, "contexts")
-    met = near.select("entity", "th", F.explode("terms").alias("term")).distinct().groupBy("entity", "term").agg(F.count("*").alias("support"))
-    met = written(met.where(F.col("support") >= SUPPORT), "met")
-    texts = spanned.select(F.xxhash64("text").alias("th")).distinct().count()
-    held = written(near.select("entity", "th").distinct().groupBy("entity").agg(F.count("*").alias("held")), "held")
+    held = near.select("entity", "th").distinct().groupBy("entity").agg(F.count("*").alias("held"))
+    held = written(held.where(F.col("held") >= SUPPORT), "held")  # others cannot be met that often
+    pairs = near.join(held, "entity").select("entity", "th", F.explode("terms").alias("term"))
+    met = written(pairs.distinct().groupBy("entity", "term").agg(F.count("*").alias("support")).where(F.col("support") >= SUPPORT), "met")
+    # Texts that have a term in such a context are some of all that have it: that rules out common words before texts are searched.
+    least = written(pairs.select("term", "th").distinct().groupBy("term").agg(F.count("*").alias("least")), "least")
+    met = written(met.join(least, "term").where(F.col("support") >= CERTAINTY * F.col("least")).drop("least"), "met")
     known, n = _few(met.select("term").distinct())
     if n == 0:
         return met.selectExpr("term", "entity", "support", "0d certainty", "0d disclosure")
+    texts = spanned.select(F.xxhash64("text").alias("th")).distinct().count()
     counts = spanned.select(F.xxhash64("text").alias("th"), F.explode(_terms(F.col("text"))).alias("term")).join(known, "term").distinct()
     counts = written(counts.groupBy("term").agg(F.count("*").alias("n")), "counts")
     certainty = F.col("support") / F.col("n")
@@ -150,8 +154,7 @@ def with_spans(documents: DataFrame) -> DataFrame:
     """Adds ``base`` and ``terms``: spans as array<struct<kind, start, end>>, terms without those that a base span covers."""
     documents = documents.drop("base", "terms")
     spanned = base_spans(documents)
-    found = written(spanned.select("text", "base"), "spanned")
-    known, n = _few(revealing_terms(found).select("term").distinct())
+    known, n = _few(revealing_terms(spanned).select("term").distinct())
     none = F.expr("cast(array() as array<struct<kind:string,start:int,end:int>>)")
     if n == 0:
         return spanned.withColumn("terms", none)
