@@ -34,8 +34,8 @@ from ._words import ALNUM, LOWER, columns, slices, words
 
 BUCKETS = 10_000
 GRAMS = 3
-#: Bytes of text whose rows share a block.
-BLOCK_BYTES = 1 << 20
+#: Bytes of text whose rows share a block; its cells take about one and a half times as much.
+BLOCK_BYTES = 1 << 18
 #: Words that are hashed at once.
 STEP_WORDS = 1 << 18
 SEED = 42
@@ -108,7 +108,7 @@ def _row_counts(data: np.ndarray, at: np.ndarray, grams: int, buckets: int) -> t
 
 def count_matrix(documents: DataFrame, key: str = "doc_id", grams: int = GRAMS, buckets: int = BUCKETS) -> DataFrame:
     """CSR blocks: ``keys`` and ``n_words`` of the rows, ``indptr`` (where each row begins in the cells, and their end),
-    ``indices`` (buckets, ascending in a row, as 4-byte little-endian differences to the one before) and ``data`` (counts, likewise 4 bytes).
+    ``indices`` (buckets, ascending in a row) and ``data`` (counts), both as little-endian whole numbers of as few bytes as do.
     """
     kind = documents.schema[key].dataType.simpleString()
 
@@ -117,31 +117,29 @@ def count_matrix(documents: DataFrame, key: str = "doc_id", grams: int = GRAMS,
             for part, data, at in slices(batch, "text", BLOCK_BYTES):
                 per, cells, counts = _row_counts(data, at, grams, buckets)
                 indptr = np.searchsorted(cells, np.arange(len(per) + 1) * buckets)
-                steps = np.diff(cells % buckets, prepend=0)
-                begin = indptr[:-1][indptr[:-1] < indptr[1:]]
-                steps[begin] = cells[begin] % buckets
                 (keys,) = columns(part, "key")
                 one = lambda x, t: pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x if isinstance(x, pa.Array) else pa.array(x, t))
-                blob = lambda x: pa.array([x.astype("<u4").tobytes()], pa.binary())
-                yield pa.RecordBatch.from_arrays([one(keys, None), one(per, pa.int64()), one(indptr, pa.int64()), blob(steps), blob(counts)], ["keys", "n_words", "indptr", "indices", "data"])
+                yield pa.RecordBatch.from_arrays([one(keys, None), one(per, pa.int64()), one(indptr, pa.int64()), _packed(cells % buckets), _packed(counts)], ["keys", "n_words", "indptr", "indices", "data"])
 
     return documents.select(F.col(key).alias("key"), "text").mapInArrow(count, f"keys array<{kind}>, n_words array<bigint>, indptr array<bigint>, indices binary, data binary")
 
 
-def _cells(indptr: np.ndarray, indices: bytes, data: bytes) -> tuple[np.ndarray, np.ndarray]:
-    """Buckets and counts of a block."""
-    steps, counts = np.frombuffer(indices, "<u4").astype(np.int64), np.frombuffer(data, "<u4").astype(np.int64)
-    sums = np.cumsum(steps)
-    per = np.diff(indptr)
-    before = np.append(0, sums)[indptr[:-1]]
-    return sums - np.repeat(before, per), counts
+def _packed(x: np.ndarray) -> pa.Array:
+    """Whole numbers as one binary value, in the smallest type that holds them."""
+    kind = next(k for k in ("<u1", "<u2", "<u4", "<u8") if not len(x) or int(x.max()) <= np.iinfo(k).max)
+    return pa.array([x.astype(kind).tobytes()], pa.binary())
+
+
+def _unpacked(raw: pa.Scalar, n: int) -> np.ndarray:
+    return np.frombuffer(raw.as_buffer(), f"<u{len(raw.as_buffer()) // n}") if n else np.zeros(0, np.uint8)
 
 
 def _blocks(batch: pa.RecordBatch) -> Iterator[tuple[pa.ListScalar, pa.ListScalar, np.ndarray, np.ndarray, np.ndarray]]:
+    """Keys, words, where rows begin, buckets and counts of each block."""
     keys, per, indptr, indices, data = columns(batch, "keys", "n_words", "indptr", "indices", "data")
     for i in range(batch.num_rows):
         begin = np.array(indptr[i].values)
-        yield keys[i], per[i], begin, *_cells(begin, indices[i].as_py(), data[i].as_py())
+        yield keys[i], per[i], begin, _unpacked(indices[i], int(begin[-1])), _unpacked(data[i], int(begin[-1]))
 
 
 def column_sums(matrix: DataFrame, buckets: int = BUCKETS) -> DataFrame:
@@ -175,7 +173,7 @@ def weights(matrix: DataFrame, gain: np.ndarray, seed: int = SEED) -> DataFrame:
     def times(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for keys, per, indptr, bucket, n in _blocks(batch):
-                sums = lambda x: np.diff(np.append(0, np.cumsum(x))[indptr])  # noqa: B023, E731
+                sums = lambda x: np.diff(np.concatenate(([0], np.cumsum(x, dtype=np.int64)))[indptr])  # noqa: B023, E731
                 weight = sums(gain[bucket] * n)
                 noise = [_noise(seed, k) for k in keys.values.to_pylist()]
                 yield pa.RecordBatch.from_arrays([keys.values, per.values, pa.array(sums(n)), pa.array(weight), pa.array(weight + np.array(noise, np.int64))], ["key", "n_words", "n_features", "weight", "score"])
