@@ -31,7 +31,7 @@ def oracle_sql() -> dict[str, str]:
 
 
 def _load() -> None:
-    from . import activity, analyzers, evidence, history, insights, knowledge, progress, prompts, upkeep  # noqa: F401
+    from . import activity, analyzers, evidence, features, history, insights, knowledge, progress, prompts, upkeep  # noqa: F401
 
 
 _load()
