@@ -21,6 +21,7 @@ the longest is taken.
 from __future__ import annotations
 
 import json
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -34,7 +35,7 @@ from ._words import columns, hashes, slices
 #: Code points in a block of counts.
 BLOCK = 1 << 16
 #: Pieces that a worker remembers, about 250 bytes each; longer ones than ``KEEP_BYTES`` are not remembered.
-CACHE_PIECES = 200_000
+CACHE_PIECES = 400_000
 KEEP_BYTES = 64
 #: Pairs of tokens that a worker remembers.
 CACHE_PAIRS = 500_000
@@ -62,6 +63,7 @@ class PrefixCounter:
     """Counts for texts in a row, with a tokenizer of byte-level pairs (a ``tokenizers`` file)."""
 
     def __init__(self, path: str) -> None:
+        import ahocorasick
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -70,58 +72,57 @@ class PrefixCounter:
         self.added = [t["content"] for t in whole.get("added_tokens", ())]
         if any(a != b and a in b for a in self.added for b in self.added):
             raise ValueError("an added token lies inside another")
-        self.vocabulary = set(whole["model"]["vocab"]) - set(self.added)
-        self.tails = {t[i:] for t in self.vocabulary for i in range(len(t))}
+        self.tokens = [t for t in whole["model"]["vocab"] if t not in self.added]
+        #: Finds every token that ends at each place of a piece; its value is the token's number here and its size.
+        self.automaton = ahocorasick.Automaton()
+        for i, token in enumerate(self.tokens):
+            self.automaton.add_word(token, (i, len(token)))
+        self.automaton.make_automaton()
         # Byte-level vocabularies write each byte as a printable character: itself, or the next one from U+0100.
         plain = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
         rest = {b: 0x100 + i for i, b in enumerate(b for b in range(256) if b not in plain)}
         self.printed = {b: rest.get(b, b) for b in range(256)}
         self.pieces: dict[int, bytes] = {}
-        self.pairs: dict[tuple[str, str], bool] = {}
+        #: Whether tokens fit, by their numbers; -1 stands for the beginning.
+        self.fits: dict[tuple[int, int], bool] = {}
         self.one = np.array([_kind(b) if b < 0x80 else _SIGN for b in range(256)], dtype=np.uint8)
         self.two = np.array([_kind(c) for c in range(0x800)], dtype=np.uint8)
 
     # --- one piece ---
 
-    def _encodes_to(self, *tokens: str) -> bool:
-        return tuple(t.value for t in self.tokenizer.model.tokenize("".join(tokens))) == tokens
+    def _fit(self, a: int, b: int) -> bool:
+        """Whether token b can follow token a, or begin."""
+        if len(self.fits) > CACHE_PAIRS:
+            self.fits.clear()
+        tokens = [self.tokens[i] for i in (a, b) if i >= 0]
+        fit = self.fits[a, b] = [t.value for t in self.tokenizer.model.tokenize("".join(tokens))] == tokens
+        return fit
 
-    def _fits(self, a: str, b: str) -> bool:
-        known = self.pairs.get((a, b))
-        if known is None:
-            if len(self.pairs) > CACHE_PAIRS:
-                self.pairs.clear()
-            known = self.pairs[a, b] = self._encodes_to(a, b)
-        return known
-
-    def chain(self, piece: str) -> tuple[list[int], list[str]]:
+    def chain(self, piece: str) -> tuple[list[int], list[int]]:
         """For each prefix of a piece (printed bytes, from none on), its count and its last token."""
-        count, last = [0], [""]
-        for i in range(1, len(piece) + 1):
-            sizes, size = [], 1
-            while size <= i and (tail := piece[i - size : i]) in self.tails:
-                if tail in self.vocabulary:
-                    sizes.append(size)
-                size += 1
-            for size in reversed(sizes):
-                token, before = piece[i - size : i], i - size
-                if self._fits(last[before], token) if before else self._encodes_to(token):
-                    count.append(count[before] + 1)
-                    last.append(token)
-                    break
-            else:
-                raise ValueError("the vocabulary has no token for a byte")
+        count, last = [0] * (len(piece) + 1), [-1] * (len(piece) + 1)
+        known, done = self.fits.get, 0
+        for at, (token, size) in self.automaton.iter(piece):
+            end = at + 1
+            if end == done:
+                continue
+            before = end - size
+            fit = known((last[before], token))
+            if fit or fit is None and self._fit(last[before], token):
+                last[end], count[end], done = token, count[before] + 1, end
+        if 0 in count[1:]:
+            raise ValueError("the vocabulary has no token for a byte")
         return count, last
 
-    def of_piece(self, piece: bytes) -> np.ndarray:
-        """Counts of the prefixes of a piece, one for each code point."""
-        printed = piece.decode("latin-1").translate(self.printed)
-        count = self.chain(printed)[0][1:]
-        if piece[:1] == b"'" and piece.decode("latin-1") in CONTRACTIONS:
-            count[:-1] = range(1, len(piece))  # its first letters are pieces of their own
-        raw = np.frombuffer(piece, np.uint8)
-        ends = np.append((raw[1:] & 0xC0) != 0x80, True)
-        return np.array(count, np.int32)[ends]
+    def of_piece(self, piece: bytes) -> bytes:
+        """Counts of the prefixes of a piece, one for each code point, 4 bytes each."""
+        plain = piece.decode("latin-1")
+        count = self.chain(plain.translate(self.printed))[0]
+        if plain in CONTRACTIONS:
+            count[1:-1] = range(1, len(piece))  # its first letters are pieces of their own
+        if piece.isascii():
+            return array("i", count[1:]).tobytes()
+        return array("i", [n for n, following in zip(count[1:], [*piece[1:], 0]) if following & 0xC0 != 0x80]).tobytes()
 
     # --- texts ---
 
@@ -244,7 +245,7 @@ class PrefixCounter:
         for i, known in enumerate(found):
             if known is None:
                 piece = raw[starts[example[i]] : ends[example[i]]]
-                found[i] = self.of_piece(piece).tobytes()
+                found[i] = self.of_piece(piece)
                 if len(piece) <= KEEP_BYTES:
                     self.pieces[names[i]] = found[i]
         sizes = np.fromiter(map(len, found), np.int64, len(found)) // 4
