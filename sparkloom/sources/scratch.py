@@ -39,6 +39,11 @@ class Rounds:
         back._sparkloom_rounds = self  # as long as the table is in use, its id stays its own
         return back
 
+    def place(self, name: str) -> str:
+        """A path in the folder for a table that is written otherwise; it goes at the end."""
+        path = self.paths[-len(self.paths) - 1] = f"{self.base}/{name}"
+        return path
+
     def forget(self, *tables: DataFrame | None) -> None:
         for df in tables:
             path = self.paths.pop(id(df), None)
