@@ -118,3 +118,133 @@ def test_nothing_to_index(spark, tmp_path):
     model = V.fit(none, "id", "v")
     index = V.build(none, "id", "v", model, str(tmp_path / "index"))
     assert V.search(index, model, none, none, "id", "v", 5).collect() == [] == V.exact_search(index, model, none, none, "id", "v", 5).collect()
+
+
+# --- communities
+
+
+def plain_modularity(edges, label):
+    from collections import Counter
+
+    total, inside, all_ = Counter(), 0.0, 0.0
+    for a, b, w in edges:
+        all_ += 2 * w
+        total[label[a]] += w
+        total[label[b]] += w
+        inside += 2 * w * (label[a] == label[b])
+    return inside / all_ - sum((t / all_) ** 2 for t in total.values())
+
+
+def test_louvain_finds_planted_groups(spark):
+    from sparkloom.operators import communities as L
+    from sparkloom.operators import graphs as G
+
+    rnd = random.Random(2)
+    edges = [(a, b, 1.0) for a in range(60) for b in range(a) if rnd.random() < (0.6 if a // 12 == b // 12 else 0.03)]
+    edges += [(0, 0, 2.0), (5, 4, 0.25)]
+    df = spark.createDataFrame(edges + [(1, None, 1.0), (1, 2, -1.0), (1, 2, None)], "src bigint, dst bigint, weight double")
+    found = {r.node: r.community for r in L.louvain(df).collect()}
+    assert len(found) == 60 and all(found[a] == 12 * (a // 12) for a in range(60))
+    again = {r.node: r.community for r in L.louvain(df.repartition(7)).collect()}
+    assert again == found
+    labels = L.louvain(df).withColumnRenamed("community", "label")
+    assert abs(L.modularity(df, labels) - plain_modularity(edges, found)) < 1e-9
+    assert L.modularity(df, labels) >= L.modularity(df, G.communities(df)) - 1e-12
+    assert L.louvain(df.limit(0)).collect() == [] and L.modularity(df.limit(0), labels) == 0.0
+
+
+def test_moves_beat_label_propagation_on_the_trade(spark, sf):
+    from sparkloom.operators import communities as L
+    from sparkloom.operators import graphs as G
+    from sparkloom.plans import catalog
+    from sparkloom.plans.knowledge import _chain
+
+    rows = catalog.queries()["louvain_communities"](spark, sf).collect()
+    edges = _chain(spark, sf)
+    assert len({r.modularity for r in rows}) == 1 and rows[0].modularity > max(0.0, L.modularity(edges, G.communities(edges)))
+
+
+# --- reach
+
+
+def plain_reach(edges):
+    out, nodes = {}, {x for e in edges for x in e}
+    for a, b in edges:
+        out.setdefault(a, set()).add(b)
+    found = {}
+    for n in nodes:
+        seen, todo = set(), [n]
+        while todo:
+            for m in out.get(todo.pop(), ()):
+                if m not in seen:
+                    seen.add(m)
+                    todo.append(m)
+        found[n] = len(seen)
+    return found
+
+
+def test_reach_is_exact_below_the_bound_and_near_above(spark):
+    from sparkloom.operators import reach as R
+
+    rnd = random.Random(5)
+    edges = [(i, i + 1) for i in range(300)]  # a chain: far more hops than rounds
+    edges += [(1000 + i, 1000 + (i + 1) % 7) for i in range(7)] + [(1003, 1000), (2000, 2000)]  # cycles
+    edges += [(3000, 3001 + i) for i in range(80)] + [(2999, 3000), (2998, 2999)]  # many at once
+    edges += [(rnd.randrange(5000, 5200), rnd.randrange(5000, 5200)) for _ in range(230)]
+    want = plain_reach(edges)
+    df = spark.createDataFrame(edges + [(None, 1), (1, None), (0, 1)], "src bigint, dst bigint")
+    got = {r.node: r for r in R.reach(df, bound=20).collect()}
+    assert set(got) == set(want)
+    for n, r in got.items():
+        assert r.exact == (want[n] <= 20)
+        assert r.reach == want[n] if r.exact else abs(r.reach - want[n]) <= 1 + 0.08 * want[n], n
+    assert {n for n, r in R.reach(df, bound=20, estimate=False).where("reach is null").select("node", "reach").collect()} == {n for n, k in want.items() if k > 20}
+    assert R.reach(df.limit(0)).collect() == []
+
+
+# --- incremental analyzers
+
+
+def test_states_equal_a_rebuild(spark, tmp_path):
+    from sparkloom.operators import incremental as I
+    from sparkloom.sources.states import StateTable
+
+    rnd = random.Random(8)
+    rows = [(i, rnd.choice(["p", "q", None]), 1_700_000_000 + 7000 * i, rnd.choice(["ai", "git", "other"]), rnd.choice([None, rnd.randrange(10_000)]), rnd.choice([None, rnd.randrange(500)]), rnd.choice("xyz"), rnd.choice([None, rnd.random()]), rnd.choice([None, rnd.random()]), rnd.choice([None, "d", "e"]), rnd.choice([None, [], ["a"], ["a", "b", "a"]])) for i in range(400)]
+    df = spark.createDataFrame(rows, "id bigint, project string, at bigint, source string, s4 bigint, v2 bigint, phase string, hds double, specificity double, domain string, dirs array<string>").withColumn("ts", F.timestamp_seconds("at")).cache()
+    for analyzer in (I.direction_by_directory, I.phase_baseline, I.running_profile):
+        whole = StateTable(spark, str(tmp_path / f"{analyzer.name}-whole"), analyzer.keys, buckets=4)
+        analyzer.rebuild(whole, df, 0)
+        parts = StateTable(spark, str(tmp_path / f"{analyzer.name}-parts"), analyzer.keys, buckets=4)
+        assert analyzer.answer(parts) is None
+        for batch, (a, b) in enumerate(((0, 90), (90, 91), (91, 300), (300, 400))):
+            assert analyzer.update(parts, df.where(f"id >= {a} and id < {b}"), batch)
+        assert not analyzer.update(parts, df.where("id >= 300"), 3)  # the same batch again
+        assert sorted(map(tuple, analyzer.answer(parts).collect()), key=repr) == sorted(map(tuple, analyzer.answer(whole).collect()), key=repr)
+        assert parts.events == whole.events
+    profile = {r.project: r for r in I.running_profile.answer(whole).collect()}
+    for project in ("p", "q", None):
+        n, hds = 0, 0.0
+        for r in rows:
+            if r[1] == project and r[3] == "ai":
+                n += 1
+                hds += 0.0 if r[7] is None else (r[7] - hds) / n
+        assert profile[project].n == n and abs(profile[project].hds - hds) < 1e-4
+
+
+def test_rebuild_when_due_and_versions(spark, tmp_path):
+    from sparkloom.operators import incremental as I
+    from sparkloom.sources.states import StateTable
+
+    a = I.phase_baseline
+    df = spark.createDataFrame([(i, "x" if i % 2 else "y", i) for i in range(200)], "id bigint, phase string, v2 bigint")
+    table = StateTable(spark, str(tmp_path / "t"), a.keys, buckets=4)
+    a.update(table, df.where("id < 150"), 0)
+    held = table.read()  # a reader of the first version
+    changed = df.withColumn("v2", F.col("v2") + 1)  # events changed behind the state: the next update finds 150 and takes all anew
+    a.update(table, df.where("id >= 150"), 1, lambda: changed)
+    got = {r.phase: (r.n, r.s) for r in table.read().collect()}
+    assert got == {"x": (100, sum(i + 1 for i in range(1, 200, 2))), "y": (100, sum(i + 1 for i in range(0, 200, 2)))}
+    assert sum(r.n for r in held.collect()) == 150
+    a.update(table, df.where("id = 3"), 2, lambda: changed)
+    assert {r.phase: r.n for r in table.read().collect()} == {"x": 101, "y": 100} and table.batch == 2
