@@ -5,7 +5,8 @@ the method, which judges all others:
 
 1. Digit runs and overlong segments become wildcards, and equal (host, path) shapes are counted with their labels.
 2. From the root down, level by level and as deep as paths go, a node's rare children become one wildcard where there are
-   many.  What results without the host is a pattern; its rate is the smoothed share of blocked labels over all hosts.
+   many.  Levels at which no node could change (few children, all of other depths beneath) are passed in one step, however
+   long the paths are.  What results without the host is a pattern; its rate is the smoothed share of blocked labels over all hosts.
 3. A branch's rate is the share of its own labels, smoothed towards the rates of its patterns.  Branches of a node that have
    the same depth beneath them, and whose rate does not differ significantly from that of the largest one, become one.
 4. A template's purity is the share of blocked labels on its host, smoothed in the same way towards its patterns and, through
@@ -82,6 +83,32 @@ def _rates(tree: DataFrame, key: str, prior: float) -> DataFrame:
     return tree.join(rated, key)
 
 
+def _next_level(tree: DataFrame, level: int) -> int | None:
+    """The next level at which some node could be generalised or merged: it has many children, or two with the same depth beneath."""
+    rest = F.slice("segments", level, 1 << 30)
+    rows = tree.where(F.size("segments") >= level).select("host", "template", rest.alias("rest")).withColumn("i", F.explode(F.sequence(F.lit(0), F.size("rest") - 1)))
+    node = ["host", "template", "i", "stem"]
+    last = F.size("rest") - F.col("i") - 1
+    children = rows.withColumn("stem", F.xxhash64(F.slice("rest", F.lit(1), F.col("i")))).groupBy(*node, F.get("rest", F.col("i")).alias("segment")).agg(F.min(last).alias("low"), F.max(last).alias("high"))
+    nodes = children.groupBy(*node, "low", "high").agg(F.count("*").alias("alike")).groupBy(*node).agg(F.sum("alike").alias("fan"), F.max("alike").alias("alike"))
+    first = nodes.where((F.col("fan") > FAN) | (F.col("alike") > 1)).agg(F.min("i")).first()[0]
+    return None if first is None else level + first
+
+
+def _advanced(tree: DataFrame, level: int, to: int) -> DataFrame:
+    """``tree`` with all templates and patterns as they are at level ``to``, where nothing between changes any.  A shape that is
+    alone in its node before that is done, as it is where levels are taken one by one."""
+    stem = F.slice("segments", level, to - 1 - level)
+    open_ = F.size("segments") >= level
+    through = tree.where(F.size("segments") >= to - 1).groupBy("host", "template", stem.alias("stem")).agg(F.count("*").alias("held")).where("held = 1").drop("held")
+    met = tree.withColumn("stem", stem).join(through.withColumn("single", F.lit(True)), ["host", "template", "stem"], "left")
+    single = F.coalesce("single", F.lit(False)) & (F.size("segments") >= to - 1)
+    steps = F.when(single, F.slice("segments", level, 1 << 30)).otherwise(F.slice("segments", level, to - level))
+    added = F.when(open_, F.concat(F.lit("/"), F.array_join(steps, "/"))).otherwise("")
+    ended = F.when(single, F.slice("segments", 1, 1)).otherwise(F.col("segments"))
+    return met.withColumns({"template": F.concat("template", added), "pattern": F.concat("pattern", added), "segments": ended}).select(tree.columns)
+
+
 def template_tree(ruled: DataFrame) -> tuple[DataFrame, float]:
     """host, shape, template, pattern, n, b and a of every distinct shape (counts are those of the shape), and the prior."""
     counted = ruled.groupBy("host", shape(F.col("path")).alias("shape")).agg(
@@ -93,12 +120,15 @@ def template_tree(ruled: DataFrame) -> tuple[DataFrame, float]:
         prior = min(0.5, labels.b / (labels.a + labels.b)) if (labels.a or 0) + (labels.b or 0) else 0.0
         node, ended, level = ["host", "template"], None, 2  # a path begins with a slash, so its first segment is empty
         while True:
+            to = _next_level(tree, level)
+            if to is None:  # what is left of the paths stays as it is
+                tree = _advanced(tree, level, 1 << 20)
+                break
+            if to > level:
+                tree, level = written(_advanced(tree, level, to), "shapes"), to
             here = tree.where(F.size("segments") >= level).withColumn("segment", F.element_at("segments", level))
             children = written(here.groupBy(*node, "segment").agg(F.sum("n").alias("m"), F.count("*").alias("shapes")), "children")
-            fan = children.groupBy(*node).agg(F.count("*").alias("fan"), F.sum("m").alias("all"), F.sum("shapes").alias("held"))
-            if children.isEmpty():
-                break
-            fan = written(fan, "fan")
+            fan = written(children.groupBy(*node).agg(F.count("*").alias("fan"), F.sum("m").alias("all"), F.sum("shapes").alias("held")), "fan")
             rare = (F.col("fan") > FAN) & (F.col("m") < RARE * F.col("all"))
             steps = children.drop("shapes").join(fan, node).select(*node, "segment", F.when(rare, "*").otherwise(F.col("segment")).alias("step"), (F.col("held") == 1).alias("alone"))
             stepped = here.join(written(steps, "steps"), [*node, "segment"])

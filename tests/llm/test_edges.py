@@ -80,8 +80,14 @@ def test_op4(docs, none):
 
 def test_op3_long_urls(spark):
     rows = [(1, "http://a.net/" + "x/" * 300 + "y" * 100_000), (2, "http://a.net/" + "x/" * 300 + "z"), (3, "http://" + "h" * 50_000)]
-    got = {r.page_id: r.verdict for r in urlfilter.op3(spark.createDataFrame(rows[:1] + rows[2:], "page_id int, url string")).collect()}
-    assert got == {1: "block", 3: "allow"}
+    rows += [(10 + i, "http://trap.org/" + "a/b/" * i) for i in range(60)]  # each path goes on from the one before
+    spark.sparkContext.setJobGroup("long urls", "")
+    try:
+        got = {r.page_id: r.verdict for r in urlfilter.op3(spark.createDataFrame(rows, "page_id int, url string")).collect()}
+    finally:
+        spark.sparkContext._jsc.clearJobGroup()
+    assert got == {1: "block", 2: "block", 3: "allow"} | {10 + i: "allow" for i in range(60)}
+    assert 0 < len(spark.sparkContext.statusTracker().getJobIdsForGroup("long urls")) < 60
 
 
 def test_op5_entities(spark):
