@@ -31,7 +31,7 @@ def oracle_sql() -> dict[str, str]:
 
 
 def _load() -> None:
-    from . import activity, analyzers, evidence, features, history, incremental, insights, knowledge, progress, prompts, structures, upkeep  # noqa: F401
+    from . import activity, analyzers, derivation, evidence, features, history, incremental, insights, knowledge, progress, prompts, structures, upkeep  # noqa: F401
 
 
 _load()
