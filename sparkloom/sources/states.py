@@ -53,7 +53,7 @@ class StateTable:
     def read(self) -> DataFrame | None:
         """All rows; None before the first merge or if it left none."""
         log = self._log()
-        return self._rows(log[0], list(range(self.buckets))) if log else None
+        return self._rows(log[0], list(range(len(log[0].buckets)))) if log else None
 
     def merge(self, rows: DataFrame, combine: Callable[[DataFrame], DataFrame], batch: int, events: int = 0) -> bool:
         """Brings the rows of a batch in: ``combine`` makes one row a key from old and new rows.  False if the batch is there already."""

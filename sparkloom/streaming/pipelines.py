@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..sources.events import parse_lines, promote
+from ..sources.states import StateTable
 
 
 def event_stream(spark: SparkSession, folder: str, files_per_batch: int = 100) -> DataFrame:
@@ -18,36 +19,28 @@ def event_stream(spark: SparkSession, folder: str, files_per_batch: int = 100) -
     return promote(parse_lines(rows).where("ok"))
 
 
-def merge_into(path: str, keys: list[str], order: list[str]):  # noqa: ANN201
-    """A ``foreachBatch`` function: keeps the newest row of each key in the Parquet table at ``path``.
+def merge_into(path: str, keys: list[str], order: list[str], buckets: int = 64):  # noqa: ANN201
+    """A ``foreachBatch`` function: keeps the newest row of each key in the table at ``path``.
 
-    The table is rewritten in turn at path/a and path/b; path/current names the newest, so a lost batch changes nothing.
+    Only the buckets that a batch touches are written; a lost batch changes nothing, one that comes again is left out, and the
+    version before stays readable (``sources.states``).
     """
     from ..operators.rollups import latest
 
     def merge(batch: DataFrame, epoch: int) -> None:
-        spark = batch.sparkSession
-        pointer = f"{path}/current"
-        try:
-            state = spark.read.schema("side string, epoch bigint").json(pointer).orderBy(F.desc("epoch")).first()
-        except Exception as error:  # the first batch finds no table yet
-            if "PATH_NOT_FOUND" not in str(error):
-                raise
-            state = None
-        if state is not None and state["epoch"] >= epoch:
-            return
-        side = "b" if state is not None and state["side"] == "a" else "a"
-        rows = batch if state is None else spark.read.parquet(f"{path}/{state['side']}").unionByName(batch, allowMissingColumns=True)
-        latest(rows, keys, order).write.mode("overwrite").parquet(f"{path}/{side}")
-        spark.createDataFrame([(side, epoch)], "side string, epoch bigint").coalesce(1).write.mode("append").json(pointer)
+        held = batch.persist()  # it is read for its buckets and for its rows
+        StateTable(batch.sparkSession, path, keys, buckets).merge(held, lambda rows: latest(rows, keys, order), epoch)
+        held.unpersist()
 
     return merge
 
 
 def current(spark: SparkSession, path: str) -> DataFrame:
     """The table that ``merge_into`` keeps."""
-    side = spark.read.schema("side string, epoch bigint").json(f"{path}/current").orderBy(F.desc("epoch")).first()["side"]
-    return spark.read.parquet(f"{path}/{side}")
+    rows = StateTable(spark, path, []).read()
+    if rows is None:
+        raise ValueError(f"nothing was merged into {path} yet")
+    return rows
 
 
 def windowed_counts(events: DataFrame, ts: str, by: list[str], length: str, late: str) -> DataFrame:
