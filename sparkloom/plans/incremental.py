@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import incremental as I
+from ..sources import tailing
 from ..sources.scratch import Rounds
 from ..sources.states import StateTable
 from .adapter import exact, r
@@ -61,3 +62,20 @@ def incremental_baselines(spark, d):
 def incremental_profiles(spark, d):
     """The running profile: averages that divide by all events so far, in order."""
     return _after_batches(spark, d, I.running_profile)
+
+
+@register("tailed_events", "SELECT CAST(ts AS DATE) AS event_date, event_type AS kind, count(*) n, CAST(sum(event_id) AS BIGINT) ids FROM events GROUP BY ALL")
+def tailed_events(spark, d):
+    """Event lines read by a stream that stops, resumes when there are more files, and runs once more for nothing."""
+    from .adapter import table
+
+    lines = table(spark, d, "events").select(F.to_json(F.struct("event_id", "event_type", F.to_date("ts").alias("event_date"))).alias("value"), (F.hour("ts") < 12).alias("early"))
+    with Rounds(spark, "tail") as rounds:
+        log, out, checkpoint = (rounds.place(x) for x in ("log", "out", "checkpoint"))
+        stream = lambda: tailing.event_tail(spark, log, ".txt").writeStream.format("parquet").option("path", out).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+        for part in (F.col("early"), ~F.col("early"), F.lit(False)):
+            lines.where(part).select("value").write.mode("append").text(log)
+            stream().awaitTermination()
+        rows = spark.read.schema("file string, value string").parquet(out).select(F.from_json("value", "event_id bigint, event_type string, event_date date").alias("e")).select("e.*")
+        found = rounds.table(rows.groupBy("event_date", F.col("event_type").alias("kind")).agg(F.count("*").alias("n"), F.sum("event_id").alias("ids")))
+        return rounds.keep(found)
