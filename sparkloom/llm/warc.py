@@ -3,7 +3,8 @@
 Each record is a gzip member of its own.  The reader goes from member to member (or from version line to version line in
 plain archives, and in members of several records) and checks lengths and digests.  After a failed check it searches for the
 next place at which a whole valid record begins, goes on from there, and logs the bytes between as a quarantined gap; gaps
-inside a member have the member's place and, in ``problem``, their own bytes.
+inside a member have the member's place and, in ``problem``, their own bytes.  A member that is cut or damaged is unpacked up to
+the byte at which that shows; its records that are whole and have their digests are kept.
 
 Archives are rows of (archive, content), as ``binaryFile`` reads them, so that they can lie in any store that Spark reads.
 
@@ -99,18 +100,22 @@ def write_archives(typed: DataFrame, archive_bytes: int = ARCHIVE_BYTES) -> Data
     return typed.mapInArrow(write, "archive string, content binary")
 
 
-def _unpacked(content: memoryview, at: int) -> tuple[bytes, int] | None:
-    """The gzip member at a place and its end, or None."""
+def _unpacked(content: memoryview, at: int) -> tuple[bytes, int | None]:
+    """What the gzip member at a place gives, and its end; None if it breaks off or its check fails: then it is what comes before that."""
     unpack, out, pos = zlib.decompressobj(31), [], at
-    try:
-        while not unpack.eof:
-            if pos >= len(content):
-                return None
+    while not unpack.eof and pos < len(content):
+        before = unpack.copy()
+        try:
             out.append(unpack.decompress(content[pos : pos + _CHUNK]))
-            pos += _CHUNK
-    except zlib.error:
-        return None
-    return b"".join(out), min(pos, len(content)) - len(unpack.unused_data)
+        except zlib.error:
+            for i in range(pos, min(pos + _CHUNK, len(content))):  # up to the very byte
+                try:
+                    out.append(before.decompress(content[i : i + 1]))
+                except zlib.error:
+                    break
+            return b"".join(out), None
+        pos += _CHUNK
+    return b"".join(out), min(pos, len(content)) - len(unpack.unused_data) if unpack.eof else None
 
 
 def _parsed(data: bytes | memoryview, at: int) -> tuple[dict, int] | str:
@@ -157,58 +162,72 @@ def _parsed(data: bytes | memoryview, at: int) -> tuple[dict, int] | str:
     }, stop + 4
 
 
-def _of_member(data: bytes, start: int, end: int) -> list[dict]:
-    """Records and gaps of an unpacked member."""
+def _of_member(data: bytes, whole: bool) -> list[dict]:
+    """Records and gaps of what a member gave; the last gap of a broken one says so."""
     out, at = [], 0
-    while at < len(data):
-        found = _parsed(data, at)
+    while at < len(data) or not whole:
+        found = _parsed(data, at) if at < len(data) else "broken member"
         if not isinstance(found, str):
-            out.append(found[0] | {"kind": "record", "start": start, "end": end, "problem": None})
+            out.append(found[0] | {"kind": "record", "problem": None})
             at = found[1]
             continue
         to = data.find(_VERSION[:7], at + 1)
         while to >= 0 and isinstance(_parsed(data, to), str):
             to = data.find(_VERSION[:7], to + 1)
-        to = len(data) if to < 0 else to
-        out.append({"kind": "gap", "start": start, "end": end, "problem": f"{found}, bytes {at} to {to} of the member"})
+        if to < 0:
+            what = found if whole else "broken member"
+            out.append({"kind": "gap", "problem": f"{what}, bytes {at} to {len(data) if whole else 'the end'} of the member"})
+            break
+        out.append({"kind": "gap", "problem": f"{found}, bytes {at} to {to} of the member"})
         at = to
     return out
 
 
-def _records_at(content: memoryview, at: int) -> tuple[list[dict], int] | str:
-    """Rows of the member or record at a place, at least one of them a record, and its end; or what is wrong."""
+def _records_at(content: memoryview, at: int) -> tuple[list[dict], int | None] | str:
+    """Rows of the member or record at a place, at least one of them a record, and its end (None: broken); or what is wrong."""
     if bytes(content[at : at + 2]) == b"\x1f\x8b":
-        found = _unpacked(content, at)
-        if found is None:
-            return "broken member"
-        rows = _of_member(found[0], at, found[1])
+        data, end = _unpacked(content, at)
+        rows = _of_member(data, end is not None)
         if any(r["kind"] == "record" for r in rows):
-            return rows, found[1]
-        return rows[0]["problem"].partition(",")[0] if rows else "empty member"
+            return rows, end
+        return "broken member" if end is None else rows[0]["problem"].partition(",")[0] if rows else "empty member"
     parsed = _parsed(content, at)
-    return parsed if isinstance(parsed, str) else ([parsed[0] | {"kind": "record", "start": at, "end": parsed[1], "problem": None}], parsed[1])
+    return parsed if isinstance(parsed, str) else ([parsed[0] | {"kind": "record", "problem": None}], parsed[1])
+
+
+_START = re.compile(rb"\x1f\x8b\x08|WARC/1\.")
+
+
+def _next_records(content: memoryview, at: int) -> tuple[int, tuple[list[dict], int | None] | str]:
+    """The next place after this one at which there are records, and these; the end if there is none."""
+    while True:
+        m = _START.search(content, at + 1)
+        if not m:
+            return len(content), ""
+        at = m.start()
+        found = _records_at(content, at)
+        if not isinstance(found, str):
+            return at, found
 
 
 def salvage(content: bytes) -> Iterator[dict]:
-    """Records and gaps of one archive, in order, with their start and end."""
+    """Records and gaps of one archive, in order, with their start and end.  Of a broken member come the records before the damage;
+    they and its gap end where the next records begin."""
     view, at = memoryview(content), 0
-    start = re.compile(rb"\x1f\x8b\x08|WARC/1\.")
     found = _records_at(view, at) if len(view) else ""
     while at < len(view):
-        if not isinstance(found, str):
-            yield from found[0]
-            at = found[1]
-            found = _records_at(view, at) if at < len(view) else ""
-            continue
-        to, problem = at, found
-        while True:
-            m = start.search(content, to + 1)
-            to = m.start() if m else len(content)
-            found = _records_at(view, to) if m else ""
-            if not m or not isinstance(found, str):
-                break
-        yield {"kind": "gap", "start": at, "end": to, "problem": problem}
-        at = to
+        if isinstance(found, str):
+            to, after = _next_records(view, at)
+            yield {"kind": "gap", "start": at, "end": to, "problem": found}
+        else:
+            rows, to = found
+            if to is None:
+                to, after = _next_records(view, at)
+            else:
+                after = _records_at(view, to) if to < len(view) else ""
+            for row in rows:
+                yield row | {"start": at, "end": to}
+        at, found = to, after
 
 
 FIELDS = "archive string, kind string, start bigint, end bigint, problem string, record_type string, page_id bigint, url string, payload_digest string, payload_bytes bigint, refers_to bigint"

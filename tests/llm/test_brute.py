@@ -3,6 +3,7 @@
 import base64
 import collections
 import hashlib
+import random
 import re
 import zlib
 
@@ -462,11 +463,24 @@ def test_salvage():
     bad[30] ^= 255
     blob = members[0] + members[1] + bytes(bad) + b"junk\x1f\x8b\x08" + members[3] + records[4] + b"zz" + members[5][:-9]
     rows = list(warc.salvage(blob))
-    assert [(r["kind"], r.get("page_id")) for r in rows] == [("record", 0), ("record", 1), ("gap", None), ("record", 3), ("record", 4), ("gap", None)]
-    assert rows[0]["start"] == 0 and rows[-1]["end"] == len(blob) and all(a["end"] == b["start"] for a, b in zip(rows, rows[1:]))
+    assert [(r["kind"], r.get("page_id")) for r in rows] == [("record", 0), ("record", 1), ("gap", None), ("record", 3), ("record", 4), ("gap", None), ("record", 5), ("gap", None)]
+    assert rows[-2]["payload"] == b"payload 5 " * 20  # its member has lost its end only; record and gap have the member's place
+    assert rows[0]["start"] == 0 and rows[-1]["end"] == len(blob) and all(a["end"] == b["start"] for a, b in zip(rows[:-1], rows[1:-1]))
     whole = warc.member(records[0] + records[1] + b"junk" + records[2] + b"tail")
     rows = list(warc.salvage(members[3] + whole + members[4]))
     assert [(r["kind"], r.get("page_id")) for r in rows] == [("record", 3), ("record", 0), ("record", 1), ("gap", None), ("record", 2), ("gap", None), ("record", 4)]
+    five = warc.member(b"".join(records[:5]))
+    rows = list(warc.salvage(five[:-10] + members[5]))  # cut: what was unpacked before is kept
+    assert [r.get("page_id") for r in rows] in ([0, 1, 2, 3, None, 5], [0, 1, 2, 3, 4, None, 5]) and rows[0]["end"] == len(five) - 10
+    rnd, texts = random.Random(1), []
+    for i in range(5):
+        texts.append("".join(rnd.choice("abcdefgh ") for _ in range(5000)))
+    five = bytearray(warc.member(b"".join(warc.record(i, "u", t.encode(), None, False) for i, t in enumerate(texts))))
+    five[len(five) // 2] ^= 255  # in the middle: at least the records before it
+    rows = list(warc.salvage(bytes(five) + members[5]))
+    kept = [r["page_id"] for r in rows if r["kind"] == "record"]
+    assert kept[:2] == [0, 1] and kept[-1] == 5 and any(r["kind"] == "gap" for r in rows)
+    assert all(r["payload"] == texts[r["page_id"]].encode() for r in rows if r["kind"] == "record" and r["page_id"] < 5)
     url = "http://x/" + "u" * 3_000_000
     assert [r["page_id"] for r in warc.salvage(warc.member(warc.record(7, url, b"x", None, False)))] == [7]
     assert list(warc.salvage(b"")) == [] and [r["kind"] for r in warc.salvage(b"nothing")] == ["gap"]
