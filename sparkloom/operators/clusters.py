@@ -13,6 +13,10 @@ members each; groups with null keys are groups; no rows give no rows.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -57,12 +61,27 @@ def candidates(prefix: DataFrame, least: float) -> DataFrame:
 def cosine_pairs(held: DataFrame, least: float) -> DataFrame:
     """``a``, ``b`` and ``cosine`` of the pairs of classes within a group that reach ``least`` (over 0); ids are unique."""
     tf = held.select("id", F.explode("words").alias("word")).groupBy("id", "word").agg(F.count("*").alias("tf"))
-    length = tf.groupBy("id").agg(F.sqrt(F.sum(F.col("tf") * F.col("tf"))).alias("length"))
-    met = candidates(prefixes(held, least), least)
-    x, y = (tf.select(F.col("id").alias(n), "word", F.col("tf").alias(f"tf_{n}")) for n in "ab")
-    dot = met.join(x, "a").join(y, ["b", "word"]).groupBy("a", "b").agg(F.sum(F.col("tf_a") * F.col("tf_b")).alias("dot"))
-    p, q = (length.select(F.col("id").alias(n), F.col("length").alias(f"length_{n}")) for n in "ab")
-    return dot.join(p, "a").join(q, "b").select("a", "b", (F.col("dot") / (F.col("length_a") * F.col("length_b"))).alias("cosine")).where(F.col("cosine") >= least)
+    # A bag as two arrays in the order of the words' hashes, so that a pair is one merge instead of a row a shared word.
+    bag = F.array_sort(F.collect_list(F.struct(F.xxhash64("word").alias("word"), "tf")))
+    bags = tf.groupBy("id").agg(bag.alias("bag"), F.sqrt(F.sum(F.col("tf") * F.col("tf"))).alias("length")).select("id", F.col("bag.word").alias("words"), F.col("bag.tf").alias("tfs"), "length")
+    x, y = (bags.select(*[F.col(c).alias("id" if c == "id" else f"{c}_{n}") for c in bags.columns]).withColumnRenamed("id", n) for n in "ab")
+    met = candidates(prefixes(held, least), least).join(x, "a").join(y, "b")
+    kind = held.schema["id"].dataType.simpleString()
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            get = {n: batch.column(i) for i, n in enumerate(batch.schema.names)}
+            values = {n: (get[n].flatten().to_numpy(), get[n].offsets.to_numpy() - get[n].offsets[0].as_py()) for n in ("words_a", "tfs_a", "words_b", "tfs_b")}
+            dots = np.zeros(batch.num_rows)
+            for i in range(batch.num_rows):
+                wa, ta, wb, tb = (v[at[i] : at[i + 1]] for v, at in values.values())
+                place = np.minimum(np.searchsorted(wb, wa), len(wb) - 1)
+                same = wb[place] == wa
+                dots[i] = np.dot(ta[same], tb[place[same]])
+            cosine = dots / (get["length_a"].to_numpy() * get["length_b"].to_numpy())
+            yield pa.RecordBatch.from_arrays([get["a"], get["b"], pa.array(cosine)], ["a", "b", "cosine"]).filter(pa.array(cosine >= least))
+
+    return met.select("a", "b", "words_a", "tfs_a", "length_a", "words_b", "tfs_b", "length_b").mapInArrow(compare, f"a {kind}, b {kind}, cosine double")
 
 
 def cosine_clusters(entries: DataFrame, group: list[str], id_: str, text: str, when: str, least: float, min_size: int) -> DataFrame:
