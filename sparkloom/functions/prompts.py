@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .strings import ascii_bounds
+
 #: Words by which a prompt's type shows (fixed values).
 VERBS = {
     "debugging": r"\b(?:fix|debug|investigate|diagnose|troubleshoot|resolve|track\s+down|figure\s+out\s+why|find\s+the\s+bug|what(?:'?s)?\s+wrong|broken|failing|error|crash|exception|stack\s*trace)\b",
@@ -25,7 +27,7 @@ VERB, CONTEXT, STRUCTURE = 0.25, 0.2, 0.15
 
 
 def hits(text: Column, pattern: str) -> Column:
-    return F.regexp_count(text, F.lit(pattern))
+    return F.regexp_count(text, F.lit(ascii_bounds(pattern)))
 
 
 def sentences(text: Column) -> Column:
@@ -61,7 +63,7 @@ def softmax(scores: dict[str, Column], temperature: float = 1.5) -> dict[str, Co
 
 
 def constraint(text: Column) -> Column:
-    hard, soft = text.rlike(HARD), text.rlike(SOFT)
+    hard, soft = text.rlike(ascii_bounds(HARD)), text.rlike(ascii_bounds(SOFT))
     return F.when(hard & soft, "mixed").when(hard, "hard").when(soft, "soft").otherwise("none")
 
 
@@ -78,7 +80,7 @@ def decomposed(text: Column) -> Column:
     def kind(line: Column) -> Column:
         return (
             F.when(line.rlike(r"^\s*```|^\s{4,}\S"), "code").when(line.rlike(r"^\s*\d+[.)]\s"), "step").when(line.rlike(r"^\s*[-*]\s"), "bullet").when(line.contains("?"), "question")
-            .when(line.rlike(HARD) | line.rlike(SOFT), "constraint").when(line.rlike(EXAMPLE), "example").otherwise("statement")
+            .when(line.rlike(ascii_bounds(HARD)) | line.rlike(ascii_bounds(SOFT)), "constraint").when(line.rlike(ascii_bounds(EXAMPLE)), "example").otherwise("statement")
         )
 
     return F.transform(lines, lambda s: F.struct(kind(s).alias("kind"), F.trim(s).alias("line")))

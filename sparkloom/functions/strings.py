@@ -27,6 +27,11 @@ def stem(word: Column) -> Column:
     return F.when(F.length(word) >= 4, F.regexp_replace(word, f"(?:{'|'.join(SUFFIXES)})$", "")).otherwise(word)
 
 
+def ascii_bounds(pattern: str) -> str:
+    """The pattern with word boundaries as SQL engines take them: only A-Z, a-z, 0-9 and _ are of words, so ``test`` ends before ``ä``."""
+    return pattern.replace(r"\b", "(?:(?<![A-Za-z0-9_])(?=[A-Za-z0-9_])|(?<=[A-Za-z0-9_])(?![A-Za-z0-9_]))")
+
+
 def stems(text: Column) -> Column:
     """Distinct stems of the words of three letters or more that carry a topic."""
     clean = F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), r"[^a-z0-9\s-]", " ")

@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from sparkloom.functions import numeric as N
+from sparkloom.functions import prompts as P
 from sparkloom.functions import strings as S
 
 
@@ -64,3 +65,11 @@ def test_text(spark):
     assert one(spark, S.module_of(F.lit("src/a/b/c/d.py"))) == "src/a/b"
     assert one(spark, S.week_key(F.to_date(F.lit("2024-01-08")))) == "2024-W02"
     assert one(spark, S.count_of(F.lit("aXaxa"), "xa")) == 2
+
+
+def test_words_end_before_letters_that_are_not_ascii(spark):
+    """As in SQL: a word of A-Z ends before ä."""
+    assert one(spark, P.type_scores(F.lit("der testä und äfix"))["testing"]) == 0.25
+    assert one(spark, P.type_scores(F.lit("der testä und äfix"))["debugging"]) == 0.25
+    assert one(spark, P.type_scores(F.lit("testa _fix"))["testing"]) == 0.0
+    assert one(spark, P.constraint(F.lit("mustö"))) == "hard"
