@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..sources.places import shared_folder
+from ..sources.scratch import Rounds
 
 
 def _cut(df: DataFrame) -> DataFrame:
@@ -66,16 +67,21 @@ def shortest_paths(edges: DataFrame, start: DataFrame) -> DataFrame:
 
 def pagerank(edges: DataFrame, rounds: int = 10, damping: float = 0.85) -> DataFrame:
     """PageRank with uniform jumps; the rank of nodes without out-edges is spread over all."""
-    links = edges.select("src", "dst").distinct()
-    nodes = links.select(F.col("src").alias("node")).union(links.select("dst")).distinct()
-    out = links.groupBy("src").agg(F.count("*").alias("out"))
-    n = nodes.count()
-    ranks = _cut(nodes.select("node", F.lit(1.0 / max(1, n)).alias("rank")))
-    for _ in range(rounds):
-        sent = links.join(out, "src").join(ranks, F.col("src") == F.col("node")).groupBy(F.col("dst").alias("node")).agg(F.sum(F.col("rank") / F.col("out")).alias("got"))
-        lost = ranks.join(out, F.col("node") == F.col("src"), "left_anti").agg(F.coalesce(F.sum("rank"), F.lit(0.0)).alias("lost"))
-        ranks = _cut(nodes.join(sent, "node", "left").join(F.broadcast(lost)).select("node", ((1 - damping) / n + damping * (F.coalesce("got", F.lit(0.0)) + F.col("lost") / n)).alias("rank")))
-    return ranks
+    with Rounds(edges.sparkSession, "ranks") as kept:
+        links = kept.table(edges.select("src", "dst").distinct())
+        out = links.groupBy("src").agg(F.count("*").alias("out"))
+        # All that a round reads: every node with its edges out, and the links, written once in short rows.
+        nodes = kept.table(links.select(F.col("src").alias("node")).union(links.select("dst")).distinct().join(out.withColumnRenamed("src", "node"), "node", "left"))
+        n = nodes.count()
+        ranks = kept.table(nodes.select("node", "out", F.lit(1.0 / max(1, n)).alias("rank")))
+        for _ in range(rounds):
+            sent = links.join(ranks.select(F.col("node").alias("src"), (F.col("rank") / F.col("out")).alias("part")), "src").groupBy(F.col("dst").alias("node")).agg(F.sum("part").alias("got"))
+            lost = ranks.where("out is null").agg(F.coalesce(F.sum("rank"), F.lit(0.0)).alias("lost"))
+            after = kept.table(nodes.join(sent, "node", "left").join(F.broadcast(lost)).select("node", "out", ((1 - damping) / n + damping * (F.coalesce("got", F.lit(0.0)) + F.col("lost") / n)).alias("rank")))
+            kept.forget(ranks)
+            ranks = after
+        kept.keep(ranks)
+    return ranks.select("node", "rank")
 
 
 def connected(edges: DataFrame) -> DataFrame:
