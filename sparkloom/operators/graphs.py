@@ -87,6 +87,7 @@ def pagerank(edges: DataFrame, rounds: int = 10, damping: float = 0.85) -> DataF
 def connected(edges: DataFrame) -> DataFrame:
     """node and component (its least node), by least labels with pointer jumping."""
     both = edges.select(F.col("src").alias("a"), F.col("dst").alias("b")).union(edges.select("dst", "src")).where("a != b").distinct()
+    both = _cut(both)
     labels = _cut(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("component")))
     while True:
         near = both.join(labels, F.col("b") == F.col("node")).groupBy(F.col("a").alias("node")).agg(F.min("component").alias("near"))
