@@ -50,7 +50,7 @@ def reachable(edges: DataFrame, start: DataFrame, max_hops: int | None = None) -
 
 def shortest_paths(edges: DataFrame, start: DataFrame) -> DataFrame:
     """Least total weight from each start by rounds of relaxation; weights are not negative."""
-    step = edges.groupBy("src", "dst").agg(F.min("weight").alias("w"))
+    step = _cut(edges.groupBy("src", "dst").agg(F.min("weight").alias("w")))
     best = _cut(start.select(F.col("node").alias("start"), "node", F.lit(0.0).alias("distance")))
     changed = best
     while True:
