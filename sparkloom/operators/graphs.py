@@ -35,7 +35,7 @@ def hubs(edges: DataFrame, least: int) -> DataFrame:
 def reachable(edges: DataFrame, start: DataFrame, max_hops: int | None = None) -> DataFrame:
     """Everything that can be reached from each start (start, node, hops), by shortest number of hops; cycles end by themselves.
     Runs to the end unless ``max_hops`` says how far to go."""
-    step = edges.select("src", "dst").distinct()
+    step = _cut(edges.select("src", "dst").distinct())
     seen = _cut(start.select(F.col("node").alias("start"), "node", F.lit(0).cast("long").alias("hops")).distinct())
     frontier, hop = seen, 0
     while max_hops is None or hop < max_hops:
