@@ -14,9 +14,8 @@ from sparkloom.llm._shared import drop, table, written
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 #: Share of a text's n-grams that its language must explain: at most this, and at most half of what it explains of all but one
-#: in a hundred labelled texts of that language; labelled texts, about, that are looked at for it; n-grams from which a text is judged.
+#: in a hundred of all labelled texts of that language; n-grams from which a text is judged.
 LANGUAGE_SCORE = 0.3
-CALIBRATION_ROWS = 4000
 JUDGED_NGRAMS = 20
 
 
@@ -26,10 +25,9 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     training = docs.where(~langid.held_out()).select("doc_id", "lang", "text")
     model = langid.learn(training.select("lang", "text"))
     labelled = training.where("lang is not null")
-    share = min(1.0, CALIBRATION_ROWS / max(1, labelled.count()))
-    chosen = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < F.lit(int(share * (1 << 30)))  # by the id, however the rows are split
-    sample = langid.identify(labelled.where(chosen).select("lang", "text"), model).where("lang = lang_pred")
-    least = {r.lang: min(LANGUAGE_SCORE, 0.5 * r.low) for r in sample.groupBy("lang").agg(F.percentile("score", 0.01).alias("low")).collect()}
+    right = langid.identify(labelled.select("lang", "text"), model).where("lang = lang_pred")
+    low = F.percentile(F.round("score", 4), 0.01)  # of ten-thousandths, so that a language has a bounded number of values
+    least = {r.lang: min(LANGUAGE_SCORE, 0.5 * r.low) for r in right.groupBy("lang").agg(low.alias("low")).collect()}
     found = langid.identify(docs.select(*COLUMNS), model)
     enough = F.lit(False)
     for lang, score in least.items():

@@ -80,3 +80,13 @@ def test_stages_against_plain_versions(spark, sf):
         pieces[r.doc_id] += r.length
         tokens[r.doc_id] = r.doc_tokens
     assert pieces == tokens and set(tokens) == set(want)
+
+
+def test_thresholds_come_from_all_labelled_texts(spark, monkeypatch):
+    from sparkloom.llm import langid
+
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+    sizes, real = [], langid.identify
+    monkeypatch.setattr(langid, "identify", lambda rows, model: (sizes.append(rows.count()), real(rows, model))[1])
+    corpus_pipeline.identify_language(spark, docs, "/root/testdata/sf0.1")
+    assert sizes[0] == docs.where(~langid.held_out()).where("lang is not null").count() > 4000
