@@ -104,6 +104,6 @@ def _by_vector(rounds: Rounds, asked: DataFrame, known: DataFrame) -> DataFrame:
     keys = rounds.table(asked.where("vector is not null").groupBy("key").agg(F.min_by("vector", "name").alias("vector")).withColumn("number", -1 - F.monotonically_increasing_id()))
     model = V.fit(entities, "number", "vector")
     index = V.build(entities, "number", "vector", model, rounds.place("index"))
-    near = V.exact_search(index, model, entities, keys, "number", "vector", NEIGHBOURS).where(F.col("similarity") > SIMILARITY)
+    near = V.exact_search(index, model, entities, keys, "number", "vector", NEIGHBOURS, rounds=rounds).where(F.col("similarity") > SIMILARITY)
     met = near.join(keys.select(F.col("number").alias("query"), "key"), "query").join(entities.select(F.col("number").alias("id"), "entity"), "id")
     return rounds.table(met.groupBy("key").agg(F.min_by("entity", F.struct(-F.col("similarity"), "entity")).alias("entity")).withColumn("how", F.lit("embedding")))

@@ -1,15 +1,17 @@
 """A stored index of vectors for nearest neighbours by cosine: inverted lists of k-means with product codes.
 
 Every vector stands in the list of its nearest centre, and what it differs from the centre by is stored as one byte a
-subspace, together with the length of what the code leaves out.  The index is a Parquet table sorted by list; its rows are
+subspace.  The index is a Parquet table sorted by list; its rows are
 blocks of up to ``BLOCK`` vectors, so that a list which holds a third of all vectors is many rows, not one group.
 
-A search joins blocks of queries with the blocks of the lists that they probe, compares inside a task by tables of partial
-distances, and keeps few candidates a query; those are compared exactly, by a join with the vectors.  Queries are rows, too:
-nothing but the centres and the codebooks, whose size is a parameter, is sent around.
+A block also holds its vectors.  A search joins blocks of queries with the blocks of the lists that they probe, picks candidates
+inside a task by tables of partial distances, and compares those right there by all their values; only the best few of a query and
+block leave the task.  Queries are rows, too: nothing but the centres and the codebooks, whose size is a parameter, is sent around.
 
-``search`` is approximate.  ``exact_search`` takes its answer as a bound, probes every list that the triangle inequality does
-not rule out, and leaves out only vectors whose code and stored error show that they cannot reach the bound.
+``search`` is approximate.  ``exact_search`` takes its answer as a bound.  Blocks of queries, in the order of lists, and blocks of
+vectors are read in pairs from their tables, without a shuffle; pairs are left out whose list no query of the block can reach by
+the triangle inequality, and of the others only what reaches the bound leaves the task, ``k`` of a query and block at most.  So the
+comparisons may grow with the square of the rows, but neither disk nor memory does.
 
 Centres and codebooks are fitted on ``SAMPLE`` vectors at most, those with the least hashes of their ids.
 
@@ -29,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.numeric import half_up
+from ..sources.scratch import Rounds
 
 SAMPLE = 20_000
 #: Most lists, and bytes of a code (also the number of subspaces).
@@ -37,6 +39,8 @@ LISTS = 4096
 CODE_BYTES = 16
 BLOCK = 4096
 QUERY_BLOCK = 256
+#: Queries that an exact search compares with a block at once.
+EXACT_BLOCK = 1024
 ROUNDS = 15
 _SLACK = 2e-6
 
@@ -54,14 +58,10 @@ class Model:
         far = _squared(unit, self.centres)
         return np.argsort(far, axis=1, kind="stable")[:, :n]
 
-    def encode(self, rest: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Codes of differences from centres, and how far their codewords are off."""
+    def encode(self, rest: np.ndarray) -> np.ndarray:
+        """Codes of differences from centres."""
         parts = _split(rest, len(self.codebooks))
-        codes = np.stack([_squared(parts[:, s], book).argmin(axis=1) for s, book in enumerate(self.codebooks)], axis=1).astype(np.uint8)
-        return codes, np.linalg.norm(parts - self._words(codes), axis=(1, 2))
-
-    def _words(self, codes: np.ndarray) -> np.ndarray:
-        return np.stack([book[codes[:, s]] for s, book in enumerate(self.codebooks)], axis=1)
+        return np.stack([_squared(parts[:, s], book).argmin(axis=1) for s, book in enumerate(self.codebooks)], axis=1).astype(np.uint8)
 
     def distances(self, unit: np.ndarray, list_: int, codes: np.ndarray) -> np.ndarray:
         """From each query to each coded vector of a list, by sums over tables of partial distances."""
@@ -101,9 +101,10 @@ def k_means(rows: np.ndarray, k: int, rounds: int = ROUNDS) -> np.ndarray:
 
 
 def _usable(vectors: DataFrame, id_: str, vector: str) -> DataFrame:
-    """``id`` and ``v``: vectors without nulls, infinities and zero length."""
-    rows = vectors.select(F.col(id_).alias("id"), F.col(vector).cast("array<double>").alias("v"))
-    length = F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x)
+    """``id`` and ``v``: vectors without nulls, infinities and zero length; floats stay floats."""
+    kind = "float" if vectors.schema[vector].dataType.simpleString() == "array<float>" else "double"
+    rows = vectors.select(F.col(id_).alias("id"), F.col(vector).cast(f"array<{kind}>").alias("v"))
+    length = F.aggregate("v", F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double"))
     return rows.where(length.isNotNull() & ~F.isnan(length) & (length > 0) & (length < float("inf")))
 
 
@@ -130,7 +131,7 @@ def fit(vectors: DataFrame, id_: str, vector: str, lists: int | None = None, cod
 
 
 def build(vectors: DataFrame, id_: str, vector: str, model: Model, path: str) -> DataFrame:
-    """Writes the index to ``path``: list, ids, codes, errors and radius (farthest from the centre) of each block, sorted by list.  Every usable vector is in it."""
+    """Writes the index to ``path``: list, ids (ascending), codes, vectors and radius (farthest from the centre) of each block, sorted by list.  Every usable vector is in it."""
     spark = vectors.sparkSession
     shared = spark.sparkContext.broadcast(model)
     kind = vectors.schema[id_].dataType.simpleString()
@@ -142,10 +143,10 @@ def build(vectors: DataFrame, id_: str, vector: str, model: Model, path: str) ->
             if len(frame):
                 unit = _unit(frame["v"], m.size)
                 near = m.lists(unit)[:, 0]
-                codes, errors = m.encode(unit - m.centres[near])
-                yield pd.DataFrame({"list": near, "id": frame["id"], "code": [c.tobytes() for c in codes], "error": errors, "off": np.linalg.norm(unit - m.centres[near], axis=1)})
+                codes = m.encode(unit - m.centres[near])
+                yield pd.DataFrame({"list": near, "id": frame["id"], "code": [c.tobytes() for c in codes], "vector": [np.asarray(v).tobytes() for v in frame["v"]], "off": np.linalg.norm(unit - m.centres[near], axis=1)})
 
-    placed = _usable(vectors, id_, vector).mapInPandas(place, f"list int, id {kind}, code binary, error double, off double")
+    placed = _usable(vectors, id_, vector).mapInPandas(place, f"list int, id {kind}, code binary, vector binary, off double")
     # Blocks are cut inside tasks from rows in the order of lists; a large list is in many tasks' ranges.
     ranged = placed.repartitionByRange("list", F.xxhash64("id")).sortWithinPartitions("list", "id")
 
@@ -166,7 +167,7 @@ def build(vectors: DataFrame, id_: str, vector: str, model: Model, path: str) ->
         if held:
             yield _block(now, held)
 
-    blocks = ranged.mapInArrow(cut, f"list int, ids array<{kind}>, codes binary, errors binary, radius double")
+    blocks = ranged.mapInArrow(cut, f"list int, ids array<{kind}>, codes binary, vectors binary, radius double")
     blocks.write.parquet(path)
     return opened(spark, path)
 
@@ -174,10 +175,10 @@ def build(vectors: DataFrame, id_: str, vector: str, model: Model, path: str) ->
 def _block(list_: int, held: list[pa.RecordBatch]) -> pa.RecordBatch:
     rows = pa.Table.from_batches(held).combine_chunks().to_batches()[0]
     ids = pa.ListArray.from_arrays(pa.array([0, len(rows)], pa.int32()), rows.column(1))
-    codes = b"".join(rows.column(2).to_pylist())
+    codes, vectors = (b"".join(rows.column(i).to_pylist()) for i in (2, 3))
     return pa.RecordBatch.from_arrays(
-        [pa.array([list_], pa.int32()), ids, pa.array([codes], pa.binary()), pa.array([rows.column(3).to_numpy().astype("<f4").tobytes()], pa.binary()), pa.array([float(rows.column(4).to_numpy().max())])],
-        ["list", "ids", "codes", "errors", "radius"],
+        [pa.array([list_], pa.int32()), ids, pa.array([codes], pa.binary()), pa.array([vectors], pa.binary()), pa.array([float(rows.column(4).to_numpy().max())])],
+        ["list", "ids", "codes", "vectors", "radius"],
     )
 
 
@@ -185,67 +186,38 @@ def opened(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
-def _asked(queries: DataFrame, probes: DataFrame) -> DataFrame:
-    """Blocks of queries (``qs``: their columns) by the list that they probe; ``probes``: id and list."""
-    rows = probes.join(queries, "id")
-    # Dealt by list and hash into groups of about QUERY_BLOCK, so that a list that all queries probe is many rows.
-    n = probes.groupBy("list").agg(F.ceil(F.count("*") / QUERY_BLOCK).alias("parts"))
-    dealt = rows.join(n, "list").withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")))
-    return dealt.groupBy("list", "part").agg(F.collect_list(F.struct(*queries.columns)).alias("qs")).drop("part")
+def _floats(held: bytes | pa.Buffer, n: int, size: int) -> np.ndarray:
+    """``n`` stored vectors, floats or doubles, as doubles."""
+    return np.frombuffer(held, "<f4" if len(held) == 4 * n * size else "<f8").reshape(n, size).astype(float)
 
 
-def _candidates(index: DataFrame, asked: DataFrame, model: Model, kind: str, keep: int | None) -> DataFrame:
-    """``query`` and ``id`` of what may be near: the ``keep`` nearest by code in each block, or all that can reach the bound ``qs.least``."""
-    shared = index.sparkSession.sparkContext.broadcast(model)
+def _similarity(dots: np.ndarray, squares: np.ndarray) -> np.ndarray:
+    """Cosines of dot products and products of squared lengths; rounded as by ``half_up``, to six places."""
+    return np.floor(np.rint(dots / np.sqrt(squares) * 1e9) / 1e9 * 1e6 + 0.5) / 1e6
 
-    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = shared.value
-        for batch in batches:
-            for row in range(batch.num_rows):
-                one = {n: batch.column(i)[row] for i, n in enumerate(batch.schema.names)}
-                ids, qs = one["ids"].values, one["qs"].values
-                unit = np.stack(qs.field("v").to_pylist())
-                unit /= np.linalg.norm(unit, axis=1, keepdims=True)
-                codes = np.frombuffer(one["codes"].as_buffer(), np.uint8).reshape(len(ids), -1)
-                far = m.distances(unit, one["list"].as_py(), codes)
-                if keep is None:
-                    closest = np.maximum(far - np.frombuffer(one["errors"].as_buffer(), "<f4").astype(float) - 1e-6, 0.0)
-                    q, at = np.nonzero(1.0 - closest * closest / 2.0 >= qs.field("least").to_numpy(zero_copy_only=False)[:, None])
-                else:
-                    at = np.argpartition(far, keep - 1, axis=1)[:, :keep] if keep < len(ids) else np.tile(np.arange(len(ids)), (len(unit), 1))
-                    q, at = np.repeat(np.arange(len(unit)), at.shape[1]), at.ravel()
-                found = pa.array(far[q, at])
-                yield pa.RecordBatch.from_arrays([qs.field("id").take(pa.array(q)), ids.take(pa.array(at)), found], ["query", "id", "far"])
 
-    return index.join(asked, "list").select("list", "ids", "codes", "errors", "qs").mapInArrow(compare, f"query {kind}, id {kind}, far double")
+def _best(similarity: np.ndarray, k: int, least: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Row and column of the ``k`` greatest of each row that reach ``least``; ties go to the smaller column."""
+    bound = least if similarity.shape[1] <= k else np.maximum(least, np.partition(similarity, -k, axis=1)[:, -k])
+    q, at = np.nonzero(similarity >= bound[:, None])
+    order = np.lexsort((at, -similarity[q, at], q))
+    q, at = q[order], at[order]
+    begins = np.searchsorted(q, np.arange(len(similarity)))
+    few = np.arange(len(q)) - begins[q] < k
+    return q[few], at[few]
 
 
-def _compared(candidates: DataFrame, queries: DataFrame, rows: DataFrame, k: int) -> DataFrame:
-    """The ``k`` most similar of each query's candidates, by all their values."""
-    met = candidates.select("query", "id").distinct().where(~F.col("query").eqNullSafe(F.col("id")))
-    met = met.join(queries.select(F.col("id").alias("query"), F.col("v").alias("q")), "query").join(rows, "id")
-    dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
-    similarity = half_up(dot("q", "v") / F.sqrt(dot("q", "q") * dot("v", "v")), 6)
-    order = Window.partitionBy("query").orderBy(F.desc("similarity"), "id")
-    best = met.where(F.size("q") == F.size("v")).select("query", "id", similarity.alias("similarity")).withColumn("rank", F.row_number().over(order).cast("long"))
-    return best.where(F.col("rank") <= k)
+def _found(names: pa.Array, ids: pa.Array, q: np.ndarray, at: np.ndarray, similarity: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([names.take(pa.array(q)), ids.take(pa.array(at)), pa.array(similarity)], ["query", "id", "similarity"])
 
 
-def search(index: DataFrame, model: Model, vectors: DataFrame, queries: DataFrame, id_: str, vector: str, k: int, probes: int = 16, keep: int | None = None) -> DataFrame:
-    """``query``, ``id``, ``similarity`` and ``rank``: of each row of ``queries`` about the ``k`` most similar of the indexed ``vectors``; ids are unique.
-
-    ``probes``: lists looked at; ``keep``: candidates of a query that are compared exactly (ten times k by default).
-    """
-    kind, keep = vectors.schema[id_].dataType.simpleString(), keep or 10 * (k + 1)
-    asked, rows = _usable(queries, id_, vector), _usable(vectors, id_, vector)
-    found = _candidates(index, _asked(asked, _probed(asked, model, kind, probes)), model, kind, keep)
-    order = Window.partitionBy("query").orderBy("far", "id")
-    least = found.withColumn("n", F.row_number().over(order)).where(F.col("n") <= keep)
-    return _compared(least, asked, rows, k)
+def _ranked(found: DataFrame, k: int) -> DataFrame:
+    order = Window.partitionBy("query").orderBy(F.desc("similarity"), "id")
+    return found.where(~F.col("query").eqNullSafe(F.col("id"))).withColumn("rank", F.row_number().over(order).cast("long")).where(F.col("rank") <= k)
 
 
 def _probed(asked: DataFrame, model: Model, kind: str, probes: int) -> DataFrame:
-    """id and list: the nearest lists of each query."""
+    """id, v and list: each query with the lists that are nearest."""
     shared = asked.sparkSession.sparkContext.broadcast(model)
 
     def near(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -253,37 +225,109 @@ def _probed(asked: DataFrame, model: Model, kind: str, probes: int) -> DataFrame
         for frame in frames:
             frame = frame[frame["v"].map(len) == m.size]
             if len(frame):
-                lists = m.lists(_unit(frame["v"], m.size), probes)
-                yield pd.DataFrame({"id": np.repeat(frame["id"].to_numpy(), lists.shape[1]), "list": lists.ravel()})
+                yield frame.assign(lists=m.lists(_unit(frame["v"], m.size), probes).tolist())
 
-    return asked.mapInPandas(near, f"id {kind}, list int")
+    vector = asked.schema["v"].dataType.simpleString()
+    return asked.mapInPandas(near, f"id {kind}, v {vector}, lists array<int>").select("id", "v", F.explode("lists").alias("list"))
 
 
-def exact_search(index: DataFrame, model: Model, vectors: DataFrame, queries: DataFrame, id_: str, vector: str, k: int, probes: int = 16) -> DataFrame:
-    """As ``search``, but the ``k`` most similar themselves."""
+def _asked(probed: DataFrame) -> DataFrame:
+    """Blocks of queries (``qs``: id and v) by the list that they probe."""
+    # Dealt by list and hash into groups of about QUERY_BLOCK, so that a list that all queries probe is many rows.
+    n = probed.groupBy("list").agg(F.ceil(F.count("*") / QUERY_BLOCK).alias("parts"))  # one row a list
+    dealt = probed.join(F.broadcast(n), "list").withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")))
+    return dealt.groupBy("list", "part").agg(F.collect_list(F.struct("id", "v")).alias("qs")).drop("part")
+
+
+def search(index: DataFrame, model: Model, vectors: DataFrame, queries: DataFrame, id_: str, vector: str, k: int, probes: int = 16, keep: int | None = None) -> DataFrame:
+    """``query``, ``id``, ``similarity`` and ``rank``: of each row of ``queries`` about the ``k`` most similar of the indexed ``vectors``; ids are unique.
+
+    ``probes``: lists looked at; ``keep``: candidates of a query in a block that are compared exactly (ten times k by default).
+    """
+    kind, keep = vectors.schema[id_].dataType.simpleString(), keep or 10 * (k + 1)
+    shared = index.sparkSession.sparkContext.broadcast(model)
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m = shared.value
+        for batch in batches:
+            for row in range(batch.num_rows):
+                one = {n: batch.column(i)[row] for i, n in enumerate(batch.schema.names)}
+                ids, qs = one["ids"].values, one["qs"].values
+                raw = qs.field("v").flatten().to_numpy().reshape(-1, m.size).astype(float)
+                codes = np.frombuffer(one["codes"].as_buffer(), np.uint8).reshape(len(ids), -1)
+                held = _floats(one["vectors"].as_buffer(), len(ids), m.size)
+                # One more than k, as a query may meet itself; candidates in the order of ids, which ties go by.
+                if keep < len(ids):
+                    far = m.distances(raw / np.linalg.norm(raw, axis=1, keepdims=True), one["list"].as_py(), codes)
+                    near = np.sort(np.argpartition(far, keep - 1, axis=1)[:, :keep], axis=1)
+                else:
+                    near = np.tile(np.arange(len(ids)), (len(raw), 1))
+                squares = (held * held).sum(axis=1)
+                dots = np.stack([held[at] @ v for at, v in zip(near, raw)])
+                similarity = _similarity(dots, (raw * raw).sum(axis=1)[:, None] * squares[near])
+                q, at = _best(similarity, k + 1, np.full(len(raw), -2.0))
+                yield _found(qs.field("id"), ids, q, near[q, at], similarity[q, at])
+
+    asked = _asked(_probed(_usable(queries, id_, vector), model, kind, probes))
+    found = index.join(asked, "list").select("list", "ids", "codes", "vectors", "qs").mapInArrow(compare, f"query {kind}, id {kind}, similarity double")
+    return _ranked(found, k)
+
+
+def exact_search(index: DataFrame, model: Model, vectors: DataFrame, queries: DataFrame, id_: str, vector: str, k: int, probes: int = 16, rounds: Rounds | None = None) -> DataFrame:
+    """As ``search``, but the ``k`` most similar themselves.  The queries' blocks are written to ``rounds``, or stay in the shared folder."""
     kind = vectors.schema[id_].dataType.simpleString()
-    asked, rows = _usable(queries, id_, vector), _usable(vectors, id_, vector)
+    spark, asked = index.sparkSession, _usable(queries, id_, vector)
     first = search(index, model, vectors, queries, id_, vector, k, probes)
     bound = first.where(F.col("rank") == k).select(F.col("query").alias("id"), (F.col("similarity") - _SLACK).alias("bound"))
-    bounded = asked.join(bound, "id", "left").withColumn("least", F.coalesce("bound", F.lit(-1.0 - _SLACK))).drop("bound")
+    bounded = asked.join(bound, "id", "left").select("id", "v", F.coalesce("bound", F.lit(-1.0 - _SLACK)).alias("least"))
     radii = index.groupBy("list").agg(F.max("radius").alias("radius")).toPandas()  # one row a list
     radius = np.full(len(model.centres), -1.0)
     radius[radii["list"].to_numpy()] = radii["radius"].to_numpy()
-    shared = asked.sparkSession.sparkContext.broadcast((model, radius))
+    shared = spark.sparkContext.broadcast((model, radius))
+    size = model.size
 
-    def reach(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def place(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         m, radius = shared.value
         for frame in frames:
             frame = frame[frame["v"].map(len) == m.size]
             if len(frame):
                 far = np.sqrt(_squared(_unit(frame["v"], m.size), m.centres))
                 closest = np.maximum(far - radius - 1e-6, 0.0)
-                q, at = np.nonzero((1.0 - closest * closest / 2.0 >= frame["least"].to_numpy()[:, None]) & (radius >= 0))
-                yield pd.DataFrame({"id": frame["id"].to_numpy()[q], "list": at})
+                reached = (1.0 - closest * closest / 2.0 >= frame["least"].to_numpy()[:, None]) & (radius >= 0)
+                yield pd.DataFrame({"id": frame["id"], "near": far.argmin(axis=1), "least": frame["least"], "vector": [np.asarray(v, float).tobytes() for v in frame["v"]], "reached": [np.packbits(r).tobytes() for r in reached]})
 
-    probed = bounded.mapInPandas(reach, f"id {kind}, list int")
-    return _compared(_candidates(index, _asked(bounded, probed), model, kind, None), asked, rows, k)
+    def block(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held = pd.DataFrame()
+        for frame in frames:
+            held = pd.concat([held, frame]) if len(held) else frame
+            while len(held) >= EXACT_BLOCK:
+                yield joined(held[:EXACT_BLOCK])
+                held = held[EXACT_BLOCK:]
+        if len(held):
+            yield joined(held)
+
+    def joined(rows: pd.DataFrame) -> pd.DataFrame:
+        lists = np.bitwise_or.reduce([np.frombuffer(r, np.uint8) for r in rows["reached"]])
+        return pd.DataFrame({"names": [rows["id"].tolist()], "q": [b"".join(rows["vector"])], "least": [rows["least"].to_numpy().tobytes()], "lists": [np.flatnonzero(np.unpackbits(lists)).tolist()]})
+
+    placed = bounded.mapInPandas(place, f"id {kind}, near int, least double, vector binary, reached binary")
+    # About a block a partition, so that the pairs are dealt to many tasks.
+    ranged = placed.repartitionByRange(max(1, -(-asked.count() // EXACT_BLOCK)), "near", F.xxhash64("id")).sortWithinPartitions("near")
+    rounds = rounds or Rounds(spark, "asked")
+    blocks = rounds.table(ranged.mapInPandas(block, f"names array<{kind}>, q binary, least binary, lists array<int>"))
 
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in range(batch.num_rows):
+                one = {n: batch.column(i)[row] for i, n in enumerate(batch.schema.names)}
+                ids, names = one["ids"].values, one["names"].values
+                raw, held = _floats(one["q"].as_buffer(), len(names), size), _floats(one["vectors"].as_buffer(), len(ids), size)
+                similarity = _similarity(raw @ held.T, (raw * raw).sum(axis=1)[:, None] * (held * held).sum(axis=1))
+                q, at = _best(similarity, k + 1, np.frombuffer(one["least"].as_buffer()))
+                yield _found(names, ids, q, at, similarity[q, at])
+
+    pairs = blocks.join(index.select("list", "ids", "vectors"), F.array_contains("lists", F.col("list")))
+    return _ranked(pairs.select("names", "q", "least", "ids", "vectors").mapInArrow(compare, f"query {kind}, id {kind}, similarity double"), k)
 
 
 def recall(found: DataFrame, exact: DataFrame) -> float:

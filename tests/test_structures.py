@@ -113,6 +113,21 @@ def test_recall_on_the_embeddings(spark, sf):
     assert V.recall(*renamed) >= 0.9
 
 
+def test_ties_and_copies_leave_no_more_than_k_rows(spark, tmp_path):
+    """What leaves a task is k of a query and block, however many are alike; floats are held as floats."""
+    q, at = V._best(np.array([[0.5, 1.0, 1.0, 1.0], [0.1, 0.2, 0.3, 0.3]]), 2, np.array([-1.0, 0.3]))
+    assert (q.tolist(), at.tolist()) == ([0, 0, 1, 1], [1, 2, 2, 3])
+    rng = np.random.default_rng(5)
+    m = rng.normal(size=(40, 8)).astype("f4")[np.arange(2400) % 40 * (np.arange(2400) % 3 > 0)]  # a third of all are one vector
+    vectors = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(m)], "id bigint, v array<float>").cache()
+    model = V.fit(vectors, "id", "v")
+    index = V.build(vectors, "id", "v", model, str(tmp_path / "index"))
+    assert index.where(F.length("vectors") != 4 * 8 * F.size("ids")).isEmpty()
+    exact = V.exact_search(index, model, vectors, vectors, "id", "v", 5)
+    asked = list(range(0, 2400, 50))
+    assert {(r["query"], r.id, r["rank"]) for r in exact.where("query % 50 = 0").collect()} == brute(m.astype(float), list(range(2400)), asked, 5)
+
+
 def test_nothing_to_index(spark, tmp_path):
     none = spark.createDataFrame([(1, None)], "id bigint, v array<double>")
     model = V.fit(none, "id", "v")
