@@ -1,7 +1,12 @@
 """Cosine clusters of texts within groups: a weighted all-pairs search, then greedy clusters in order.
 
 Texts are bags of words.  Texts of one group with the same bag are one class, which only ever moves together; pairs are
-sought between classes.  Words are ordered by their number of classes, rare ones first.  If the first word that two bags share
+sought between classes.  Classes stand in blocks, which are read in pairs without a shuffle.  Words are dealt to ``PARTS`` parts;
+the dot product of two bags is at most that of their lengths part by part (Cauchy and Schwarz), which one product of matrices gives
+for all pairs of two blocks, and only blocks of which this bound lets a pair through are compared by all their words.  So comparisons by the
+bound grow with the square of a group, but what the search shuffles and holds in memory does not; it writes the pairs that it finds.
+
+``prefixes`` and ``candidates`` bound the pairs by an index, which pays where texts mostly have rare words.  Words are ordered by their number of classes, rare ones first.  If the first word that two bags share
 stands at i in one and at j in the other, their cosine is at most the product of the lengths of what stands from i and from j
 on, in parts of the whole.  So only words from which on at least ``least`` of a bag's length remains can be the first shared
 word of a pair, and only pairs whose product of remainders reaches ``least`` are looked at in full: no frequent word brings
@@ -25,6 +30,11 @@ from .texts import canonical
 
 #: Slack for bounds in doubles; pairs are decided by their full cosine.
 _SLACK = 1e-9
+#: Classes of a block, and parts that words are dealt to by their hashes.
+BLOCK = 512
+PARTS = 512
+#: Words of a matrix.
+WORDS = 16384
 
 
 def words(text: F.Column) -> F.Column:
@@ -58,30 +68,101 @@ def candidates(prefix: DataFrame, least: float) -> DataFrame:
     return a.join(b, ["group", "word"]).where((F.col("a") < F.col("b")) & (F.col("rest_a") * F.col("rest_b") >= least - _SLACK)).select("a", "b").distinct()
 
 
-def cosine_pairs(held: DataFrame, least: float) -> DataFrame:
-    """``a``, ``b`` and ``cosine`` of the pairs of classes within a group that reach ``least`` (over 0); ids are unique."""
-    tf = held.select("id", F.explode("words").alias("word")).groupBy("id", "word").agg(F.count("*").alias("tf"))
-    # A bag as two arrays in the order of the words' hashes, so that a pair is one merge instead of a row a shared word.
-    bag = F.array_sort(F.collect_list(F.struct(F.xxhash64("word").alias("word"), "tf")))
-    bags = tf.groupBy("id").agg(bag.alias("bag"), F.sqrt(F.sum(F.col("tf") * F.col("tf"))).alias("length")).select("id", F.col("bag.word").alias("words"), F.col("bag.tf").alias("tfs"), "length")
-    x, y = (bags.select(*[F.col(c).alias("id" if c == "id" else f"{c}_{n}") for c in bags.columns]).withColumnRenamed("id", n) for n in "ab")
-    met = candidates(prefixes(held, least), least).join(x, "a").join(y, "b")
+def _blocks(held: DataFrame, rounds: Rounds) -> DataFrame:
+    """Blocks of up to ``BLOCK`` classes with words, in the order of groups: ``low`` and ``high`` (keys of the first and last group), ``first`` (id),
+    keys, ids, sizes (distinct words of each), words (hashes, ascending in each class) and tfs."""
     kind = held.schema["id"].dataType.simpleString()
+    hashed = held.where(F.size("words") > 0).select(F.xxhash64("group").alias("key"), "id", F.transform("words", lambda w: F.xxhash64(w)).alias("words"))
 
-    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            get = {n: batch.column(i) for i, n in enumerate(batch.schema.names)}
-            values = {n: (get[n].flatten().to_numpy(), get[n].offsets.to_numpy() - get[n].offsets[0].as_py()) for n in ("words_a", "tfs_a", "words_b", "tfs_b")}
-            dots = np.zeros(batch.num_rows)
-            for i in range(batch.num_rows):
-                wa, ta, wb, tb = (v[at[i] : at[i + 1]] for v, at in values.values())
-                place = np.minimum(np.searchsorted(wb, wa), len(wb) - 1)
-                same = wb[place] == wa
-                dots[i] = np.dot(ta[same], tb[place[same]])
-            cosine = dots / (get["length_a"].to_numpy() * get["length_b"].to_numpy())
-            yield pa.RecordBatch.from_arrays([get["a"], get["b"], pa.array(cosine)], ["a", "b", "cosine"]).filter(pa.array(cosine >= least))
+            words = batch.column(2)
+            flat, at = words.flatten().to_numpy(), words.offsets.to_numpy() - words.offsets[0].as_py()
+            bags = [np.unique(flat[a:b], return_counts=True) for a, b in zip(at, at[1:])]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([w.tobytes() for w, _ in bags], pa.binary()), pa.array([n.astype("<i4").tobytes() for _, n in bags], pa.binary())], ["key", "id", "words", "tfs"])
 
-    return met.select("a", "b", "words_a", "tfs_a", "length_a", "words_b", "tfs_b", "length_b").mapInArrow(compare, f"a {kind}, b {kind}, cosine double")
+    def block(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rest: list[pa.RecordBatch] = []
+        for batch in batches:
+            rest.append(batch)
+            while sum(map(len, rest)) >= BLOCK:
+                rows = pa.Table.from_batches(rest).combine_chunks()
+                yield joined(rows.slice(0, BLOCK))
+                rest = rows.slice(BLOCK).to_batches()
+        if sum(map(len, rest)):
+            yield joined(pa.Table.from_batches(rest))
+
+    def joined(rows: pa.Table) -> pa.RecordBatch:
+        rows = rows.combine_chunks().to_batches()[0]
+        key, id_, words, tfs = rows.columns
+        sizes = np.array([len(t) // 4 for t in tfs.to_pylist()], "<i4")
+        one = pa.array([0, len(rows)], pa.int32())
+        columns = [key[:1], key[-1:], id_[:1], pa.ListArray.from_arrays(one, key), pa.ListArray.from_arrays(one, id_), pa.array([sizes.tobytes()], pa.binary()), pa.array([b"".join(words.to_pylist())], pa.binary()), pa.array([b"".join(tfs.to_pylist())], pa.binary())]
+        return pa.RecordBatch.from_arrays(columns, ["low", "high", "first", "keys", "ids", "sizes", "words", "tfs"])
+
+    bags = rounds.table(hashed.mapInArrow(count, f"key bigint, id {kind}, words binary, tfs binary"))
+    ranged = bags.repartitionByRange(max(1, -(-bags.count() // BLOCK)), "key", "id").sortWithinPartitions("key", "id")
+    return rounds.table(ranged.mapInArrow(block, f"low bigint, high bigint, first {kind}, keys array<bigint>, ids array<{kind}>, sizes binary, words binary, tfs binary"))
+
+
+class _Bags:
+    """A block's classes: where each one's words begin, its length, and the lengths of its parts as shares of that."""
+
+    def __init__(self, row: dict[str, pa.Scalar], side: str) -> None:
+        self.keys, self.ids = row[f"keys_{side}"].values.to_numpy(), row[f"ids_{side}"].values
+        sizes, self.words, tfs = (np.frombuffer(row[f"{c}_{side}"].as_buffer(), kind) for c, kind in (("sizes", "<i4"), ("words", "<i8"), ("tfs", "<i4")))
+        self.tfs, self.at = tfs.astype(float), np.concatenate([[0], np.cumsum(sizes)])
+        self.owner = np.repeat(np.arange(len(sizes)), sizes)
+        squares = self.tfs * self.tfs
+        self.length = np.sqrt(np.bincount(self.owner, squares, len(sizes)))
+        parts = np.bincount(self.owner * PARTS + (self.words % PARTS), squares, len(sizes) * PARTS).reshape(-1, PARTS)
+        self.shares = np.sqrt(parts) / self.length[:, None]
+
+    def matrix(self, words: np.ndarray, kind: type) -> np.ndarray:
+        """How often each class has each of these words (ascending)."""
+        at = np.minimum(np.searchsorted(words, self.words), len(words) - 1)
+        has = words[at] == self.words
+        out = np.zeros((len(self.length), len(words)), kind)
+        out[self.owner[has], at[has]] = self.tfs[has]
+        return out
+
+
+def _dots(x: _Bags, y: _Bags) -> np.ndarray:
+    """Dot products of all pairs: whole numbers, exact in single precision up to 2 to the 24th, which no partial sum passes."""
+    common = np.intersect1d(x.words, y.words)
+    kind = np.float32 if x.length.max() * y.length.max() < 1 << 24 else np.float64
+    out = np.zeros((len(x.length), len(y.length)))
+    for c in range(0, len(common), WORDS):
+        out += x.matrix(common[c : c + WORDS], kind) @ y.matrix(common[c : c + WORDS], kind).T
+    return out
+
+
+def cosine_pairs(held: DataFrame, least: float, rounds: Rounds | None = None) -> DataFrame:
+    """``a``, ``b`` and ``cosine`` of the pairs of classes within a group that reach ``least`` (over 0); ids are unique.  The blocks are
+    written to ``rounds``, or stay in the shared folder."""
+    blocks = _blocks(held, rounds or Rounds(held.sparkSession, "bags"))
+    kind = held.schema["id"].dataType.simpleString()
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for r in range(batch.num_rows):
+                row = {n: batch.column(i)[r] for i, n in enumerate(batch.schema.names)}
+                x, y = _Bags(row, "a"), _Bags(row, "b")
+                met = (x.shares @ y.shares.T >= least - _SLACK) & (x.keys[:, None] == y.keys)
+                if row["same"].as_py():
+                    met = np.triu(met, 1)
+                if not met.any():
+                    continue
+                cosine = _dots(x, y) / (x.length[:, None] * y.length)
+                i, j = np.nonzero(met & (cosine >= least))
+                yield pa.RecordBatch.from_arrays([x.ids.take(pa.array(i)), y.ids.take(pa.array(j)), pa.array(cosine[i, j])], ["a", "b", "cosine"])
+
+    x, y = (blocks.select(*[F.col(c).alias(f"{c}_{side}") for c in blocks.columns]) for side in "ab")
+    place = lambda side: F.struct(F.col(f"low_{side}").alias("low"), F.col(f"first_{side}").alias("first"))
+    # Blocks follow each other by group and id, so that a's ids are the smaller ones.
+    pairs = x.join(y, (F.col("low_b") <= F.col("high_a")) & (place("a") <= place("b")))
+    needed = [f"{c}_{side}" for side in "ab" for c in ("keys", "ids", "sizes", "words", "tfs")]
+    return pairs.select((place("a") == place("b")).alias("same"), *needed).mapInArrow(compare, f"a {kind}, b {kind}, cosine double")
 
 
 def cosine_clusters(entries: DataFrame, group: list[str], id_: str, text: str, when: str, least: float, min_size: int) -> DataFrame:
@@ -93,7 +174,7 @@ def cosine_clusters(entries: DataFrame, group: list[str], id_: str, text: str, w
     """
     with Rounds(entries.sparkSession, "clusters") as rounds:
         held = rounds.table(classes(entries, group, id_, text, when))
-        pairs = rounds.table(cosine_pairs(held, least).select("a", "b"))
+        pairs = rounds.table(cosine_pairs(held, least, rounds).select("a", "b"))
         joined = canonical(pairs).select(F.col("dropped").alias("id"), F.col("kept").alias("head"))
         members = held.join(joined, "id", "left").withColumn("head", F.coalesce("head", "id"))
         sizes = members.groupBy("group", "head").agg(F.sum("n").alias("occurrences"), F.min("first").alias("first_seen"), F.max("last").alias("last_seen"))

@@ -60,6 +60,19 @@ def test_frequent_words_bring_no_pairs(spark):
     assert C.candidates(C.prefixes(held, 0.8), 0.8).count() == 100 == C.cosine_pairs(held, 0.8).count()
 
 
+def test_pairs_over_several_blocks(spark):
+    """More classes than a block holds, in two groups that share frequent words: the pairs are those of all comparisons, and their plan has no exchange."""
+    rng = np.random.default_rng(8)
+    bags = rng.poisson(np.array([9, 7, 5] + [0.3] * 40), size=(1300, 43))
+    bags[:, 0] = np.maximum(bags[:, 0], 1)
+    df = spark.createDataFrame([("xy"[i % 2], i, [f"w{j}" for j in range(43) for _ in range(n[j])]) for i, n in enumerate(bags)], "g string, id bigint, words array<string>")
+    found = C.cosine_pairs(df.select(F.struct("g").alias("group"), "id", "words"), 0.9037)
+    unit = bags / np.linalg.norm(bags, axis=1, keepdims=True)
+    i, j = np.nonzero(np.triu(unit @ unit.T >= 0.9037, 1))
+    assert {(r.a, r.b) for r in found.collect()} == {(a, b) for a, b in zip(i.tolist(), j.tolist()) if a % 2 == b % 2}
+    assert "Exchange hashpartitioning" not in found._jdf.queryExecution().toString()
+
+
 # --- vector index
 
 
