@@ -10,7 +10,7 @@ from ..operators import facts as FA
 from ..operators import graphs as G
 from ..operators import rollups as R
 from ..operators import texts as TX
-from .adapter import r, table
+from .adapter import parts, r, table
 from .catalog import register
 
 #: Tokens of the text functions, in SQL.
@@ -23,8 +23,11 @@ TOK = "list_filter(string_split_regex(regexp_replace(lower({0}), '[^a-z0-9\\s_-]
 @register("cost_by_feature", """SELECT p_brand, count(DISTINCT o_orderkey) n FROM orders JOIN lineitem ON o_orderkey = l_orderkey JOIN part ON l_partkey = p_partkey GROUP BY 1""")
 def cost_by_feature(spark, d):
     o, l, p = (table(spark, d, t) for t in ("orders", "lineitem", "part"))
-    met = o.select("o_orderkey").join(l.select("l_orderkey", "l_partkey"), F.col("o_orderkey") == F.col("l_orderkey")).join(p.select("p_partkey", "p_brand"), F.col("l_partkey") == F.col("p_partkey"))
-    return met.groupBy("p_brand").agg(F.countDistinct("o_orderkey").alias("n"))
+    n = parts(l, o)
+    branded = l.select("l_orderkey", "l_partkey").repartition(n, "l_partkey").join(p.select("p_partkey", "p_brand").repartition(n, "p_partkey"), F.col("l_partkey") == F.col("p_partkey"))
+    # Orders are dealt out once: what is distinct within them is so in all.
+    met = branded.select("l_orderkey", "p_brand").repartition(n, "l_orderkey").distinct().join(o.select(F.col("o_orderkey").alias("l_orderkey")).repartition(n, "l_orderkey"), "l_orderkey", "left_semi")
+    return met.groupBy("p_brand").agg(F.count("*").alias("n"))
 
 
 @register("decision_revisions", """SELECT o_orderkey, string_agg(DISTINCT CAST(l_suppkey AS VARCHAR), ',' ORDER BY CAST(l_suppkey AS VARCHAR)) linked FROM orders LEFT JOIN lineitem ON o_orderkey = l_orderkey AND l_returnflag = 'R' GROUP BY 1""")
