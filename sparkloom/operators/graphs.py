@@ -13,6 +13,9 @@ from pyspark.sql import functions as F
 from ..sources.places import shared_folder
 from ..sources.scratch import Rounds
 
+#: Edges that a task sorts or groups at most, about.
+TASK_ROWS = 500_000
+
 
 def _cut(df: DataFrame) -> DataFrame:
     shared_folder(df.sparkSession)
@@ -102,12 +105,20 @@ def connected(edges: DataFrame) -> DataFrame:
 
 def communities(edges: DataFrame, rounds: int = 5) -> DataFrame:
     """Label propagation in step: every node takes the heaviest label around it, ties to the least label."""
-    both = edges.select(F.col("src").alias("a"), F.col("dst").alias("b"), "weight").union(edges.select("dst", "src", "weight")).where("a != b")
-    both = _cut(both.groupBy("a", "b").agg(F.sum("weight").alias("weight")))
-    labels = both.select(F.col("a").alias("node")).distinct().withColumn("label", F.col("node"))
-    for _ in range(rounds):
-        votes = both.join(labels, F.col("b") == F.col("node")).groupBy("a", "label").agg(F.sum("weight").alias("w"))
-        labels = _cut(votes.groupBy(F.col("a").alias("node")).agg(F.min_by("label", F.struct(-F.col("w"), "label")).alias("label")))
+    ways = F.array(F.struct(F.col("src").alias("a"), F.col("dst").alias("b")), F.struct(F.col("dst").alias("a"), F.col("src").alias("b")))
+    with Rounds(edges.sparkSession, "labels") as kept:
+        links = kept.table(edges.select("src", "dst", "weight"))
+        # So many parts that a task's memory does not grow with the graph, whatever the session's number is.
+        n = max(1, -(-2 * links.count() // TASK_ROWS))
+        both = kept.table(links.select(F.explode(ways).alias("e"), "weight").select("e.*", "weight").where("a != b").repartition(n, "a", "b").groupBy("a", "b").agg(F.sum("weight").alias("weight")))
+        kept.forget(links)
+        labels = kept.table(both.select(F.col("a").alias("node")).distinct().withColumn("label", F.col("node")))
+        for _ in range(rounds):
+            votes = both.repartition(n, "b").join(labels.select(F.col("node").alias("b"), "label").repartition(n, "b"), "b").repartition(n, "a").groupBy("a", "label").agg(F.sum("weight").alias("w"))
+            after = kept.table(votes.groupBy(F.col("a").alias("node")).agg(F.min_by("label", F.struct(-F.col("w"), "label")).alias("label")))
+            kept.forget(labels)
+            labels = after
+        kept.keep(labels)
     return labels
 
 
