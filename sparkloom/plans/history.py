@@ -9,11 +9,15 @@ from ..functions import numeric as N
 from ..functions import rules as RU
 from ..functions import strings as S
 from ..operators import histories as H
-from .adapter import exact, r, table
+from .adapter import exact, parts, r, table
 from .adapter import with_exact as ex
 from .catalog import register
 
 
+#: Suppliers up to which they are broadcast.
+BROADCAST_SUPPLIERS = 500_000
+
+
 def _whole(x: str) -> str:
     return f"CAST({r(x, 0)} AS BIGINT)"
 
@@ -189,8 +193,10 @@ def decision_quality(spark, d):
     """Durability by revisions, and effect by how much lies downstream (suppliers, their nations and regions)."""
     s, n, l = (table(spark, d, t) for t in ("supplier", "nation", "lineitem"))
     down = s.select(F.col("s_suppkey").alias("l_suppkey"), "s_nationkey").join(n.select(F.col("n_nationkey").alias("s_nationkey"), "n_regionkey"), "s_nationkey")
-    met = l.select("l_orderkey", "l_suppkey", "l_returnflag").join(down, "l_suppkey")
-    v = met.groupBy("l_orderkey").agg(F.count_if(F.col("l_returnflag") == "R").alias("revisions"), (F.countDistinct("l_suppkey") + F.countDistinct("s_nationkey") + F.countDistinct("n_regionkey")).alias("reach"))
+    down = F.broadcast(down) if s.count() <= BROADCAST_SUPPLIERS else down
+    # Lines are dealt out by order once; an order's sets are small, and three distinct counts would shuffle each line four times.
+    met = l.select("l_orderkey", "l_suppkey", "l_returnflag").join(down, "l_suppkey").repartition(parts(l), "l_orderkey")
+    v = met.groupBy("l_orderkey").agg(F.count_if(F.col("l_returnflag") == "R").alias("revisions"), (F.size(F.collect_set("l_suppkey")) + F.size(F.collect_set("s_nationkey")) + F.size(F.collect_set("n_regionkey"))).cast("long").alias("reach"))
     return v.withColumn("composite", N.half_up(H.decision_quality(F.col("revisions"), F.col("reach")), 3))
 
 
