@@ -1,11 +1,13 @@
 """Communities by modularity (Louvain): moves of single nodes while modularity grows, then the graph of communities, level by level.
 
-In a round every node finds the community around it whose gain is greatest.  Half of those that gain, another half in every
-round, move at once.  Where that does not raise the modularity, because moves spoiled each other, a node of the half only moves
-if no neighbour of the half has a greater hash, so that no two nodes next to each other move; and where even that does not, only moves that
-share no community with one of greater gain are made: their gains add up.  So modularity grows with every round, and the result
-does not depend on how rows are dealt out: weights are whole thousandths, gains are compared as whole numbers, halves and
-classes follow from hashes.
+Nodes are dealt by hash to parts of about ``PART_EDGES`` edges, whatever the session's partitions are.  In a round every part
+sweeps over its nodes one after the other, each to the community around it whose gain is greatest, with the nodes of other parts
+as the round found them; a round passes once over the edges, which tells the quality of the round before, too.  Where that does
+not raise the modularity, because parts spoiled each other's moves, half of the moved nodes go; where even that does not, single
+moves count from the round's begin: of a half, a node only moves if no neighbour of the half has a greater hash, so that no two
+nodes next to each other move; and at last only moves that share no community with one of greater gain: their gains add up.  So
+modularity grows with every round, and the result does not depend on how rows are dealt out: weights are whole thousandths, gains
+are compared as whole numbers, parts, halves and classes follow from hashes.
 
 Defined results: edges are taken without direction and summed; loops count for their node; null ends and weights that are null
 or not positive leave no edge; nodes without edges are not there; ties go to the greater community label, then node.
@@ -15,6 +17,8 @@ from __future__ import annotations
 
 from decimal import Decimal
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -24,6 +28,10 @@ from ..sources.scratch import Rounds
 SCALE = 1000
 #: Growth of modularity in a round below which a level ends.
 LEAST_GAIN = 1e-3
+#: Edges of the nodes that one task sweeps over, about.
+PART_EDGES = 500_000
+#: Sweeps of a part in a round, where there are several parts.
+SWEEPS = 3
 _BIG = "decimal(38,0)"
 
 
@@ -91,42 +99,135 @@ def _disjoint(moves: DataFrame) -> DataFrame:
     return moves.join(most("label"), "label").join(most("target"), "target").where((rank == F.col("most_label")) & (rank == F.col("most_target"))).select(moves.columns)
 
 
+def _climb(own: list, edges: tuple[list, list], label: dict, total: dict, all_: int, parts: int) -> None:
+    """Sweeps over ``own`` (node, begin and end of its ``edges``, weight), each node to where it gains most, told by whole numbers.
+    ``label`` and ``total`` change; a move counts in the totals once for each of the ``parts``, as the others, dealt by hash, move
+    alike at the same time.  One part goes on until no node gains; several sweep ``SWEEPS`` times a round, as what they
+    know of each other grows old."""
+    to, w = edges
+    moved, sweep = 1, 0
+    while moved and (parts == 1 or sweep < SWEEPS):
+        moved, sweep = 0, sweep + 1
+        for node, i, j, k in own:
+            here = label[node]
+            near = {here: 0}
+            for n, x in zip(to[i:j], w[i:j]):
+                if n != node:
+                    c = label[n]
+                    near[c] = near.get(c, 0) + x
+            stays = near[here] * all_ - (total[here] - k) * k
+            worth, best = stays, here
+            for c, x in near.items():
+                value = x * all_ - total[c] * k
+                if c != here and (value > worth or value == worth and best != here and c > best):
+                    worth, best = value, c
+            if best != here:
+                label[node] = best
+                total[here] -= k * parts
+                total[best] += k * parts
+                moved += 1
+
+
+def _swept(rows: pd.DataFrame, all_: int, parts: int) -> pd.DataFrame:
+    """node, k and label after sweeps over the nodes ``a`` of a part, and in a row without node its share of the quality before.
+
+    ``rows``: the edges of these nodes with label and total of ``b``, and a row of each node with itself.  Nodes of other parts
+    stay as they are.
+    """
+    a, b = (rows[c].to_numpy() for c in "ab")
+    order = np.lexsort((b, a))
+    a, to, w, of, held = a[order], b[order].tolist(), rows["w"].to_numpy()[order].tolist(), rows["label"].to_numpy()[order].tolist(), rows["total"].to_numpy()[order].tolist()
+    label, total = dict(zip(to, of)), dict(zip(of, held))
+    edges = [0, *(np.flatnonzero(a[1:] != a[:-1]) + 1).tolist(), len(a)]
+    own = [(n, i, j, sum(w[i:j])) for n, i, j in zip(a[edges[:-1]].tolist(), edges, edges[1:])]
+    inside = sum(w[i] for n, i, j, _ in own for i in range(i, j) if of[i] == label[n])
+    quality = inside * all_ - sum(k * total[label[n]] for n, _, _, k in own)
+    _climb(own, (to, w), label, total, all_, parts)
+    columns = {"node": [n for n, *_ in own], "k": [k for *_, k in own], "label": [label[n] for n, *_ in own], "share": [None] * len(own)}
+    return pd.DataFrame({c: pd.Series([*v, Decimal(quality) if c == "share" else None], dtype=object) for c, v in columns.items()})
+
+
+def _step(rounds: Rounds, parts: DataFrame, labels: DataFrame, all_: int, n: int) -> tuple[DataFrame, int]:
+    """node, k and label that the parts' sweeps make of such ``labels``, and the quality before them."""
+    sums = labels.groupBy("label").agg(F.sum("k").alias("total"))
+    state = rounds.table(labels.join(sums, "label").select(F.col("node").alias("b"), "label", "total"))
+    kind = labels.schema["node"].dataType.simpleString()
+    met = parts.join(state, "b").repartition(4 * n, "part").groupBy("part").applyInPandas(lambda rows: _swept(rows, all_, n), f"node {kind}, k bigint, label {kind}, share {_BIG}")
+    swept = rounds.table(met)
+    quality = swept.agg(F.sum("share")).first()[0]
+    rounds.forget(state)
+    return swept.where("share is null").drop("share"), int(quality or 0)
+
+
+def _level(rounds: Rounds, graph: DataFrame, all_: int, least_gain: float) -> tuple[DataFrame | None, int]:
+    """node and label when no round gains any more, or None if none did; and their quality."""
+    n = max(1, -(-graph.count() // PART_EDGES))
+    of = graph.groupBy(F.col("a").alias("node")).agg(F.sum("w").alias("k"))
+    labels = rounds.table(of.select("node", "k", F.col("node").alias("label")))
+    selves = labels.select(F.col("node").alias("a"), F.col("node").alias("b"), F.lit(0).cast("long").alias("w"))
+    whole = graph.unionByName(selves).groupBy("a", "b").agg(F.sum("w").alias("w"))
+    parts = rounds.table(whole.select(F.pmod(F.xxhash64("a"), F.lit(n)).cast("int").alias("part"), "a", "b", "w"))
+    swept, quality = _step(rounds, parts, labels, all_, n)
+    moved, round_ = False, 0
+    while True:
+        round_ += 1
+        held, offered = labels, swept
+        to = offered.select("node", F.col("label").alias("target")).join(held.select("node", "label"), "node").where("label != target")
+        if to.isEmpty():  # no node gains by itself
+            break
+
+        def single() -> DataFrame:
+            now = held.select("node", "label")  # noqa: B023
+            return rounds.table(_moves(graph, now, _sums(graph, now), all_))
+
+        grown = False
+        for chosen in (None, lambda: _half(to, round_), lambda: _apart(graph, _half(single(), round_), round_), lambda: _disjoint(single())):  # noqa: B023
+            if chosen is None:
+                tried = offered
+            else:
+                tried = rounds.table(held.join(chosen().select("node", "target"), "node", "left").select("node", "k", F.coalesce("target", "label").alias("label")))
+            after, got = _step(rounds, parts, tried, all_, n)
+            if got > quality:
+                grown = True
+                break
+        if not grown:
+            break
+        gain, quality, labels, swept, moved = (got - quality) / all_**2, got, tried, after, True
+        if gain < least_gain:
+            break
+    rounds.forget(parts)
+    return (labels.select("node", "label") if moved else None), quality
+
+
+def _found(rounds: Rounds, edges: DataFrame, least_gain: float) -> tuple[DataFrame, float]:
+    """node and community, kept, and their modularity."""
+    graph = rounds.table(_undirected(edges))
+    all_ = graph.agg(F.sum("w")).first()[0] or 0
+    members = rounds.table(graph.select(F.col("a").alias("node")).distinct().withColumn("label", F.col("node")))
+    quality = 0
+    while all_:
+        labels, quality = _level(rounds, graph, all_, least_gain)
+        if labels is None:
+            break
+        up = labels.select(F.col("node").alias("held"), F.col("label").alias("above"))
+        higher = rounds.table(members.join(up, F.col("label") == F.col("held")).select("node", F.col("above").alias("label")))
+        of_a, of_b = (labels.select(F.col("node").alias(x), F.col("label").alias(f"label_{x}")) for x in "ab")
+        merged = rounds.table(graph.join(of_a, "a").join(of_b, "b").groupBy(F.col("label_a").alias("a"), F.col("label_b").alias("b")).agg(F.sum("w").alias("w")))
+        rounds.forget(graph, members)
+        graph, members = merged, higher
+    least = members.groupBy("label").agg(F.min("node").alias("community"))
+    found = rounds.keep(rounds.table(members.join(least, "label").select("node", "community")))
+    return found, quality / all_**2 if all_ else 0.0
+
+
 def louvain(edges: DataFrame, least_gain: float = LEAST_GAIN) -> DataFrame:
     """node and community (its least node) of an undirected weighted graph (src, dst, weight)."""
     with Rounds(edges.sparkSession, "louvain") as rounds:
-        graph = rounds.table(_undirected(edges))
-        all_ = graph.agg(F.sum("w")).first()[0] or 0
-        members = rounds.table(graph.select(F.col("a").alias("node")).distinct().withColumn("label", F.col("node")))
-        while True:
-            labels = rounds.table(graph.select(F.col("a").alias("node")).distinct().withColumn("label", F.col("node")))
-            begun = labels
-            sums = rounds.table(_sums(graph, labels))
-            quality, moved, round_ = _quality(sums, all_), False, 0
-            while True:
-                moves = rounds.table(_moves(graph, labels, sums, all_))
-                grown, round_ = False, round_ + 1
-                half = _half(moves, round_)
-                for chosen in (lambda: half, lambda: _apart(graph, half, round_), lambda: _disjoint(moves)):  # noqa: B023
-                    tried = rounds.table(labels.join(chosen().select("node", "target"), "node", "left").select("node", F.coalesce("target", "label").alias("label")))
-                    tried_sums = rounds.table(_sums(graph, tried))
-                    after = _quality(tried_sums, all_)
-                    if after > quality:
-                        grown = True
-                        break
-                    rounds.forget(tried, tried_sums)
-                rounds.forget(moves)
-                if not grown:
-                    break
-                rounds.forget(sums, None if labels is begun else labels)
-                gain, quality, labels, sums, moved = (after - quality) / all_**2, after, tried, tried_sums, True
-                if gain < least_gain:
-                    break
-            if not moved:
-                break
-            up = labels.select(F.col("node").alias("held"), F.col("label").alias("above"))
-            members = rounds.table(members.join(up, F.col("label") == F.col("held")).select("node", F.col("above").alias("label")))
-            of_a, of_b = (labels.select(F.col("node").alias(x), F.col("label").alias(f"label_{x}")) for x in "ab")
-            graph = rounds.table(graph.join(of_a, "a").join(of_b, "b").groupBy(F.col("label_a").alias("a"), F.col("label_b").alias("b")).agg(F.sum("w").alias("w")))
-        least = members.groupBy("label").agg(F.min("node").alias("community"))
-        found = rounds.keep(rounds.table(members.join(least, "label").select("node", "community")))
-    return found
+        return _found(rounds, edges, least_gain)[0]
+
+
+def rated(edges: DataFrame, least_gain: float = LEAST_GAIN) -> DataFrame:
+    """As ``louvain``, with the modularity of all communities (six places), which the rounds know."""
+    with Rounds(edges.sparkSession, "louvain") as rounds:
+        found, quality = _found(rounds, edges, least_gain)
+    return found.withColumn("modularity", F.lit(round(quality, 6)))

@@ -192,6 +192,23 @@ def test_moves_beat_label_propagation_on_the_trade(spark, sf):
     assert len({r.modularity for r in rows}) == 1 and rows[0].modularity > max(0.0, L.modularity(edges, G.communities(edges)))
 
 
+def test_parts_sweep_in_few_passes_and_tell_the_modularity(spark, monkeypatch):
+    """Four parts find the groups too, however rows are dealt out, in few passes over the edges; what is rated is their modularity."""
+    from sparkloom.operators import communities as L
+
+    rnd = random.Random(2)
+    edges = [(a, b, 1.0) for a in range(60) for b in range(a) if rnd.random() < (0.6 if a // 12 == b // 12 else 0.03)]
+    df = spark.createDataFrame(edges, "src bigint, dst bigint, weight double")
+    passes, step = [], L._step
+    monkeypatch.setattr(L, "PART_EDGES", len(edges) // 2)
+    monkeypatch.setattr(L, "_step", lambda *a: (passes.append(1), step(*a))[1])
+    rows = L.rated(df).collect()
+    found = {r.node: r.community for r in rows}
+    assert len(found) == 60 and all(found[a] == 12 * (a // 12) for a in range(60)) and len(passes) < 20
+    assert {r.modularity for r in rows} == {round(plain_modularity(edges, found), 6)}
+    assert {r.node: r.community for r in L.rated(df.repartition(7)).collect()} == found
+
+
 # --- reach
 
 
