@@ -247,6 +247,20 @@ def test_reach_is_exact_below_the_bound_and_near_above(spark):
     assert R.reach(df.limit(0)).collect() == []
 
 
+def test_reach_takes_over_the_sets_of_ends_alone(spark):
+    """In the round from eight hops to sixteen each node of a chain meets one set, not those of all eight; cycles and short cuts stay exact."""
+    from sparkloom.operators import reach as R
+
+    hops = [(i, list(range(i + 1, min(i + 9, 31))), [i + 8] if i < 23 else []) for i in range(30)]
+    sets = spark.createDataFrame(hops, "src bigint, within array<bigint>, ends array<bigint>")
+    got = {r.src: r for r in R._doubled(sets, 20, 2).collect()}
+    assert all(sorted(r.within) == list(range(i + 1, min(i + 17, 31))) and r.ends == ([i + 16] if i < 15 else []) for i, r in got.items()) and len(got) == 30
+    assert all(r.within is None for i, r in {r.src: r for r in R._doubled(sets, 15, 2).collect()}.items() if i < 15)
+    edges = [(0, 1), (1, 2), (2, 0), (2, 3), (3, 4), (0, 4), (4, 5), (5, 5)]
+    df = spark.createDataFrame(edges, "src bigint, dst bigint")
+    assert {r.node: r.reach for r in R.reach(df).collect()} == plain_reach(edges)
+
+
 # --- incremental analyzers
 
 
