@@ -13,8 +13,10 @@ refresh one version is taken, the greatest text; terms that no document has scor
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -23,6 +25,9 @@ from ..sources.states import StateTable
 
 BLOCK = 1024
 FANOUT = 4
+#: Words that a task groups at once, about, and tasks whose pieces of blocks meet.
+PIECE_ROWS = 2_000_000
+GATHER = 16
 K1, B = 1.2, 0.75
 
 
@@ -31,6 +36,23 @@ def words(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
 
 
+def _pieces(rows: pa.Table, block: int) -> Iterator[pa.RecordBatch]:
+    """The postings (doc, term, tf) of whole documents as pieces of blocks: term, docs and tfs."""
+    docs, terms = (rows[c].combine_chunks().dictionary_encode(null_encoding="encode") for c in ("doc", "term"))
+    code = terms.indices.to_numpy().astype(np.int64) * len(docs.dictionary) + docs.indices.to_numpy()
+    order = np.argsort(code, kind="stable")
+    first = np.flatnonzero(np.diff(code[order], prepend=-1))
+    tf = np.add.reduceat(rows["tf"].to_numpy()[order], first)
+    term, doc = np.divmod(code[order][first], len(docs.dictionary))
+    starts = np.flatnonzero(np.diff(term, prepend=-1))
+    sizes = np.diff([*starts, len(term)])
+    # A piece begins with a term and after each ``block`` of its postings.
+    begins = np.flatnonzero((np.arange(len(term)) - np.repeat(starts, sizes)) % block == 0)
+    cuts = pa.array([*begins, len(term)], pa.int32())
+    made = [terms.dictionary.take(pa.array(term[begins])), pa.ListArray.from_arrays(cuts, docs.dictionary.take(pa.array(doc))), pa.ListArray.from_arrays(cuts, pa.array(tf, pa.int64()))]
+    yield from pa.Table.from_arrays(made, ["term", "docs", "tfs"]).to_batches(max_chunksize=10_000)
+
+
 class TextIndex:
     """An index at ``path``.  ``stem``: what makes terms of words (a column expression), the same for every refresh and search."""
 
@@ -45,9 +67,8 @@ class TextIndex:
         """Brings in new and changed documents, and takes out those of ``gone`` (``id_``)."""
         number = self.segments.batch + 1
         docs = changed.groupBy(F.col(id_).alias("doc")).agg(F.max(text).alias("text"))
-        terms = docs.select("doc", F.explode(words(F.col("text"))).alias("word")).groupBy("doc", "word").agg(F.count("*").alias("n"))
-        postings = terms.select("doc", self.stem(F.col("word")).alias("term"), "n").groupBy("doc", "term").agg(F.sum("n").alias("tf"))
-        self._write(postings, number)
+        terms = docs.select("doc", F.explode(words(F.col("text"))).alias("word"))
+        self._write(terms.select("doc", self.stem(F.col("word")).alias("term"), F.lit(1).cast("long").alias("tf")), number)
         held = self._blocks(number)
         lengths = held.select(F.explode(F.arrays_zip("docs", "tfs")).alias("p")).groupBy(F.col("p.docs").alias("doc")).agg(F.sum("p.tfs").alias("length"))
         rows = docs.select("doc").join(lengths, "doc", "left").select("doc", F.lit(number).cast("long").alias("segment"), F.coalesce("length", F.lit(0)).cast("long").alias("length"))
@@ -62,11 +83,38 @@ class TextIndex:
         self._merge_segments()
 
     def _write(self, postings: DataFrame, number: int) -> None:
-        """Blocks of (doc, term, tf) as the segment ``number``."""
-        many = postings.groupBy("term").agg(F.ceil(F.count("*") / BLOCK).alias("blocks"))
-        dealt = postings.join(many, "term").withColumn("block", F.pmod(F.xxhash64("doc"), F.col("blocks")))
-        blocks = dealt.groupBy("term", "block").agg(F.collect_list(F.struct("doc", "tf")).alias("p")).select("term", F.col("p.doc").alias("docs"), F.col("p.tf").alias("tfs"))
-        blocks.repartitionByRange("term").sortWithinPartitions("term").write.mode("overwrite").parquet(f"{self.path}/s={number}")
+        """Blocks of (doc, term, tf) as the segment ``number``; what a document has of a term is summed, its rows stand together.
+
+        A task makes pieces of blocks where the postings are; pieces that aren't full meet by term, those of ``GATHER`` tasks in
+        one group, so that neither rows nor groups grow with the documents.
+        """
+        kind, block, most = postings.schema["doc"].dataType.simpleString(), BLOCK, PIECE_ROWS
+        lists = f"docs array<{kind}>, tfs array<bigint>"
+
+        def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            held, n = [], 0
+            for batch in batches:
+                held.append(batch)
+                n += len(batch)
+                if n >= most:
+                    # Up to where the last document begins, which may go on.
+                    rows = pa.Table.from_batches(held).combine_chunks()
+                    codes = rows["doc"].combine_chunks().dictionary_encode(null_encoding="encode").indices.to_numpy()
+                    end = int((np.flatnonzero(codes != codes[-1])[-1:] + 1).sum())
+                    if end:
+                        yield from _pieces(rows.slice(0, end), block)
+                    held = rows.slice(end).to_batches()
+                    n = len(rows) - end
+            if n:
+                yield from _pieces(pa.Table.from_batches(held), block)
+
+        made = postings.select("doc", "term", "tf").mapInArrow(pieces, f"term string, {lists}")
+        full = F.size("docs") >= BLOCK
+        group = F.when(full, F.monotonically_increasing_id()).otherwise(-1 - F.floor(F.spark_partition_id() / GATHER))
+        met = made.withColumn("block", group).groupBy("term", "block").agg(*(F.flatten(F.collect_list(F.struct("docs", "tfs"))[c]).alias(c) for c in ("docs", "tfs")))
+        parts = F.explode(F.sequence(F.lit(1), F.size("docs"), F.lit(BLOCK)))
+        cut = met.select("term", "docs", "tfs", parts.alias("at")).select("term", *(F.slice(c, F.col("at"), F.lit(BLOCK)).alias(c) for c in ("docs", "tfs")))
+        cut.sortWithinPartitions("term").write.mode("overwrite").parquet(f"{self.path}/s={number}")
 
     def _blocks(self, number: int) -> DataFrame:
         return self.spark.read.parquet(f"{self.path}/s={number}")
@@ -82,7 +130,9 @@ class TextIndex:
         for s in segments:
             rows = of(self._blocks(s)).select("term", F.explode(F.arrays_zip("docs", "tfs")).alias("p")).select("term", F.col("p.docs").alias("doc"), F.col("p.tfs").alias("tf"), F.lit(s).cast("long").alias("segment"))
             out = rows if out is None else out.unionByName(rows)
-        return out.join(self.documents.read().select("doc", "segment", "length"), ["doc", "segment"])
+        # By document alone, which has one entry: scores of a document are then summed where its postings are.
+        held = self.documents.read().select("doc", F.col("segment").alias("now"), "length")
+        return out.join(held, "doc").where("segment = now").drop("now")
 
     def _merge_segments(self) -> None:
         """Where ``FANOUT`` segments are of one size class, they become one; their documents are said to be in it."""
@@ -93,7 +143,7 @@ class TextIndex:
         for tier in sorted(tiers):
             if len(tiers[tier]) >= FANOUT:
                 old, number = sorted(tiers[tier]), self.segments.batch + 1
-                self._write(self._live(old).select("doc", "term", "tf"), number)
+                self._write(self._live(old).select("doc", "term", "tf").repartition("doc").sortWithinPartitions("doc"), number)
                 moved = self.documents.read().withColumn("segment", F.when(F.col("segment").isin(old), number).otherwise(F.col("segment")))
                 self.documents.replace(moved.where("segment >= 0"), number, 0)
                 postings = self._blocks(number).agg(F.coalesce(F.sum(F.size("docs")), F.lit(0)).cast("long").alias("postings")).withColumn("segment", F.lit(number).cast("long"))

@@ -60,6 +60,15 @@ def test_reads_touch_only_the_terms(spark, tmp_path):
     assert empty.search(spark.createDataFrame([(0, "x")], "query int, word string")).collect() == []
 
 
+def test_pieces_are_made_where_the_postings_are():
+    """Words of whole documents become pieces of blocks inside a task: counts summed, no piece over the block, none of two terms."""
+    import pyarrow as pa
+
+    rows = pa.table({"doc": pa.array([1, 1, 1, 2, 3, 3, 9]), "term": ["b", "a", "b", "b", "b", "c", "b"], "tf": pa.array([1, 1, 1, 1, 1, 2, 1], pa.int64())})
+    got = [r for batch in T._pieces(rows, 2) for r in batch.to_pylist()]
+    assert sorted((r["term"], tuple(zip(r["docs"], r["tfs"]))) for r in got) == [("a", ((1, 1),)), ("b", ((1, 2), (2, 1))), ("b", ((3, 1), (9, 1))), ("c", ((3, 2),))]
+
+
 def test_known_stems():
     known = {
         "caresses": "caress", "ponies": "poni", "ties": "ti", "caress": "caress", "cats": "cat", "feed": "feed", "agreed": "agre", "plastered": "plaster", "bled": "bled", "motoring": "motor", "sing": "sing",
