@@ -4,9 +4,12 @@ Every vector stands in the list of its nearest centre, and what it differs from
 subspace.  The index is a Parquet table sorted by list; its rows are
 blocks of up to ``BLOCK`` vectors, so that a list which holds a third of all vectors is many rows, not one group.
 
-A block also holds its vectors.  A search joins blocks of queries with the blocks of the lists that they probe, picks candidates
-inside a task by tables of partial distances, and compares those right there by all their values; only the best few of a query and
-block leave the task.  Queries are rows, too: nothing but the centres and the codebooks, whose size is a parameter, is sent around.
+A block also holds its vectors.  A search deals the lists to few parts of bounded size, lists that are near one another to the same
+one, and sends a query once to each part that holds a list it probes, not once to each list.  A part with many queries is sliced:
+each slice, one task, gets the part's blocks and a share of its queries.  It picks candidates of each block by tables of partial
+distances and compares them by all their values; only the best few of a query leave it.  So what is shuffled are the
+queries times the parts and the blocks times the slices, both about constant.  Queries are rows, too: nothing but the centres and
+the codebooks, whose size is a parameter, and one row a part is sent around.
 
 ``search`` is approximate.  ``exact_search`` takes its answer as a bound.  Blocks of queries, in the order of lists, and blocks of
 vectors are read in pairs from their tables, without a shuffle; pairs are left out whose list no query of the block can reach by
@@ -28,6 +31,7 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -39,6 +43,13 @@ LISTS = 4096
 CODE_BYTES = 16
 BLOCK = 4096
 QUERY_BLOCK = 256
+#: Parts of a search at least, and bytes of a part's vectors as doubles, about.
+PARTS = 5
+PART_BYTES = 64 << 20
+#: Tasks of a search, about, as long as none gets more than ``SLICE`` queries, and queries that are answered at once.
+TASKS = 24
+SLICE = 1 << 18
+HELD = 4096
 #: Queries that an exact search compares with a block at once.
 EXACT_BLOCK = 1024
 ROUNDS = 15
@@ -216,27 +227,34 @@ def _ranked(found: DataFrame, k: int) -> DataFrame:
     return found.where(~F.col("query").eqNullSafe(F.col("id"))).withColumn("rank", F.row_number().over(order).cast("long")).where(F.col("rank") <= k)
 
 
-def _probed(asked: DataFrame, model: Model, kind: str, probes: int) -> DataFrame:
-    """id, v and list: each query with the lists that are nearest."""
-    shared = asked.sparkSession.sparkContext.broadcast(model)
+def _parts(centres: np.ndarray, rows: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """First part and number of parts of each list: lists are halved between two means until ``n`` parts have about as many rows.
 
-    def near(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        m = shared.value
-        for frame in frames:
-            frame = frame[frame["v"].map(len) == m.size]
-            if len(frame):
-                yield frame.assign(lists=m.lists(_unit(frame["v"], m.size), probes).tolist())
-
-    vector = asked.schema["v"].dataType.simpleString()
-    return asked.mapInPandas(near, f"id {kind}, v {vector}, lists array<int>").select("id", "v", F.explode("lists").alias("list"))
-
-
-def _asked(probed: DataFrame) -> DataFrame:
-    """Blocks of queries (``qs``: id and v) by the list that they probe."""
-    # Dealt by list and hash into groups of about QUERY_BLOCK, so that a list that all queries probe is many rows.
-    n = probed.groupBy("list").agg(F.ceil(F.count("*") / QUERY_BLOCK).alias("parts"))  # one row a list
-    dealt = probed.join(F.broadcast(n), "list").withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")))
-    return dealt.groupBy("list", "part").agg(F.collect_list(F.struct("id", "v")).alias("qs")).drop("part")
+    A list of more rows has several parts, over which its blocks are dealt; a list without rows has none.
+    """
+    first, shares = np.zeros(len(rows), int), np.zeros(len(rows), int)
+    todo, begin = [(np.flatnonzero(rows), n)], 0
+    while todo:
+        at, n = todo.pop()
+        if n == 1 or len(at) < 2:
+            first[at], shares[at] = begin, n
+            begin += n
+            continue
+        one, two = k_means(centres[at], 2)
+        at = at[np.argsort(centres[at] @ (two - one), kind="stable")]
+        sums = np.cumsum(rows[at])
+        cut = 1 + int(np.abs(sums[:-1] - sums[-1] / 2).argmin())
+        left = int(np.clip(np.rint(n * sums[cut - 1] / sums[-1]), 1, n - 1))
+        todo += [(at[:cut], left), (at[cut:], n - left)]
+    return first, shares
+
+
+def _met(lists: np.ndarray, first: np.ndarray, shares: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Part, row and list of each probe (``lists``: a row each) and part of its list."""
+    row, probed = np.repeat(np.arange(len(lists)), lists.shape[1]), lists.ravel()
+    n = shares[probed]
+    part = np.repeat(first[probed] - np.cumsum(n) + n, n) + np.arange(n.sum())
+    return part, np.repeat(row, n), np.repeat(probed, n)
 
 
 def search(index: DataFrame, model: Model, vectors: DataFrame, queries: DataFrame, id_: str, vector: str, k: int, probes: int = 16, keep: int | None = None) -> DataFrame:
@@ -245,32 +263,110 @@ def search(index: DataFrame, model: Model, vectors: DataFrame, queries: DataFram
     ``probes``: lists looked at; ``keep``: candidates of a query in a block that are compared exactly (ten times k by default).
     """
     kind, keep = vectors.schema[id_].dataType.simpleString(), keep or 10 * (k + 1)
-    shared = index.sparkSession.sparkContext.broadcast(model)
+    spark, asked, size = index.sparkSession, _usable(queries, id_, vector), model.size
+    held = index.groupBy("list").agg(F.sum(F.size("ids")).alias("n")).toPandas()  # one row a list
+    rows = np.zeros(len(model.centres), int)
+    rows[held["list"].to_numpy()] = held["n"].to_numpy()
+    parts = max(PARTS, -(-int(rows.sum()) * 8 * size // PART_BYTES))
+    first, shares = _parts(model.centres, rows, parts)
+    code = np.dtype("<u2" if len(model.centres) <= 1 << 16 else "<i4")
+    shared = spark.sparkContext.broadcast(model)
 
-    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = shared.value
+    def probed(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
         for batch in batches:
-            for row in range(batch.num_rows):
-                one = {n: batch.column(i)[row] for i, n in enumerate(batch.schema.names)}
-                ids, qs = one["ids"].values, one["qs"].values
-                raw = qs.field("v").flatten().to_numpy().reshape(-1, m.size).astype(float)
-                codes = np.frombuffer(one["codes"].as_buffer(), np.uint8).reshape(len(ids), -1)
-                held = _floats(one["vectors"].as_buffer(), len(ids), m.size)
+            batch = batch.filter(pc.equal(pc.list_value_length(batch.column("v")), size))
+            if len(batch):
+                raw = batch.column("v").flatten().to_numpy().reshape(-1, size)
+                unit = raw.astype(float)
+                yield batch, raw, shared.value.lists(unit / np.linalg.norm(unit, axis=1, keepdims=True), probes)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, _, lists in probed(batches):
+            part, row, of = _met(lists, first, shares)
+            n = np.bincount(np.unique(part * len(lists) + row) // len(lists), minlength=parts)
+            work = np.bincount(part, (rows / np.maximum(shares, 1))[of], minlength=parts)
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(parts)), pa.array(n), pa.array(work)], ["part", "n", "work"])
+
+    of_part = asked.select("v").mapInArrow(count, "part long, n long, work double").groupBy("part").agg(F.sum("n").alias("n"), F.sum("work").alias("work")).toPandas()  # one row a part
+    slices = np.ones(parts, int)
+    if len(of_part):
+        share = of_part["work"] / max(1.0, of_part["work"].sum())
+        slices[of_part["part"].to_numpy()] = np.maximum(1, np.maximum(np.ceil(of_part["n"] / SLICE), np.rint(TASKS * share)))
+    begin = np.cumsum(slices) - slices
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, raw, lists in probed(batches):
+            part, row, _ = _met(lists, first, shares)
+            part, row = np.divmod(np.unique(part * len(lists) + row), len(lists))
+            task = begin[part] + batch.column("dealt").to_numpy()[row] % slices[part]
+            order = np.argsort(task, kind="stable")
+            task, row = task[order], row[order]
+            edges = [0, *(np.flatnonzero(np.diff(task)) + 1).tolist(), len(task)]
+            for a, b in zip(edges, edges[1:]):
+                for at in (row[c : min(b, c + QUERY_BLOCK)] for c in range(a, b, QUERY_BLOCK)):
+                    ids = pa.ListArray.from_arrays(pa.array([0, len(at)], pa.int32()), batch.column("id").take(pa.array(at)))
+                    codes, held = (pa.array([x.tobytes()], pa.binary()) for x in (lists[at].astype(code), raw[at]))
+                    yield pa.RecordBatch.from_arrays([pa.array([task[a]], pa.int32()), pa.nulls(1, pa.int32()), ids, codes, held], ["task", "list", "ids", "codes", "vectors"])
+
+    def answer(blocks: list[dict], asked: list[dict]) -> pa.RecordBatch:
+        m = shared.value
+        names, ids = (pa.concat_arrays([one["ids"] for one in of]) for of in (asked, blocks))
+        raw = np.concatenate([_floats(one["vectors"], len(one["ids"]), size) for one in asked])
+        lists = np.concatenate([np.frombuffer(one["codes"], code).reshape(len(one["ids"]), -1) for one in asked])
+        got, start = [], 0
+        for one in blocks:
+            n = len(one["ids"])
+            mine = np.flatnonzero((lists == one["list"]).any(axis=1))
+            codes, held = np.frombuffer(one["codes"], np.uint8).reshape(n, -1), _floats(one["vectors"], n, size)
+            squares = (held * held).sum(axis=1)
+            for of in (mine[c : c + QUERY_BLOCK] for c in range(0, len(mine), QUERY_BLOCK)):
+                v = raw[of]
                 # One more than k, as a query may meet itself; candidates in the order of ids, which ties go by.
-                if keep < len(ids):
-                    far = m.distances(raw / np.linalg.norm(raw, axis=1, keepdims=True), one["list"].as_py(), codes)
+                if keep < n:
+                    far = m.distances(v / np.linalg.norm(v, axis=1, keepdims=True), one["list"], codes)
                     near = np.sort(np.argpartition(far, keep - 1, axis=1)[:, :keep], axis=1)
                 else:
-                    near = np.tile(np.arange(len(ids)), (len(raw), 1))
-                squares = (held * held).sum(axis=1)
-                dots = np.stack([held[at] @ v for at, v in zip(near, raw)])
-                similarity = _similarity(dots, (raw * raw).sum(axis=1)[:, None] * squares[near])
-                q, at = _best(similarity, k + 1, np.full(len(raw), -2.0))
-                yield _found(qs.field("id"), ids, q, near[q, at], similarity[q, at])
-
-    asked = _asked(_probed(_usable(queries, id_, vector), model, kind, probes))
-    found = index.join(asked, "list").select("list", "ids", "codes", "vectors", "qs").mapInArrow(compare, f"query {kind}, id {kind}, similarity double")
-    return _ranked(found, k)
+                    near = np.tile(np.arange(n), (len(v), 1))
+                dots = np.stack([held[at] @ x for at, x in zip(near, v)])
+                similarity = _similarity(dots, (v * v).sum(axis=1)[:, None] * squares[near])
+                q, at = _best(similarity, k + 1, np.full(len(v), -2.0))
+                got.append((of[q], start + near[q, at], similarity[q, at]))
+            start += n
+        q, at, similarity = (np.concatenate(of) if got else np.zeros(0, int) for of in (zip(*got) if got else [()] * 3))
+        place = np.empty(len(ids), int)
+        place[pc.sort_indices(ids).to_numpy()] = np.arange(len(ids))
+        order = np.lexsort((place[at], -similarity, q))
+        order = order[~pc.equal(names.take(pa.array(q[order])), ids.take(pa.array(at[order]))).fill_null(False).to_numpy(zero_copy_only=False)]
+        few = order[np.arange(len(order)) - np.searchsorted(q[order], q[order]) < k]
+        return _found(names, ids, q[few], at[few], similarity[few])
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, blocks, asked = None, [], []
+        for batch in batches:
+            for row in range(batch.num_rows):
+                task, list_, ids, codes, vectors = (column[row] for column in batch.columns)
+                one = {"list": list_.as_py(), "ids": ids.values, "codes": codes.as_buffer(), "vectors": vectors.as_buffer()}
+                if asked and (task.as_py() != now or sum(len(x["ids"]) for x in asked) >= HELD):
+                    yield answer(blocks, asked)
+                    asked = []
+                if task.as_py() != now:
+                    now, blocks = task.as_py(), []
+                if one["list"] is not None:
+                    blocks.append(one)
+                elif blocks:
+                    asked.append(one)
+        if asked:
+            yield answer(blocks, asked)
+
+    # The tasks of each list's blocks, by the block's part.
+    tasks = [[np.arange(begin[p], begin[p] + slices[p]).tolist() for p in range(first[x], first[x] + shares[x])] for x in np.flatnonzero(rows)]
+    to = spark.createDataFrame(list(zip(np.flatnonzero(rows).tolist(), tasks)), "list int, parts array<array<int>>")
+    dealt = index.join(F.broadcast(to), "list").withColumn("part", F.pmod(F.xxhash64(F.col("ids")[0]), F.size("parts")).cast("int"))
+    blocks = dealt.select(F.explode(F.col("parts")[F.col("part")]).alias("task"), "list", "ids", "codes", "vectors")
+    pieces = asked.withColumn("dealt", F.pmod(F.xxhash64("id"), F.lit(1 << 30))).mapInArrow(deal, f"task int, list int, ids array<{kind}>, codes binary, vectors binary")
+    # Blocks come before queries, so that a task holds its blocks only.
+    met = blocks.unionByName(pieces).repartitionById(int(slices.sum()), "task").sortWithinPartitions("task", F.col("list").isNull())
+    return _ranked(met.mapInArrow(compare, f"query {kind}, id {kind}, similarity double"), k)
 
 
 def exact_search(index: DataFrame, model: Model, vectors: DataFrame, queries: DataFrame, id_: str, vector: str, k: int, probes: int = 16, rounds: Rounds | None = None) -> DataFrame:

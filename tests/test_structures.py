@@ -141,6 +141,59 @@ def test_ties_and_copies_leave_no_more_than_k_rows(spark, tmp_path):
     assert {(r["query"], r.id, r["rank"]) for r in exact.where("query % 50 = 0").collect()} == brute(m.astype(float), list(range(2400)), asked, 5)
 
 
+def test_lists_are_dealt_to_about_equal_parts():
+    """A list with most rows has several parts, one without rows none; every part has lists."""
+    rng = np.random.default_rng(4)
+    centres, rows = rng.normal(size=(60, 8)), rng.integers(1, 50, 60)
+    rows[[7, 9]] = 0, 4 * rows.sum()
+    first, shares = V._parts(centres, rows, 20)
+    assert shares[7] == 0 and 14 <= shares[9] <= 17 and (np.delete(shares, [7, 9]) == 1).all()
+    of = np.zeros(20)
+    for a, n, r in zip(first, shares, rows):
+        of[a : a + n] += r / max(1, n)
+    assert round(of.sum()) == rows.sum() and of.max() <= 2 * rows.sum() / 20 and of.min() > 0
+    part, row, of_list = V._met(np.array([[9, 3], [7, 3]]), first, shares)
+    assert sorted(zip(part, row, of_list)) == sorted([(p, 0, 9) for p in range(first[9], first[9] + shares[9])] + [(first[3], 0, 3), (first[3], 1, 3)])
+
+
+def exchanged(df):
+    """Bytes that the exchanges of a collected DataFrame wrote, before they were compressed."""
+    plan, total = df._jdf.queryExecution().executedPlan(), 0
+    todo = [plan.finalPhysicalPlan() if "AdaptiveSparkPlan" in plan.nodeName() else plan]
+    while todo:
+        node = todo.pop()
+        if node.nodeName() == "Exchange":
+            total += node.metrics().apply("dataSize").value()
+        kids = node.children()
+        todo += [kids.apply(i) for i in range(kids.size())] + ([node.plan()] if "QueryStage" in node.nodeName() else [])
+    return total
+
+
+def test_a_query_goes_to_parts_not_to_lists(spark, tmp_path):
+    """What a search shuffles are few copies of queries and blocks, not one a list that is probed."""
+    m = np.random.default_rng(6).normal(size=(1500, 256))
+    vectors = spark.createDataFrame(list(enumerate(m.tolist())), "id bigint, v array<double>").cache()
+    model = V.fit(vectors, "id", "v")
+    found = V.search(V.build(vectors, "id", "v", model, str(tmp_path / "index")), model, vectors, vectors, "id", "v", 5)
+    assert len(found.collect()) == 5 * len(m)
+    # Parts of each query and tasks of each block, and two copies for what is found and the rest of a row.
+    assert 0 < exchanged(found) < (5 + 24 / 5 + 2) * m.nbytes
+
+
+def test_parts_slices_and_pieces_do_not_change_what_is_found(spark, indexed, monkeypatch):
+    """Many small parts, tasks and pieces find what one does, copies that tie and strings as ids included."""
+    vectors, model, index, m, ids = indexed
+    found = {}
+    for parts, tasks, slice_, held in ((1, 1, 1 << 18, 1 << 12), (9, 30, 200, 64)):
+        for name, value in (("PARTS", parts), ("TASKS", tasks), ("SLICE", slice_), ("HELD", held)):
+            monkeypatch.setattr(V, name, value)
+        found[parts] = sorted(map(tuple, V.search(index, model, vectors, vectors, "id", "v", 5).collect()))
+    assert found[1] == found[9] and len(found[1]) == 5 * len(ids)
+    named = vectors.select(F.format_string("v%05d", "id").alias("id"), "v")
+    texts = index.withColumn("ids", F.transform("ids", lambda i: F.format_string("v%05d", i)))
+    assert [(int(r["query"][1:]), int(r.id[1:]), r.similarity, r["rank"]) for r in V.search(texts, model, named, named, "id", "v", 5).orderBy("query", "rank").collect()] == sorted(found[9], key=lambda r: (r[0], r[3]))
+
+
 def test_nothing_to_index(spark, tmp_path):
     none = spark.createDataFrame([(1, None)], "id bigint, v array<double>")
     model = V.fit(none, "id", "v")
