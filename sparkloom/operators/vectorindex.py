@@ -6,8 +6,8 @@ blocks of up to ``BLOCK`` vectors, so that a list which holds a third of all vec
 
 A block also holds its vectors.  A search deals the lists to few parts of bounded size, lists that are near one another to the same
 one, and sends a query once to each part that holds a list it probes, not once to each list.  A part with many queries is sliced:
-each slice, one task, gets the part's blocks and a share of its queries.  It picks candidates of each block by tables of partial
-distances and compares them by all their values; only the best few of a query leave it.  So what is shuffled are the
+each slice, one task, gets the part's blocks and a share of its queries.  It picks candidates of each large block by tables of
+partial distances and compares them by all their values, as it does all of a small block; only the best few of a query leave it.  So what is shuffled are the
 queries times the parts and the blocks times the slices, both about constant.  Queries are rows, too: nothing but the centres and
 the codebooks, whose size is a parameter, and one row a part is sent around.
 
@@ -16,7 +16,8 @@ vectors are read in pairs from their tables, without a shuffle; pairs are left o
 the triangle inequality, and of the others only what reaches the bound leaves the task, ``k`` of a query and block at most.  So the
 comparisons may grow with the square of the rows, but neither disk nor memory does.
 
-Centres and codebooks are fitted on ``SAMPLE`` vectors at most, those with the least hashes of their ids.
+Centres and codebooks are fitted on ``SAMPLE`` vectors at most, those with the least hashes of their ids.  How many lists a search
+probes is learned from them, too: so many that they hold ``HELD_NEAR`` of the neighbours within the sample.
 
 Defined results: similarities are rounded to six places, ties go to the smaller id; a vector is no neighbour of itself (of
 rows with its id); vectors that are null, of another size than the first ones, or without length are similar to nothing and
@@ -53,6 +54,12 @@ HELD = 4096
 #: Queries that an exact search compares with a block at once.
 EXACT_BLOCK = 1024
 ROUNDS = 15
+#: Share of a sample's neighbours that the probed lists hold, the number of neighbours, and of vectors that they are sought for.
+HELD_NEAR = 0.95
+NEAR = 5
+ASKED = 256
+#: Blocks of up to so many times the candidates are compared whole, as one product of matrices costs less than the tables.
+WHOLE = 16
 _SLACK = 2e-6
 
 
@@ -63,6 +70,8 @@ class Model:
     centres: np.ndarray
     codebooks: np.ndarray
     size: int
+    #: Lists that a search looks at.
+    probes: int = 16
 
     def lists(self, unit: np.ndarray, n: int = 1) -> np.ndarray:
         """The ``n`` lists whose centres are nearest, nearest first."""
@@ -138,7 +147,18 @@ def fit(vectors: DataFrame, id_: str, vector: str, lists: int | None = None, cod
     centres = k_means(unit, min(lists or max(1, min(LISTS, round(total**0.5))), len(unit)))
     rest = _split(unit - centres[_squared(unit, centres).argmin(axis=1)], min(code_bytes, size))
     books = np.stack([k_means(rest[:, s], min(256, len(unit))) for s in range(rest.shape[1])])
-    return Model(centres, books, size)
+    return Model(centres, books, size, _probes(unit, centres))
+
+
+def _probes(unit: np.ndarray, centres: np.ndarray) -> int:
+    """How many of the nearest lists hold ``HELD_NEAR`` of the neighbours that ``ASKED`` vectors have in the sample; 16 at least."""
+    of = np.unique(np.linspace(0, len(unit) - 1, ASKED).astype(int))
+    similar = unit[of] @ unit.T
+    similar[np.arange(len(of)), of] = -2.0
+    near = np.argsort(-similar, axis=1, kind="stable")[:, : min(NEAR, len(unit) - 1)]
+    rank = _squared(unit[of], centres).argsort(axis=1, kind="stable").argsort(axis=1)
+    home = _squared(unit, centres).argmin(axis=1)
+    return max(16, 1 + int(np.quantile(np.take_along_axis(rank, home[near], axis=1), HELD_NEAR, method="higher"))) if near.size else 16
 
 
 def build(vectors: DataFrame, id_: str, vector: str, model: Model, path: str) -> DataFrame:
@@ -257,31 +277,35 @@ def _met(lists: np.ndarray, first: np.ndarray, shares: np.ndarray) -> tuple[np.n
     return part, np.repeat(row, n), np.repeat(probed, n)
 
 
-def search(index: DataFrame, model: Model, vectors: DataFrame, queries: DataFrame, id_: str, vector: str, k: int, probes: int = 16, keep: int | None = None) -> DataFrame:
+def search(index: DataFrame, model: Model, vectors: DataFrame, queries: DataFrame, id_: str, vector: str, k: int, probes: int | None = None, keep: int | None = None) -> DataFrame:
     """``query``, ``id``, ``similarity`` and ``rank``: of each row of ``queries`` about the ``k`` most similar of the indexed ``vectors``; ids are unique.
 
-    ``probes``: lists looked at; ``keep``: candidates of a query in a block that are compared exactly (ten times k by default).
+    ``probes``: lists looked at (by default as many as the model's sample asks for); ``keep``: candidates of a query in a block that are compared exactly (ten times k by default).
     """
     kind, keep = vectors.schema[id_].dataType.simpleString(), keep or 10 * (k + 1)
+    probes = probes or model.probes
     spark, asked, size = index.sparkSession, _usable(queries, id_, vector), model.size
     held = index.groupBy("list").agg(F.sum(F.size("ids")).alias("n")).toPandas()  # one row a list
     rows = np.zeros(len(model.centres), int)
     rows[held["list"].to_numpy()] = held["n"].to_numpy()
     parts = max(PARTS, -(-int(rows.sum()) * 8 * size // PART_BYTES))
     first, shares = _parts(model.centres, rows, parts)
-    code = np.dtype("<u2" if len(model.centres) <= 1 << 16 else "<i4")
     shared = spark.sparkContext.broadcast(model)
 
-    def probed(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
+    def probed(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray, np.ndarray]]:
+        m = shared.value
         for batch in batches:
             batch = batch.filter(pc.equal(pc.list_value_length(batch.column("v")), size))
             if len(batch):
                 raw = batch.column("v").flatten().to_numpy().reshape(-1, size)
                 unit = raw.astype(float)
-                yield batch, raw, shared.value.lists(unit / np.linalg.norm(unit, axis=1, keepdims=True), probes)
+                unit /= np.linalg.norm(unit, axis=1, keepdims=True)
+                lists = m.lists(unit, probes)
+                # How far the last list is tells a task which ones are probed.
+                yield batch, raw, lists, ((unit - m.centres[lists[:, -1]]) ** 2).sum(axis=1) + 1e-9
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, _, lists in probed(batches):
+        for _, _, lists, _ in probed(batches):
             part, row, of = _met(lists, first, shares)
             n = np.bincount(np.unique(part * len(lists) + row) // len(lists), minlength=parts)
             work = np.bincount(part, (rows / np.maximum(shares, 1))[of], minlength=parts)
@@ -295,7 +319,7 @@ def search(index: DataFrame, model: Model, vectors: DataFrame, queries: DataFram
     begin = np.cumsum(slices) - slices
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, raw, lists in probed(batches):
+        for batch, raw, lists, reach in probed(batches):
             part, row, _ = _met(lists, first, shares)
             part, row = np.divmod(np.unique(part * len(lists) + row), len(lists))
             task = begin[part] + batch.column("dealt").to_numpy()[row] % slices[part]
@@ -305,37 +329,56 @@ def search(index: DataFrame, model: Model, vectors: DataFrame, queries: DataFram
             for a, b in zip(edges, edges[1:]):
                 for at in (row[c : min(b, c + QUERY_BLOCK)] for c in range(a, b, QUERY_BLOCK)):
                     ids = pa.ListArray.from_arrays(pa.array([0, len(at)], pa.int32()), batch.column("id").take(pa.array(at)))
-                    codes, held = (pa.array([x.tobytes()], pa.binary()) for x in (lists[at].astype(code), raw[at]))
+                    codes, held = (pa.array([x.tobytes()], pa.binary()) for x in (reach[at], raw[at]))
                     yield pa.RecordBatch.from_arrays([pa.array([task[a]], pa.int32()), pa.nulls(1, pa.int32()), ids, codes, held], ["task", "list", "ids", "codes", "vectors"])
 
     def answer(blocks: list[dict], asked: list[dict]) -> pa.RecordBatch:
         m = shared.value
         names, ids = (pa.concat_arrays([one["ids"] for one in of]) for of in (asked, blocks))
         raw = np.concatenate([_floats(one["vectors"], len(one["ids"]), size) for one in asked])
-        lists = np.concatenate([np.frombuffer(one["codes"], code).reshape(len(one["ids"]), -1) for one in asked])
-        got, start = [], 0
-        for one in blocks:
+        reach = np.concatenate([np.frombuffer(one["codes"]) for one in asked])
+        place = np.empty(len(ids), int)
+        place[pc.sort_indices(ids).to_numpy()] = np.arange(len(ids))
+
+        def first(q: np.ndarray, at: np.ndarray, similarity: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+            """The ``k`` and one best of each query, as it may meet itself; from now on no less is looked at."""
+            order = np.lexsort((place[at], -similarity, q))
+            rank = np.arange(len(order)) - np.searchsorted(q[order], q[order])
+            last = order[rank == k]
+            least[q[last]] = np.maximum(least[q[last]], similarity[last])
+            order = order[rank <= k]
+            return q[order], at[order], similarity[order]
+
+        least, lengths = np.full(len(raw), -2.0), (raw * raw).sum(axis=1)
+        probed = _squared(raw / np.sqrt(lengths)[:, None], m.centres[[one["list"] for one in blocks]]) <= reach[:, None]
+        got, start = [(np.zeros(0, int), np.zeros(0, int), np.zeros(0))], 0
+        for one, of_block in zip(blocks, probed.T):
             n = len(one["ids"])
-            mine = np.flatnonzero((lists == one["list"]).any(axis=1))
+            mine = np.flatnonzero(of_block)
             codes, held = np.frombuffer(one["codes"], np.uint8).reshape(n, -1), _floats(one["vectors"], n, size)
             squares = (held * held).sum(axis=1)
             for of in (mine[c : c + QUERY_BLOCK] for c in range(0, len(mine), QUERY_BLOCK)):
                 v = raw[of]
-                # One more than k, as a query may meet itself; candidates in the order of ids, which ties go by.
-                if keep < n:
-                    far = m.distances(v / np.linalg.norm(v, axis=1, keepdims=True), one["list"], codes)
-                    near = np.sort(np.argpartition(far, keep - 1, axis=1)[:, :keep], axis=1)
+                if n <= WHOLE * keep:
+                    near, dots = None, v @ held.T
+                    cosine = dots / np.sqrt(lengths[of])[:, None] / np.sqrt(squares)
                 else:
-                    near = np.tile(np.arange(n), (len(v), 1))
-                dots = np.stack([held[at] @ x for at, x in zip(near, v)])
-                similarity = _similarity(dots, (v * v).sum(axis=1)[:, None] * squares[near])
-                q, at = _best(similarity, k + 1, np.full(len(v), -2.0))
-                got.append((of[q], start + near[q, at], similarity[q, at]))
+                    far = m.distances(v / np.sqrt(lengths[of])[:, None], one["list"], codes)
+                    near = np.argpartition(far, keep - 1, axis=1)[:, :keep]
+                    dots = np.stack([held[at] @ x for at, x in zip(near, v)])
+                    cosine = dots / np.sqrt(lengths[of][:, None] * squares[near])
+                bound = least[of] - _SLACK
+                many = np.flatnonzero((cosine >= bound[:, None]).sum(axis=1) > k + 1)
+                if len(many):
+                    bound[many] = np.maximum(bound[many], np.partition(cosine[many], -k - 1, axis=1)[:, -k - 1] - _SLACK)
+                q, at = np.nonzero(cosine >= bound[:, None])
+                row = at if near is None else near[q, at]
+                got.append(first(of[q], start + row, _similarity(dots[q, at], lengths[of[q]] * squares[row])))
             start += n
-        q, at, similarity = (np.concatenate(of) if got else np.zeros(0, int) for of in (zip(*got) if got else [()] * 3))
-        place = np.empty(len(ids), int)
-        place[pc.sort_indices(ids).to_numpy()] = np.arange(len(ids))
-        order = np.lexsort((place[at], -similarity, q))
+            if sum(len(x[0]) for x in got) > 16 * (k + 1) * len(raw):
+                got = [first(*(np.concatenate(x) for x in zip(*got)))]
+        q, at, similarity = first(*(np.concatenate(x) for x in zip(*got)))
+        order = np.arange(len(q))
         order = order[~pc.equal(names.take(pa.array(q[order])), ids.take(pa.array(at[order]))).fill_null(False).to_numpy(zero_copy_only=False)]
         few = order[np.arange(len(order)) - np.searchsorted(q[order], q[order]) < k]
         return _found(names, ids, q[few], at[few], similarity[few])

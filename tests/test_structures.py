@@ -180,6 +180,15 @@ def test_a_query_goes_to_parts_not_to_lists(spark, tmp_path):
     assert 0 < exchanged(found) < (5 + 24 / 5 + 2) * m.nbytes
 
 
+def test_recall_without_groups(spark, tmp_path):
+    """Vectors without groups have their neighbours in many lists; as many are probed."""
+    vectors = spark.createDataFrame(list(enumerate(np.random.default_rng(7).normal(size=(4000, 48)).tolist())), "id bigint, v array<double>").cache()
+    model = V.fit(vectors, "id", "v")
+    index = V.build(vectors, "id", "v", model, str(tmp_path / "index"))
+    queries = vectors.where("id % 50 = 0")
+    assert V.recall(V.search(index, model, vectors, queries, "id", "v", 5), V.exact_search(index, model, vectors, queries, "id", "v", 5)) >= 0.9
+
+
 def test_parts_slices_and_pieces_do_not_change_what_is_found(spark, indexed, monkeypatch):
     """Many small parts, tasks and pieces find what one does, copies that tie and strings as ids included."""
     vectors, model, index, m, ids = indexed
