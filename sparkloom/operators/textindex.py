@@ -21,6 +21,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.numeric import half_up
+from ..sources.scratch import Rounds
 from ..sources.states import StateTable
 
 BLOCK = 1024
@@ -28,6 +29,8 @@ FANOUT = 4
 #: Words that a task groups at once, about, and tasks whose pieces of blocks meet.
 PIECE_ROWS = 2_000_000
 GATHER = 16
+#: Queries whose weights and scores a task holds at once, and documents of a product.
+QUERIES, DOCS = 256, 512
 K1, B = 1.2, 0.75
 
 
@@ -53,6 +56,22 @@ def _pieces(rows: pa.Table, block: int) -> Iterator[pa.RecordBatch]:
     yield from pa.Table.from_arrays(made, ["term", "docs", "tfs"]).to_batches(max_chunksize=10_000)
 
 
+def _rounded(x: np.ndarray) -> np.ndarray:
+    """As ``half_up`` to six places."""
+    return np.floor(np.rint(x * 1e9) / 1e9 * 1e6 + 0.5) / 1e6
+
+
+def _scored(batch: pa.RecordBatch, weights: np.ndarray, mean: float) -> np.ndarray:
+    """Scores of the documents (length, codes and tfs of terms) by queries; ``weights``: of each term in each query, 0 or over."""
+    length, codes, tfs = batch["length"].to_numpy(), batch["codes"], batch["tfs"]
+    row = np.repeat(np.arange(len(batch)), np.diff(codes.offsets.to_numpy()))
+    tf, norm = tfs.flatten().to_numpy().astype(float), K1 * (1 - B + B * length / mean)
+    terms, at = np.unique(codes.flatten().to_numpy(), return_inverse=True)
+    gains = np.zeros((len(batch), len(terms)))
+    gains[row, at] = tf * (K1 + 1) / (tf + norm[row])
+    return gains @ weights[terms]
+
+
 class TextIndex:
     """An index at ``path``.  ``stem``: what makes terms of words (a column expression), the same for every refresh and search."""
 
@@ -151,6 +170,68 @@ class TextIndex:
                 return self._merge_segments()
         return None
 
+    def best(self, asked: DataFrame, k: int, rounds: Rounds) -> DataFrame:
+        """``query``, ``doc``, ``score`` and ``rank`` of the ``k`` best documents of each query (ties: the lesser doc), for queries of any
+        number of words.  ``asked`` as in ``search``; what documents have of its terms is written to ``rounds``.
+
+        A document's terms come together once; a task makes its scores by products of matrices and gives ``k`` rows a query, so that
+        pairs of a query and a document are neither shuffled nor written.
+        """
+        terms = asked.select("query", self.stem(F.lower("word")).alias("term")).where("term is not null").distinct()
+        pairs = terms.collect()  # what was typed
+        names, kind = sorted({r.term for r in pairs}), asked.schema["query"].dataType.simpleString()
+        segments, docs = sorted(self._numbers()), self.documents.read()
+        if docs is None or not segments or not names:
+            return self.spark.createDataFrame([], f"query {kind}, doc bigint, score double, rank bigint")
+        codes = F.broadcast(self.spark.createDataFrame(list(enumerate(names)), "code int, term string"))
+        found = self._live(segments, lambda b: b.join(codes, "term").select(F.col("code").alias("term"), "docs", "tfs"))
+        lists = F.collect_list(F.struct("term", "tf"))
+        held = rounds.table(found.groupBy("doc", "length").agg(lists.alias("l")).select("doc", "length", F.col("l.term").alias("codes"), F.col("l.tf").alias("tfs")))
+        whole = docs.where("segment >= 0").agg(F.count("*").alias("docs"), F.avg("length").alias("mean")).first()
+        df = np.zeros(len(names))
+        for r in held.select(F.explode("codes").alias("code")).groupBy("code").count().collect():  # one a term asked for
+            df[r.code] = r["count"]
+        idf = np.maximum(1e-6, np.log((whole.docs - df + 0.5) / (df + 0.5)))
+        queries, place = sorted({r["query"] for r in pairs if r["query"] is not None}), {t: i for i, t in enumerate(names)}
+        if any(r["query"] is None for r in pairs):
+            queries.append(None)
+        number = {q: i for i, q in enumerate(queries)}
+        sets: list[list[tuple[int, int]]] = [[] for _ in range(0, len(queries), QUERIES)]
+        for r in pairs:
+            sets[number[r["query"]] // QUERIES].append((place[r.term], number[r["query"]] % QUERIES))
+        sent, n, most, mean = self.spark.sparkContext.broadcast([np.array(x, dtype=np.int64) for x in sets]), len(queries), DOCS, whole.mean
+        doc_kind = held.schema["doc"].dataType.simpleString()
+
+        def scores(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            tops: list[tuple[np.ndarray, list]] = [(np.zeros(0), []) for _ in range(n)]
+            for batch in batches:
+                for part in (batch.slice(i, most) for i in range(0, len(batch), most)):
+                    ids = part["doc"].to_pylist()
+                    for begin, pairs_ in zip(range(0, n, QUERIES), sent.value):
+                        weights = np.zeros((len(idf), min(QUERIES, n - begin)))
+                        weights[pairs_[:, 0], pairs_[:, 1]] = idf[pairs_[:, 0]]
+                        exact = _scored(part, weights, mean).T
+                        for j, (raw, got) in enumerate(zip(exact, _rounded(exact))):
+                            held_scores, held_ids = tops[begin + j]
+                            hit = np.flatnonzero(raw > 0)
+                            if len(held_ids) == k:
+                                hit = hit[got[hit] >= held_scores[-1]]
+                            elif len(hit) > k:
+                                hit = hit[got[hit] >= np.partition(got[hit], -k)[-k]]
+                            if len(hit):
+                                best = sorted([*zip(-held_scores, held_ids), *((-got[i], ids[i]) for i in hit)])[:k]
+                                tops[begin + j] = (np.array([-s for s, _ in best]), [d for _, d in best])
+            rows = [(q, d, s) for q, (of, ids) in enumerate(tops) for s, d in zip(of.tolist(), ids)]
+            if rows:
+                q, d, s = zip(*rows)
+                yield pa.RecordBatch.from_arrays([pa.array(q, pa.int64()), pa.array(d, batch.schema.field("doc").type), pa.array(s, pa.float64())], ["number", "doc", "score"])
+
+        made = held.mapInArrow(scores, f"number bigint, doc {doc_kind}, score double")
+        order = Window.partitionBy("number").orderBy(F.desc("score"), "doc")
+        ranked = made.withColumn("rank", F.row_number().over(order).cast("long")).where(F.col("rank") <= k)
+        named = F.broadcast(self.spark.createDataFrame([(i, q) for i, q in enumerate(queries)], f"number bigint, query {kind}"))
+        return ranked.join(named, "number").select("query", "doc", "score", "rank")
+
     def search(self, asked: DataFrame) -> DataFrame:
         """``query``, ``doc`` and ``score`` (six places) of every document that has a term asked for.  ``asked``: query and word, few rows."""
         terms = asked.select("query", self.stem(F.lower("word")).alias("term")).distinct()

@@ -69,6 +69,43 @@ def test_pieces_are_made_where_the_postings_are():
     assert sorted((r["term"], tuple(zip(r["docs"], r["tfs"]))) for r in got) == [("a", ((1, 1),)), ("b", ((1, 2), (2, 1))), ("b", ((3, 1), (9, 1))), ("c", ((3, 2),))]
 
 
+def test_every_word_of_an_item_is_asked_for(spark, tmp_path):
+    """The word that tells documents apart stands after many others."""
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    from sparkloom.plans import catalog
+
+    item = "the plain words that all of them have come before the zebra"
+    docs = ["zebra alone here", "nothing of it here", None, "the plain words that are elsewhere", "other things here", "more things here", "things here"]
+    pq.write_table(pa.table({"doc_id": pa.array(range(len(docs)), pa.int64()), "text": docs}), tmp_path / "documents.parquet")
+    pq.write_table(pa.table({"item_id": pa.array([5], pa.int64()), "text": [item]}), tmp_path / "benchmark.parquet")
+    got = catalog.queries()["text_index_search"](spark, str(tmp_path)).orderBy("rank").collect()
+    want = plain(dict(enumerate(docs)), item.split())
+    assert {r.doc for r in got} == {0, 3, 1} & want.keys() and [(r.query, r["rank"]) for r in got] == [(5, i + 1) for i in range(len(got))]
+    assert all(abs(r.score - want[r.doc]) < 2e-6 for r in got)
+
+
+def test_the_best_are_those_of_all_scores(spark, tmp_path, monkeypatch):
+    from pyspark.sql import Window
+
+    from sparkloom.sources.scratch import Rounds
+
+    monkeypatch.setattr(T, "QUERIES", 2)
+    monkeypatch.setattr(T, "DOCS", 7)
+    rnd = random.Random(4)
+    text = lambda n: " ".join(rnd.choices([f"w{i}" for i in range(40)], weights=range(41, 1, -1), k=n))
+    index = T.TextIndex(spark, str(tmp_path / "a"), buckets=4)
+    index.refresh(spark.createDataFrame([(d, text(9)) for d in range(150)], "id bigint, text string"), "id", "text")
+    index.refresh(spark.createDataFrame([(d, text(rnd.randint(0, 12))) for d in range(90)], "id bigint, text string"), "id", "text", spark.createDataFrame([(140,)], "id bigint"))
+    asked = spark.createDataFrame([(q, w) for q in "abcde" for w in text(8).split()] + [("none", "nothing"), (None, "w3")], "query string, word string")
+    order = Window.partitionBy("query").orderBy(F.desc("score"), "doc")
+    want = index.search(asked).withColumn("rank", F.row_number().over(order)).where("rank <= 4").select("query", "doc", "score", "rank")
+    with Rounds(spark, "best") as rounds:
+        got = index.best(asked, 4, rounds).collect()
+    assert len(got) == 24 and sorted(map(repr, map(tuple, got))) == sorted(map(repr, map(tuple, want.collect())))
+
+
 def test_known_stems():
     known = {
         "caresses": "caress", "ponies": "poni", "ties": "ti", "caress": "caress", "cats": "cat", "feed": "feed", "agreed": "agre", "plastered": "plaster", "bled": "bled", "motoring": "motor", "sing": "sing",
