@@ -271,6 +271,28 @@ def test_parts_sweep_in_few_passes_and_tell_the_modularity(spark, monkeypatch):
     assert {r.node: r.community for r in L.rated(df.repartition(7)).collect()} == found
 
 
+def test_numbered_nodes_meet_their_edges_without_joins(spark, monkeypatch):
+    """Planted groups of customers and suppliers with long ids, in several parts, loops and both directions: found without a shuffle a
+    round, as well as by joins, and rated by their modularity."""
+    from sparkloom.operators import communities as L
+
+    rnd, far = random.Random(7), 1 << 40
+    edges = [(far + 2 * a, 2 * b + 1, float(rnd.randint(1, 9))) for a in range(90) for b in range(30) if rnd.random() < (0.7 if a // 30 == b // 10 else 0.04)]
+    edges += [(b, a, w) for a, b, w in edges[::3]] + [(far, far, 3.0), (7, 7, 0.5)]
+    df = spark.createDataFrame(edges + [(None, 1, 1.0), (1, 3, None)], "src bigint, dst bigint, weight double")
+    joined, calls = L._joined_step, []
+    monkeypatch.setattr(L, "_joined_step", lambda *a: (calls.append(1), joined(*a))[1])
+    monkeypatch.setattr(L, "PART_EDGES", len(edges) // 3)
+    rows = L.rated(df).collect()
+    assert not calls
+    found = {r.node: r.community for r in rows}
+    assert len(found) == 120 and len(set(found.values())) == 3 and all(found[x] == min(y for y, c in found.items() if c == found[x]) for x in found)
+    assert {r.modularity for r in rows} == {round(plain_modularity(edges, found), 6)}
+    assert {r.node: r.community for r in L.rated(df.repartition(7)).collect()} == found
+    monkeypatch.setattr(L, "NODES", 0)
+    assert L.rated(df).first().modularity <= rows[0].modularity + 1e-9 and calls
+
+
 # --- reach
 
 
