@@ -3,9 +3,13 @@
 Texts are bags of words.  Texts of one group with the same bag are one class, which only ever moves together; pairs are
 sought between classes.  Classes stand in blocks, which are read in pairs without a shuffle.  Words are dealt to ``PARTS`` parts;
 the dot product of two bags is at most that of their lengths part by part (Cauchy and Schwarz), which one product of matrices gives
-for all pairs of two blocks, and only blocks of which this bound lets a pair through are compared by all their words.  So comparisons by the
+for all pairs of two blocks, and only pairs that this bound lets through are compared by all their words.  So comparisons by the
 bound grow with the square of a group, but what the search shuffles and holds in memory does not; it writes the pairs that it finds.
 
+Clusters need no pairs of those that join the same one: the first ``FRONT`` classes of each group are decided alone, and what comes behind
+them meets their heads only, and joins the first that is alike.  The great clusters begin early as a rule, and then are gone; of
+what is left, all pairs are sought.
+
 ``prefixes`` and ``candidates`` bound the pairs by an index, which pays where texts mostly have rare words.  Words are ordered by their number of classes, rare ones first.  If the first word that two bags share
 stands at i in one and at j in the other, their cosine is at most the product of the lengths of what stands from i and from j
 on, in parts of the whole.  So only words from which on at least ``least`` of a bag's length remains can be the first shared
@@ -30,9 +34,16 @@ from .texts import canonical
 
 #: Slack for bounds in doubles; pairs are decided by their full cosine.
 _SLACK = 1e-9
+_SLACK_SINGLE = 1e-4
 #: Classes of a block, and parts that words are dealt to by their hashes.
 BLOCK = 512
-PARTS = 512
+PARTS = 2048
+#: First classes of a group that are decided alone, and how often at most.
+FRONT = 512
+FRONTS = 4
+#: Pairs of two blocks that are compared one by one, and ids that are broadcast, at most.
+FEW = 1000
+BROADCAST_IDS = 500_000
 #: Words of a matrix.
 WORDS = 16384
 
@@ -45,7 +56,7 @@ def words(text: F.Column) -> F.Column:
 
 def classes(entries: DataFrame, group: list[str], id_: str, text: str, when: str) -> DataFrame:
     """``group`` (a struct), ``id`` (the least of the class), ``n``, ``first`` and ``last`` (of ``when``) and ``words``.  Texts without words are classes each."""
-    bag = F.array_sort(words(F.col(text)))
+    bag = F.sort_array(words(F.col(text)))
     rows = entries.select(F.struct(*group).alias("group"), F.col(id_).alias("id"), F.col(when).alias("when"), bag.alias("words"))
     like = F.when(F.size("words") > 0, F.sha2(F.array_join("words", " "), 256)).otherwise(F.col("id").cast("string"))
     return rows.groupBy("group", like.alias("like")).agg(F.min("id").alias("id"), F.count("*").alias("n"), F.min("when").alias("first"), F.max("when").alias("last"), F.any_value("words").alias("words")).drop("like")
@@ -68,9 +79,8 @@ def candidates(prefix: DataFrame, least: float) -> DataFrame:
     return a.join(b, ["group", "word"]).where((F.col("a") < F.col("b")) & (F.col("rest_a") * F.col("rest_b") >= least - _SLACK)).select("a", "b").distinct()
 
 
-def _blocks(held: DataFrame, rounds: Rounds) -> DataFrame:
-    """Blocks of up to ``BLOCK`` classes with words, in the order of groups: ``low`` and ``high`` (keys of the first and last group), ``first`` (id),
-    keys, ids, sizes (distinct words of each), words (hashes, ascending in each class) and tfs."""
+def _bags(held: DataFrame) -> DataFrame:
+    """key (a hash of the group), id, words (hashes, ascending, as bytes) and tfs of the classes with words."""
     kind = held.schema["id"].dataType.simpleString()
     hashed = held.where(F.size("words") > 0).select(F.xxhash64("group").alias("key"), "id", F.transform("words", lambda w: F.xxhash64(w)).alias("words"))
 
@@ -81,6 +91,14 @@ def _blocks(held: DataFrame, rounds: Rounds) -> DataFrame:
             bags = [np.unique(flat[a:b], return_counts=True) for a, b in zip(at, at[1:])]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([w.tobytes() for w, _ in bags], pa.binary()), pa.array([n.astype("<i4").tobytes() for _, n in bags], pa.binary())], ["key", "id", "words", "tfs"])
 
+    return hashed.mapInArrow(count, f"key bigint, id {kind}, words binary, tfs binary")
+
+
+def _blocks(bags: DataFrame, rounds: Rounds) -> DataFrame:
+    """Blocks of up to ``BLOCK`` bags, in the order of groups: ``low`` and ``high`` (keys of the first and last group), ``first`` (id),
+    keys, ids, sizes (distinct words of each), words (hashes, ascending in each class) and tfs."""
+    kind = bags.schema["id"].dataType.simpleString()
+
     def block(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rest: list[pa.RecordBatch] = []
         for batch in batches:
@@ -100,7 +118,6 @@ def _blocks(held: DataFrame, rounds: Rounds) -> DataFrame:
         columns = [key[:1], key[-1:], id_[:1], pa.ListArray.from_arrays(one, key), pa.ListArray.from_arrays(one, id_), pa.array([sizes.tobytes()], pa.binary()), pa.array([b"".join(words.to_pylist())], pa.binary()), pa.array([b"".join(tfs.to_pylist())], pa.binary())]
         return pa.RecordBatch.from_arrays(columns, ["low", "high", "first", "keys", "ids", "sizes", "words", "tfs"])
 
-    bags = rounds.table(hashed.mapInArrow(count, f"key bigint, id {kind}, words binary, tfs binary"))
     ranged = bags.repartitionByRange(max(1, -(-bags.count() // BLOCK)), "key", "id").sortWithinPartitions("key", "id")
     return rounds.table(ranged.mapInArrow(block, f"low bigint, high bigint, first {kind}, keys array<bigint>, ids array<{kind}>, sizes binary, words binary, tfs binary"))
 
@@ -116,53 +133,119 @@ class _Bags:
         squares = self.tfs * self.tfs
         self.length = np.sqrt(np.bincount(self.owner, squares, len(sizes)))
         parts = np.bincount(self.owner * PARTS + (self.words % PARTS), squares, len(sizes) * PARTS).reshape(-1, PARTS)
-        self.shares = np.sqrt(parts) / self.length[:, None]
+        self.shares = (np.sqrt(parts) / self.length[:, None]).astype(np.float32)
+
+    def of(self, i: int) -> tuple[np.ndarray, np.ndarray]:
+        """Words and tfs of a class."""
+        return self.words[self.at[i] : self.at[i + 1]], self.tfs[self.at[i] : self.at[i + 1]]
 
-    def matrix(self, words: np.ndarray, kind: type) -> np.ndarray:
-        """How often each class has each of these words (ascending)."""
+    def matrix(self, rows: np.ndarray, words: np.ndarray, kind: type) -> np.ndarray:
+        """How often each of these classes has each of these words (both ascending)."""
         at = np.minimum(np.searchsorted(words, self.words), len(words) - 1)
-        has = words[at] == self.words
-        out = np.zeros((len(self.length), len(words)), kind)
-        out[self.owner[has], at[has]] = self.tfs[has]
+        place = np.full(len(self.length), -1)
+        place[rows] = np.arange(len(rows))
+        has = (words[at] == self.words) & (place[self.owner] >= 0)
+        out = np.zeros((len(rows), len(words)), kind)
+        out[place[self.owner[has]], at[has]] = self.tfs[has]
         return out
 
 
-def _dots(x: _Bags, y: _Bags) -> np.ndarray:
-    """Dot products of all pairs: whole numbers, exact in single precision up to 2 to the 24th, which no partial sum passes."""
-    common = np.intersect1d(x.words, y.words)
+def _dots(x: _Bags, y: _Bags, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Dot products of such pairs: whole numbers, exact in single precision up to 2 to the 24th, which no partial sum passes."""
+    if len(i) <= FEW:
+        out = np.zeros(len(i))
+        for n, (a, b) in enumerate(zip(i, j)):
+            (left, tf), (right, other) = x.of(a), y.of(b)
+            at = np.minimum(np.searchsorted(right, left), len(right) - 1)
+            out[n] = (tf * other[at])[right[at] == left].sum()
+        return out
+    rows, columns = np.unique(i), np.unique(j)
+    common = np.intersect1d(x.words[np.isin(x.owner, rows)], y.words[np.isin(y.owner, columns)])
     kind = np.float32 if x.length.max() * y.length.max() < 1 << 24 else np.float64
-    out = np.zeros((len(x.length), len(y.length)))
+    out = np.zeros((len(rows), len(columns)))
     for c in range(0, len(common), WORDS):
-        out += x.matrix(common[c : c + WORDS], kind) @ y.matrix(common[c : c + WORDS], kind).T
-    return out
+        out += x.matrix(rows, common[c : c + WORDS], kind) @ y.matrix(columns, common[c : c + WORDS], kind).T
+    return out[np.searchsorted(rows, i), np.searchsorted(columns, j)]
 
 
-def cosine_pairs(held: DataFrame, least: float, rounds: Rounds | None = None) -> DataFrame:
-    """``a``, ``b`` and ``cosine`` of the pairs of classes within a group that reach ``least`` (over 0); ids are unique.  The blocks are
-    written to ``rounds``, or stay in the shared folder."""
-    blocks = _blocks(held, rounds or Rounds(held.sparkSession, "bags"))
-    kind = held.schema["id"].dataType.simpleString()
+def _met(x: DataFrame, y: DataFrame, least: float, heads: bool = False) -> DataFrame:
+    """``a``, ``b`` and ``cosine`` of pairs of bags of these blocks within a group that reach ``least``; of the same blocks each pair once, or if ``x``
+    has ``heads``, for each ``b`` of two blocks the least ``a`` alone."""
+    kind = x.schema["first"].dataType.simpleString()
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for r in range(batch.num_rows):
                 row = {n: batch.column(i)[r] for i, n in enumerate(batch.schema.names)}
                 x, y = _Bags(row, "a"), _Bags(row, "b")
-                met = (x.shares @ y.shares.T >= least - _SLACK) & (x.keys[:, None] == y.keys)
+                met = (x.shares @ y.shares.T >= least - _SLACK_SINGLE) & (x.keys[:, None] == y.keys)
                 if row["same"].as_py():
                     met = np.triu(met, 1)
-                if not met.any():
+                i, j = np.nonzero(met)
+                if not len(i):
                     continue
-                cosine = _dots(x, y) / (x.length[:, None] * y.length)
-                i, j = np.nonzero(met & (cosine >= least))
-                yield pa.RecordBatch.from_arrays([x.ids.take(pa.array(i)), y.ids.take(pa.array(j)), pa.array(cosine[i, j])], ["a", "b", "cosine"])
-
-    x, y = (blocks.select(*[F.col(c).alias(f"{c}_{side}") for c in blocks.columns]) for side in "ab")
+                cosine = _dots(x, y, i, j) / (x.length[i] * y.length[j])
+                alike = cosine >= least
+                i, j, cosine = i[alike], j[alike], cosine[alike]
+                if heads:  # they stand in order
+                    j, first = np.unique(j, return_index=True)
+                    i, cosine = i[first], cosine[first]
+                yield pa.RecordBatch.from_arrays([x.ids.take(pa.array(i)), y.ids.take(pa.array(j)), pa.array(cosine)], ["a", "b", "cosine"])
+
+    x, y = (df.select(*[F.col(c).alias(f"{c}_{side}") for c in df.columns]) for df, side in ((x, "a"), (y, "b")))
     place = lambda side: F.struct(F.col(f"low_{side}").alias("low"), F.col(f"first_{side}").alias("first"))
-    # Blocks follow each other by group and id, so that a's ids are the smaller ones.
-    pairs = x.join(y, (F.col("low_b") <= F.col("high_a")) & (place("a") <= place("b")))
+    # Blocks of one table follow each other by group and id, so that a's ids are the smaller ones.
+    pairs = x.join(y, (F.col("low_b") <= F.col("high_a")) & ((F.col("low_a") <= F.col("high_b")) if heads else place("a") <= place("b")))
     needed = [f"{c}_{side}" for side in "ab" for c in ("keys", "ids", "sizes", "words", "tfs")]
-    return pairs.select((place("a") == place("b")).alias("same"), *needed).mapInArrow(compare, f"a {kind}, b {kind}, cosine double")
+    same = F.lit(False) if heads else place("a") == place("b")
+    return pairs.select(same.alias("same"), *needed).mapInArrow(compare, f"a {kind}, b {kind}, cosine double")
+
+
+def cosine_pairs(held: DataFrame, least: float, rounds: Rounds | None = None) -> DataFrame:
+    """``a``, ``b`` and ``cosine`` of the pairs of classes within a group that reach ``least`` (over 0); ids are unique.  The blocks are
+    written to ``rounds``, or stay in the shared folder."""
+    rounds = rounds or Rounds(held.sparkSession, "bags")
+    blocks = _blocks(rounds.table(_bags(held)), rounds)
+    return _met(blocks, blocks, least)
+
+
+def led(bags: DataFrame, least: float, rounds: Rounds) -> DataFrame:
+    """id and head of the ``bags`` (a table of ``rounds``) that join one before them."""
+    found, left = [], bags
+
+    def within(of: DataFrame) -> DataFrame:
+        blocks = _blocks(of, rounds)
+        pairs = rounds.table(_met(blocks, blocks, least).select("a", "b"))
+        out = rounds.table(canonical(pairs).select(F.col("dropped").alias("id"), F.col("kept").alias("head")))
+        rounds.forget(blocks, pairs)
+        found.append(out)
+        return out
+
+    def without(of: DataFrame, gone: DataFrame) -> DataFrame:
+        ids = gone.select("id")
+        return of.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, "id", "left_anti").select("key", "id", "words", "tfs")
+
+    for _ in range(FRONTS):
+        first = left.select("key", "id").withColumn("n", F.row_number().over(Window.partitionBy("key").orderBy("id"))).where(F.col("n") <= FRONT)
+        last = rounds.table(first.groupBy("key").agg(F.max("id").alias("last")))
+        told = left.join(F.broadcast(last) if last.count() <= BROADCAST_IDS else last, "key")
+        front, behind = (rounds.table(told.where(c).drop("last")) for c in ("id <= last", "id > last"))
+        heads = _blocks(without(front, within(front)), rounds)
+        rest = _blocks(behind, rounds)
+        joined = rounds.table(_met(heads, rest, least, heads=True).groupBy(F.col("b").alias("id")).agg(F.min("a").alias("head")))
+        found.append(joined)
+        n, of = joined.count(), behind.count()
+        after = rounds.table(without(behind, joined))
+        rounds.forget(left if left is not bags else None, last, front, behind, heads, rest)
+        left = after
+        if n < of / 10:
+            break
+    if not left.isEmpty():
+        within(left)
+    out = found[0]
+    for df in found[1:]:
+        out = out.unionByName(df)
+    return out
 
 
 def cosine_clusters(entries: DataFrame, group: list[str], id_: str, text: str, when: str, least: float, min_size: int) -> DataFrame:
@@ -174,8 +257,7 @@ def cosine_clusters(entries: DataFrame, group: list[str], id_: str, text: str, w
     """
     with Rounds(entries.sparkSession, "clusters") as rounds:
         held = rounds.table(classes(entries, group, id_, text, when))
-        pairs = rounds.table(cosine_pairs(held, least, rounds).select("a", "b"))
-        joined = canonical(pairs).select(F.col("dropped").alias("id"), F.col("kept").alias("head"))
+        joined = led(rounds.table(_bags(held)), least, rounds)
         members = held.join(joined, "id", "left").withColumn("head", F.coalesce("head", "id"))
         sizes = members.groupBy("group", "head").agg(F.sum("n").alias("occurrences"), F.min("first").alias("first_seen"), F.max("last").alias("last_seen"))
         most = F.min_by(F.struct("head", "occurrences", "first_seen", "last_seen"), F.struct(-F.col("occurrences"), "head"))

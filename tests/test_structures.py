@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from sparkloom.operators import clusters as C
 from sparkloom.operators import vectorindex as V
+from sparkloom.sources.scratch import Rounds
 
 # --- cosine clusters
 
@@ -49,6 +50,39 @@ def test_clusters_are_the_greedy_ones(spark):
     assert C.cosine_clusters(df.limit(0), ["domain"], "id", "text", "day", 0.8, 3).collect() == []
 
 
+def test_members_of_a_cluster_meet_its_head_alone(spark, monkeypatch):
+    """A cluster of 240 alike texts among others gives a row a member, not all its pairs, whether it begins early or late, and the same clusters as all pairs."""
+    monkeypatch.setattr(C, "FRONT", 8)
+    monkeypatch.setattr(C, "FEW", 5)
+    rnd = random.Random(5)
+    rows = []
+    for i in range(320):
+        group, alike = "uv"[i % 2], rnd.random() < 0.75
+        rows.append((i, group, " ".join([f"c{j}" for j in range(30)] if alike else [f"d{rnd.randrange(40)}" for _ in range(12)]) + f" own{i}", i))
+    df = spark.createDataFrame(rows, "id bigint, g string, text string, day int")
+    with Rounds(spark, "led") as rounds:
+        held = rounds.table(C.classes(df, ["g"], "id", "text", "day"))
+        table, counts = rounds.table, []
+
+        def counted(df):
+            out = table(df)
+            counts.extend([out.count()] if out.columns == ["a", "b"] else [])
+            return out
+
+        monkeypatch.setattr(rounds, "table", counted)
+        got = {r["id"]: r["head"] for r in C.led(rounds.table(C._bags(held)), 0.8, rounds).collect()}
+        assert counts and sum(counts) < 320
+        pairs = sorted(tuple(r) for r in C.cosine_pairs(held, 0.8).select("a", "b").collect())
+    near, want = {}, {}
+    for a, b in pairs:
+        near.setdefault(b, []).append(a)
+    for i in range(320):
+        head = next((a for a in near.get(i, []) if a not in want), None)
+        if head is not None:
+            want[i] = head
+    assert got == want and len(pairs) > 10 * 320 and len(got) > 200
+
+
 def test_frequent_words_bring_no_pairs(spark):
     """All texts share most of their words; only pairs whose rare parts meet are candidates."""
     common = " ".join(f"c{i}" for i in range(6))
