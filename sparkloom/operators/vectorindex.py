@@ -53,6 +53,8 @@ SLICE = 1 << 18
 HELD = 4096
 #: Queries that an exact search compares with a block at once.
 EXACT_BLOCK = 1024
+#: Of a pair of blocks, the part of all pairs from which on they are compared whole.
+MANY = 32
 ROUNDS = 15
 #: Share of a sample's neighbours that the probed lists hold, the number of neighbours, and of vectors that they are sought for.
 HELD_NEAR = 0.95
@@ -238,6 +240,29 @@ def _best(similarity: np.ndarray, k: int, least: np.ndarray) -> tuple[np.ndarray
     return q[few], at[few]
 
 
+def _reaching(x: np.ndarray, y: np.ndarray, k: int, least: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Row of ``x``, row of ``y`` and similarity of the ``k`` most similar of each row of ``x`` that reach ``least``; ties go to the smaller row of ``y``.
+
+    Products in single precision, less their greatest error, tell which pairs may reach it; only these are compared in full, or
+    whole blocks where these are many.
+    """
+    of_x, of_y = (x * x).sum(axis=1), (y * y).sum(axis=1)
+    cosine = (x / np.sqrt(of_x)[:, None]).astype(np.float32) @ (y / np.sqrt(of_y)[:, None]).astype(np.float32).T
+    met = cosine >= (least - (x.shape[1] + 8) * 1.2e-7).astype(np.float32)[:, None]
+    if np.count_nonzero(met) > met.size // MANY:
+        similarity = _similarity(x @ y.T, of_x[:, None] * of_y)
+        q, at = _best(similarity, k, least)
+        return q, at, similarity[q, at]
+    q, at = np.nonzero(met)
+    similarity = _similarity((x[q] * y[at]).sum(axis=1), of_x[q] * of_y[at])
+    reach = similarity >= least[q]
+    q, at, similarity = q[reach], at[reach], similarity[reach]
+    order = np.lexsort((at, -similarity, q))
+    q, at, similarity = q[order], at[order], similarity[order]
+    few = np.arange(len(q)) - np.searchsorted(q, q) < k
+    return q[few], at[few], similarity[few]
+
+
 def _found(names: pa.Array, ids: pa.Array, q: np.ndarray, at: np.ndarray, similarity: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([names.take(pa.array(q)), ids.take(pa.array(at)), pa.array(similarity)], ["query", "id", "similarity"])
 
@@ -461,11 +486,35 @@ def exact_search(index: DataFrame, model: Model, vectors: DataFrame, queries: Da
                 one = {n: batch.column(i)[row] for i, n in enumerate(batch.schema.names)}
                 ids, names = one["ids"].values, one["names"].values
                 raw, held = _floats(one["q"].as_buffer(), len(names), size), _floats(one["vectors"].as_buffer(), len(ids), size)
-                similarity = _similarity(raw @ held.T, (raw * raw).sum(axis=1)[:, None] * (held * held).sum(axis=1))
-                q, at = _best(similarity, k + 1, np.frombuffer(one["least"].as_buffer()))
-                yield _found(names, ids, q, at, similarity[q, at])
+                yield _found(names, ids, *_reaching(raw, held, k + 1, np.frombuffer(one["least"].as_buffer())))
 
-    pairs = blocks.join(index.select("list", "ids", "vectors"), F.array_contains("lists", F.col("list")))
+    def coarse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        some: list[tuple[int, pa.Array, np.ndarray]] = []
+        for batch in batches:
+            for row in range(batch.num_rows):
+                list_, ids, vectors = (column[row] for column in batch.columns)
+                some.append((list_.as_py(), ids.values, np.frombuffer(vectors.as_buffer(), np.uint8).reshape(len(ids.values), -1)))
+                if sum(len(ids) for _, ids, _ in some) >= BLOCK:
+                    yield from together(some)
+                    some = []
+        if some:
+            yield from together(some)
+
+    def together(some: list[tuple[int, pa.Array, np.ndarray]]) -> Iterator[pa.RecordBatch]:
+        """Blocks as one, in the order of ids; those of floats and those of doubles apart."""
+        for width in sorted({v.shape[1] for *_, v in some}):
+            of = [one for one in some if one[2].shape[1] == width]
+            ids = pa.concat_arrays([ids for _, ids, _ in of])
+            order = pc.sort_indices(ids)
+            held = np.concatenate([v for *_, v in of])[order.to_numpy()]
+            columns = [pa.array([sorted({list_ for list_, *_ in of})], pa.list_(pa.int32())), pa.ListArray.from_arrays(pa.array([0, len(ids)], pa.int32()), ids.take(order)), pa.array([held.tobytes()], pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, ["held", "ids", "vectors"])
+
+    # Small lists stand together, so that a block of queries is read a few times only.
+    n_held = index.agg(F.sum(F.size("ids"))).first()[0] or 0
+    near = index.select("list", "ids", "vectors").repartitionByRange(max(1, -(-n_held // BLOCK)), "list").sortWithinPartitions("list")
+    held = rounds.table(near.mapInArrow(coarse, f"held array<int>, ids array<{kind}>, vectors binary"))
+    pairs = blocks.join(held, F.arrays_overlap("lists", "held"))
     return _ranked(pairs.select("names", "q", "least", "ids", "vectors").mapInArrow(compare, f"query {kind}, id {kind}, similarity double"), k)
 
 

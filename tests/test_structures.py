@@ -244,6 +244,21 @@ def test_nothing_to_index(spark, tmp_path):
     assert V.search(index, model, none, none, "id", "v", 5).collect() == [] == V.exact_search(index, model, none, none, "id", "v", 5).collect()
 
 
+def test_single_precision_leaves_out_no_neighbour(monkeypatch):
+    """Near ties and equal vectors: what reaches the bound is that of whole comparisons, by few pairs and by many."""
+    rng = np.random.default_rng(3)
+    x, y = rng.normal(size=(40, 48)), rng.normal(size=(300, 48))
+    y[100:140] = 3 * x
+    y[140:180] = x * (1 + 1e-7 * rng.normal(size=x.shape))
+    whole = V._similarity(x @ y.T, (x * x).sum(axis=1)[:, None] * (y * y).sum(axis=1))
+    for least in (np.full(40, 0.999999), np.sort(whole, axis=1)[:, -4], np.full(40, -1.1)):
+        q, at = V._best(whole, 3, least)
+        for many in (1, 1 << 30):
+            monkeypatch.setattr(V, "MANY", many)
+            got = V._reaching(x, y, 3, least)
+            assert (got[0] == q).all() and (got[1] == at).all() and np.allclose(got[2], whole[q, at], atol=1e-9)
+
+
 # --- communities
 
 
